@@ -3,13 +3,15 @@
 1. Each document's set of 5-word shingles gives 128 minima. Bands of four minima make 32 bucket keys; the low two bits
    of all minima are packed into 256 bits.
 2. Documents with equal sets form a class; only its smallest doc_id goes on, so exact copies never meet in pairs.
-3. In each bucket every member is paired with the bucket's smallest id only. Pairs whose estimate from the packed bits
-   (corrected for chance agreement of two-bit values) is far below the limit go; the rest are confirmed on full sets.
-4. Buckets whose members are then still in several components get a second pass over the pairs that cross components.
-   Every pair of a bucket is thereby either tested or already known to be connected.
+3. In each bucket every member is paired with the bucket's centre only: the member that shares the most buckets with
+   others, as the original of many copies does. Pairs whose estimate from the packed bits (corrected for chance
+   agreement of two-bit values) is far below the limit go; the rest are confirmed on full sets.
+4. Buckets whose members are then still in several components get a second pass over the pairs that cross components,
+   less those that the overlaps with the centre rule out: x and y share at most the smaller of their overlaps with it,
+   plus the smaller of what either has besides, and nothing besides if 1024-bit maps of that are disjoint. Every pair of a bucket is thereby tested, ruled out or known to be connected.
 
 A true link of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the estimate drops it with
-probability below 1e-8.
+probability 3e-6 (4.5 standard deviations).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, free_names, ship
+from flowlens.llm.common import cut, free_names, ship, small_side
 from flowlens.llm.components import components
 from flowlens.llm.shingles import mix, overlap, shingle_set
 
@@ -56,6 +58,20 @@ def packed_bits(low: np.ndarray) -> np.ndarray:
     return (two << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def bit_map(values: np.ndarray) -> np.ndarray:
+    """1024 bits with one set for each value: disjoint maps mean disjoint sets."""
+    bits = np.zeros(1024, dtype=np.uint8)
+    bits[(values & np.uint64(1023)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    shared = a[0].bitwiseAND(b[0])
+    for k in range(1, 1024 // 64):
+        shared = shared.bitwiseOR(a[k].bitwiseAND(b[k]))
+    return shared == 0
+
+
 def agreeing(a: Column, b: Column) -> Column:
     """In how many of the 128 places two packed signatures agree, by bit counts."""
     odd = F.lit(0x5555555555555555).cast("bigint")
@@ -73,15 +89,18 @@ def estimated(matches: Column) -> Column:
 
 
 def least_matches(percent: int) -> int:
-    """Six standard deviations below what a pair at the limit has on average."""
+    """4.5 standard deviations below what a pair at the limit has on average."""
     p = percent / 100
     p += (1 - p) / (1 << BITS)
-    return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
+    return int(HASHES * p - 4.5 * (HASHES * p * (1 - p)) ** 0.5)
 
 
 _SIGNED = "id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
 
 
+_TESTED = "a bigint, b bigint, both bigint, linked boolean, a_map array<bigint>, b_map array<bigint>"
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,12 +126,13 @@ def _signatures(k: int):
     return run
 
 
-def _confirm(k: int, percent: int):
+def _confirm(k: int, percent: int, maps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}  # sets of the last few left-hand documents: their pairs come together
         for batch in batches:
-            a, b, yes = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            left, right = batch.column("a_text"), batch.column("b_text")
+            a, right, both, linked = batch.column("a").to_pylist(), batch.column("b_text"), [], []
+            a_map, b_map = [], []
+            left = batch.column("a_text")
             for i, x in enumerate(a):
                 text = left[i].as_py()
                 if x not in kept or kept[x][0] != text:
@@ -120,11 +140,14 @@ def _confirm(k: int, percent: int):
                         kept.pop(next(iter(kept)))
                     kept[x] = (text, shingle_set(text, k))
                 one, two = kept[x][1], shingle_set(right[i].as_py(), k)
-                both = overlap(one, two)
-                yes.append(100 * both >= percent * (len(one) + len(two) - both))
+                both.append(overlap(one, two))
+                linked.append(100 * both[-1] >= percent * (len(one) + len(two) - both[-1]))
+                a_map.append(bit_map(np.setdiff1d(one, two, assume_unique=True)) if maps else None)
+                b_map.append(bit_map(np.setdiff1d(two, one, assume_unique=True)) if maps else None)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, y in zip(a, yes, strict=True) if y], pa.int64()), pa.array([x for x, y in zip(b, yes, strict=True) if y], pa.int64())],
-                ["a", "b"],
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(a_map, longs), pa.array(b_map, longs)],
+                ["a", "b", "both", "linked", "a_map", "b_map"],
             )
 
     return run
@@ -151,30 +174,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     placed = classes.select("rep", F.explode("bands").alias("key"))
-    heads = placed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(placed.join(heads.select("key", "head"), "key"), "buckets")
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    inside = cut(placed.join(shared.hint("merge"), "key"), "buckets")
+    weights = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
+    inside = inside.join(weights.hint("merge"), "rep")
+    centres = inside.groupBy("key").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("head"))
+    members = cut(inside.select("key", "rep").join(centres.hint("merge"), "key"), "members")
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    wanted = cut(texts.join(small_side(ids, ids.count(), 1_000_000), "id", "left_semi"), "texts")
     bits = classes.select("rep", "n", "bits")
 
-    def worth_testing(pairs: DataFrame) -> DataFrame:
+    def worth_testing(pairs: DataFrame, least: int) -> DataFrame:
         x, y = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
         return (
             pairs.join(x, "a").join(y, "b")
             .filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-            .filter(agreeing(F.col("a_bits"), F.col("b_bits")) >= least_matches(percent))
+            .filter(agreeing(F.col("a_bits"), F.col("b_bits")) >= least)
             .select("a", "b").distinct()
         )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, maps: bool = False) -> DataFrame:
         pairs = cut(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = cut(texts.join(ids, "id", "left_semi"), "texts")
-        rows = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b").join(
-            wanted.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a"
-        )
-        return cut(rows.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(k, percent), "a bigint, b bigint"), "confirmed")
-
-    stars = members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(worth_testing(stars))
+        right = wanted.select(F.col("id").alias("b"), F.col("text").alias("b_text")).hint("merge")
+        left = wanted.select(F.col("id").alias("a"), F.col("text").alias("a_text")).hint("merge")
+        rows = pairs.join(right, "b").join(left, "a")
+        return cut(rows.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(k, percent, maps), _TESTED), "confirmed")
+
+    ends = F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")
+    stars = members.filter("rep <> head").select(*ends).distinct()
+    # The centres are tested more widely than links need: their overlaps rule out pairs of others below.
+    tested = confirmed(worth_testing(stars, least_matches(percent * 2 // 5)), True)
+    links = tested.filter("linked").select("a", "b")
     roots = components(links)
 
     labelled = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -182,17 +212,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     # Pairs with the head were tested above; what is left are pairs of other members across components.
-    rest = cut(labelled.filter("rep <> head").join(open_keys, "key", "left_semi").join(bits, "rep"), "open")
+    spokes = labelled.filter("rep <> head").join(open_keys, "key", "left_semi").join(bits, "rep").withColumns(
+        {"a": F.least("rep", "head"), "b": F.greatest("rep", "head")}
+    )
+    spokes = spokes.join(tested.drop("linked"), ["a", "b"], "left").withColumn("map", F.expr("if(rep = a, a_map, b_map)"))
+    rest = cut(spokes.select("key", "rep", "comp", "n", "bits", "both", "map"), "open")
     if not rest.isEmpty():
-        x = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
-        y = rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+        x, y = (
+            rest.select("key", *[F.col(old).alias(f"{c}{new}") for old, new in (("rep", ""), ("comp", "_comp"), ("n", "_n"), ("bits", "_bits"), ("both", "_both"), ("map", "_map"))])
+            for c in "ab"
+        )
+        besides = F.least(F.col("a_n") - F.col("a_both"), F.col("b_n") - F.col("b_both"))
+        most = F.least("a_both", "b_both") + F.when(disjoint(F.col("a_map"), F.col("b_map")), 0).otherwise(besides)
+        possible = 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
         alike = (
             (F.col("a_comp") < F.col("b_comp"))
             & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
             & (agreeing(F.col("a_bits"), F.col("b_bits")) >= least_matches(percent))
+            & F.coalesce(possible, F.lit(True))
         )
         more = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & alike).select("a", "b").distinct()
-        roots = components(links.union(confirmed(more)))
+        roots = components(links.union(confirmed(more).filter("linked").select("a", "b")))
 
     reps = real.select("id", "n_shingles", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     found = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
