@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, let
-from flowlens.llm.order import successors
+from flowlens.llm.common import cut, free_names, let
+from flowlens.llm.order import neighbours
 
 SLOTS, K = 64, 3
+_NO_ID = -(2**63)  # stands for a null id
 _TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 
 
@@ -26,11 +27,12 @@ def order_minhash(texts: DataFrame, keys: list[str], k: int = K, slots: int = SL
     partition. Texts without tokens have no row here.
     """
     tokens = F.regexp_extract_all("text", F.lit(_TOKEN), 0)
-    split = texts.select(*keys, tokens.alias("tokens")).filter(F.size("tokens") > 0)
+    split = texts.select(*keys, tokens.alias("tokens"))
     runs = F.arrays_zip(F.col("tokens"), *[F.slice("tokens", j + 1, 2147483647) for j in range(1, k)])
     split = split.select(*keys, F.greatest(F.size("tokens") - (k - 1), F.lit(1)).alias("n"), runs.alias("runs"))
     grams = (
-        split.select(*keys, "n", F.posexplode("runs").alias("pos", "gram"))
+        # Outer, as Spark would otherwise work out the tokens again in a filter on their number.
+        split.select(*keys, "n", F.posexplode_outer("runs").alias("pos", "gram"))
         .filter("pos < n")
         .select(*keys, "pos", F.xxhash64("gram").alias("h"))
     )
@@ -82,21 +84,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the document with the next id; after the last id comes the first, so a single document follows itself.
 
     Null text counts as empty; texts without tokens have a fingerprint of dots. Of rows that repeat an id the one with
-    the least text counts; a null id is an id of its own that sorts first. An empty table gives an empty result. Texts
+    the shortest text counts (of equal lengths, that with the least hash); a null id is an id of its own that sorts
+    first. An empty table gives an empty result. Texts
     are read whole. Other columns are ignored, whatever their names.
     """
     free_names(docs, [id_col, text_col])
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = plain.groupBy("id").agg(F.min("text").alias("text"))
-    # Lengths go with the ids: the next document's part is cut before it is sent to its predecessor.
-    sizes = plain.groupBy("id").agg(F.min("text").alias("text")).select("id", F.length("text").cast("bigint").alias("n_chars"))
-    links = successors(sizes).withColumn("need", F.floor(F.col("n_chars") / 4).cast("int")).hint("merge")
-    heads = (
-        base.alias("d").join(links.select(F.col("id").alias("to_id"), "next_id", "need"), F.expr("d.id <=> next_id"))
-        .select("to_id", F.expr("substring(text, 1, need)").alias("head"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = plain.withColumns({"n": F.length("text").cast("bigint"), "h": F.xxhash64("text")})
+    # Ids and lengths go ahead of the texts: the part that a document lends is cut before it is sent.
+    sizes = plain.groupBy("id").agg(F.min(F.struct("n", "h")).alias("least")).select("id", "least.n", "least.h")
+    links = neighbours(sizes).select(
+        "id", F.col("n").alias("n_chars"), F.col("h").alias("least_h"), F.col("after.id").alias("next_id"), F.expr("int(n div 4)").alias("need"),
+        F.col("before.id").alias("prev_id"), F.expr("int(before.n div 4)").alias("prev_need"),
     )
-    own = base.join(links.withColumnRenamed("id", "own_id"), F.expr("id <=> own_id")).drop("own_id")
-    both = own.join(heads.hint("merge"), F.expr("id <=> to_id")).select(
+    # Each text is shuffled once, by id; all that follows up to the sketches stays in that partition.
+    # (Differences, not equations, so that they don't become keys of the join and the texts' exchange is the same in
+    # all uses: Spark then runs it once.)
+    same = "n - n_chars = 0 and (h ^ least_h) = 0"
+    own = plain.join(links.hint("merge"), "id").filter(same).dropDuplicates(["id"])
+    heads = own.select(F.col("prev_id").alias("to_id"), F.expr("substring(text, 1, prev_need)").alias("head"))
+    both = own.join(heads.hint("merge"), F.col("id") == F.col("to_id")).select(
         "id", "n_chars", "next_id", "text", F.concat(F.expr("substring(text, 1, int(n_chars) - need)"), "head").alias("edited")
     )
     texts = both.select("id", F.posexplode(F.array("text", "edited")).alias("kind", "text"))
@@ -105,10 +112,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max(F.when(F.col("kind") == 1, F.col("sketch"))).alias("other"),
     )
     facts = both.select("id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"))
-    full = facts.alias("f").join(sketches.withColumnRenamed("id", "s_id"), F.expr("id <=> s_id"), "left")
-    after = sketches.select(F.col("id").alias("n_id"), F.col("own").alias("next_own"))
-    return full.join(after, F.expr("next_id <=> n_id"), "left").select(
-        F.col("id").alias("doc_id"),
+    full = cut(facts.join(sketches, "id", "left"), "sketches")
+    after = full.select(F.col("id").alias("next_id"), F.col("own").alias("next_own"))
+    return full.join(after, "next_id").select(
+        F.nullif("id", F.lit(_NO_ID)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         as_text(F.col("own"), slots).alias("fingerprint"),

@@ -1,4 +1,4 @@
-"""The document that follows each document in ascending id order, without a global sort in one task."""
+"""The rows before and after each row in ascending id order, without a global sort in one task."""
 
 from __future__ import annotations
 
@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import cut
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(id, next_id) plus the other columns of ids, whose column id holds each id once; the last id is followed by the first.
+def neighbours(ids: DataFrame) -> DataFrame:
+    """ids(id, n, ...) with structs before and after (id, n) of the rows next to each; the order closes to a ring.
 
-    The narrow id table is split into ranges and written out with its range number, so that the ranges stay the same
-    however often a task runs. Within a range the next id is the next row; at its end it is the first id of the next
-    range, looked up in a table with one row per range.
+    Each non-null id stands once. The narrow id table is split into ranges and written out with its range number, so
+    that the ranges stay the same however often a task runs. Within a range the neighbours are the next rows; at its
+    ends they are the ends of the ranges next to it, looked up in a table with one row per range.
     """
     ranged = cut(
         ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("id"), "ranges"
     )
-    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id"))["id"].alias("first_id"))
-    ahead = Window.orderBy("part")  # one row per range
-    everything = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = firsts.select(
+    row = F.struct("id", "n")
+    ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
+    ring = Window.orderBy("part")  # one row per range
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    outside = ends.select(
         "part",
-        F.lead(F.struct("first_id")).over(ahead).alias("after"),
-        F.first(F.struct("first_id")).over(everything).alias("wrap"),
-    ).select("part", F.coalesce("after", "wrap")["first_id"].alias("after_id"))
+        F.coalesce(F.lag("high").over(ring), F.last("high").over(every)).alias("end_before"),
+        F.coalesce(F.lead("low").over(ring), F.first("low").over(every)).alias("end_after"),
+    )
     within = Window.partitionBy("part").orderBy("id")
-    follows = F.lead(F.struct("id")).over(within)
     return (
-        ranged.withColumn("follows", follows)
-        .join(F.broadcast(starts), "part")
-        .withColumn("next_id", F.when(F.col("follows").isNull(), F.col("after_id")).otherwise(F.col("follows")["id"]))
-        .drop("part", "follows", "after_id")
+        ranged.withColumns({"before": F.lag(row).over(within), "after": F.lead(row).over(within)})
+        .join(F.broadcast(outside), "part")
+        .withColumns({"before": F.coalesce("before", "end_before"), "after": F.coalesce("after", "end_after")})
+        .drop("part", "end_before", "end_after")
     )

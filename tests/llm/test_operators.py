@@ -84,7 +84,7 @@ def test_fingerprints_see_order(spark):
 
 
 def test_fingerprints_repeated_id(spark):
-    t = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c d e f")], "doc_id bigint, text string")
+    t = spark.createDataFrame([(1, "bbb"), (1, "a"), (1, "a"), (2, "c d e f")], "doc_id bigint, text string")
     assert {(r.doc_id, r.n_chars) for r in fingerprint.fingerprints(t).collect()} == {(1, 1), (2, 7)}
 
 
