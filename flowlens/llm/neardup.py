@@ -7,8 +7,10 @@
    others, as the original of many copies does. Pairs whose estimate from the packed bits (corrected for chance
    agreement of two-bit values) is far below the limit go; the rest are confirmed on full sets.
 4. Buckets whose members are then still in several components get a second pass over the pairs that cross components,
-   less those that the overlaps with the centre rule out: x and y share at most the smaller of their overlaps with it,
-   plus the smaller of what either has besides, and nothing besides if 1024-bit maps of that are disjoint. Every pair of a bucket is thereby tested, ruled out or known to be connected.
+   less those that an exact bound rules out. Each tested pair left 1024-bit maps of what the member has besides the
+   centre's set and of what it lacks of it. x and y share at most the centre's set less the bits set in either map of
+   what lacks, plus what x has besides less the bits that only its map has (or the same for y, if that is less). Every
+   pair of a bucket is thereby tested, ruled out or known to be connected.
 
 A true link of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the estimate drops it with
 probability 3e-6 (4.5 standard deviations).
@@ -65,11 +67,27 @@ def bit_map(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def disjoint(a: Column, b: Column) -> Column:
-    shared = a[0].bitwiseAND(b[0])
-    for k in range(1, 1024 // 64):
-        shared = shared.bitwiseOR(a[k].bitwiseAND(b[k]))
-    return shared == 0
+def _bits_set(words: list[Column]) -> Column:
+    count = F.bit_count(words[0])
+    for w in words[1:]:
+        count = count + F.bit_count(w)
+    return count
+
+
+def most_shared(a: dict[str, Column], b: dict[str, Column], centre_size: Column) -> Column:
+    """The most that two sets can have in common, from their maps against one centre.
+
+    Each side gives besides (how many of its elements the centre lacks), more (their map) and less (the map of the
+    centre's elements that it lacks). A bit that is set stands for one element at least, so bits count from below what
+    is missing or what one side has alone.
+    """
+    every = range(1024 // 64)
+    lacking = _bits_set([a["less"][k].bitwiseOR(b["less"][k]) for k in every])
+    alone = [
+        x["besides"] - _bits_set([x["more"][k].bitwiseAND(F.bitwise_not(y["more"][k])) for k in every])
+        for x, y in ((a, b), (b, a))
+    ]
+    return centre_size - lacking + F.least(*alone)
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -215,15 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = labelled.filter("rep <> head").join(open_keys, "key", "left_semi").join(bits, "rep").withColumns(
         {"a": F.least("rep", "head"), "b": F.greatest("rep", "head")}
     )
-    spokes = spokes.join(tested.drop("linked"), ["a", "b"], "left").withColumn("map", F.expr("if(rep = a, a_map, b_map)"))
-    rest = cut(spokes.select("key", "rep", "comp", "n", "bits", "both", "map"), "open")
+    spokes = spokes.join(tested.drop("linked"), ["a", "b"], "left").withColumns(
+        {"more": F.expr("if(rep = a, a_map, b_map)"), "less": F.expr("if(rep = a, b_map, a_map)")}
+    )
+    sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n"))
+    spokes = spokes.join(sizes, "head")
+    rest = cut(spokes.select("key", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open")
     if not rest.isEmpty():
-        x, y = (
-            rest.select("key", *[F.col(old).alias(f"{c}{new}") for old, new in (("rep", ""), ("comp", "_comp"), ("n", "_n"), ("bits", "_bits"), ("both", "_both"), ("map", "_map"))])
-            for c in "ab"
-        )
-        besides = F.least(F.col("a_n") - F.col("a_both"), F.col("b_n") - F.col("b_both"))
-        most = F.least("a_both", "b_both") + F.when(disjoint(F.col("a_map"), F.col("b_map")), 0).otherwise(besides)
+        parts = (("rep", ""), ("comp", "_comp"), ("n", "_n"), ("bits", "_bits"), ("both", "_both"), ("more", "_more"), ("less", "_less"))
+        x = rest.select("key", "head_n", *[F.col(old).alias(f"a{new}") for old, new in parts])
+        y = rest.select("key", *[F.col(old).alias(f"b{new}") for old, new in parts])
+        side = [{"besides": F.col(f"{c}_n") - F.col(f"{c}_both"), "more": F.col(f"{c}_more"), "less": F.col(f"{c}_less")} for c in "ab"]
+        most = F.least(most_shared(*side, F.col("head_n")), "a_n", "b_n")
         possible = 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
         alike = (
             (F.col("a_comp") < F.col("b_comp"))
