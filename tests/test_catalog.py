@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import flowlens.plans.flows  # noqa: F401
+import flowlens.plans.packets  # noqa: F401
 import flowlens.plans.tables  # noqa: F401
 from flowlens.plans import catalog
 
