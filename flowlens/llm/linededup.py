@@ -70,7 +70,8 @@ def without_boilerplate(
     """
     free_names(docs, [id_col, text_col, site_col])
     gone = removed_lines(docs, id_col, text_col, site_col, min_sites).withColumnRenamed("id", "gone_id")
-    both = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")), "left")
+    # One kind of join at every size: how many documents lose lines grows with docs, so their positions are no side to broadcast.
+    both = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("gone_id")), "left")
     lines = F.split(text_col, "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("gone_positions", i))
     words = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
