@@ -1,8 +1,12 @@
 """Quality rules on whole texts: word rules and zstandard compression bands.
 
-The ratio of raw to compressed size is taken over the whole document and over each fixed chunk. Text that compresses too
-well is repetitive, text that hardly compresses is noise; what is too much depends on the length, since short texts give
-the compressor little to work with.
+The ratio of raw to compressed size is taken over the whole document, over each fixed chunk and over each small piece.
+Text that compresses too well is repetitive, text that hardly compresses is noise; what is too much depends on the length,
+since short texts give the compressor little to work with.
+
+The least ratios are what noise of that length compresses to at most: base64 in words of four characters, at the longest
+text of the band (random printable characters and longer words compress less). Pieces find noise between prose, from about
+one piece on. Hexadecimal noise compresses like text and is not found.
 """
 
 from __future__ import annotations
@@ -21,19 +25,25 @@ from flowlens.llm.common import free_names, ship
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the compression ratio by size: (bytes from, least, most) for documents, one pair for chunks."""
+    """Limits of the compression ratio by size: (bytes from, least, most) for documents, one pair for chunks, the least for pieces."""
 
     level: int = 3
     chunk: int = 4096
     document: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 3.0),
-        (256, 1.05, 3.5),
-        (1024, 1.2, 4.0),
-        (4096, 1.4, 5.0),
+        (0, 1.12, 3.0),
+        (200, 1.19, 3.0),
+        (256, 1.27, 3.5),
+        (512, 1.36, 3.5),
+        (1024, 1.4, 4.0),
+        (2048, 1.42, 4.0),
+        (4096, 1.44, 5.0),
         (32768, 1.5, 6.0),
     )
-    chunks: tuple[float, float] = (1.15, 5.0)
-    share: float = 0.5  # of the chunks that may be outside their limits
+    chunks: tuple[float, float] = (1.43, 5.0)
+    piece: int = 512
+    piece_least: float = 1.28
+    share: float = 0.5  # of the chunks that may be too repetitive
+    noise_share: float = 0.25  # of the chunks, and of the pieces, that may be noise
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -79,11 +89,19 @@ def _verdict(bands: Bands, n: int, repeated: int, ratio: float, size: int, chunk
     low, high = bands.chunks
     if sum(r > high for r in chunk_ratios) > bands.share * len(chunk_ratios):
         return "repetitive_chunks"
-    if sum(r < low for r in chunk_ratios) > bands.share * len(chunk_ratios):
+    if sum(r < low for r in chunk_ratios) > bands.noise_share * len(chunk_ratios):
         return "incompressible_chunks"
     return ""
 
 
+def _windows(data: bytes, size: int) -> list[bytes]:
+    """Whole windows of data longer than one: a short rest would look like noise, so the last one ends with the data."""
+    if len(data) <= size:
+        return []
+    starts = [*range(0, len(data) - size + 1, size)]
+    return [data[at : at + size] for at in (starts if len(data) % size == 0 else [*starts, len(data) - size])]
+
+
 def _judge(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=bands.level, write_content_size=False).compress
@@ -93,10 +111,12 @@ def _judge(bands: Bands):
                 data = (text.as_py() or "").encode("utf-8")
                 n, chars, symbols, lines, repeated = word_facts(data)
                 ratio = len(data) / len(compress(data)) if data else 1.0
-                # Whole chunks only: a short rest would look like noise.
-                parts = [data[at : at + bands.chunk] for at in range(0, len(data) - bands.chunk + 1, bands.chunk)] if len(data) > bands.chunk else []
-                ratios = [len(p) / len(compress(p)) for p in parts]
+                ratios = [len(p) / len(compress(p)) for p in _windows(data, bands.chunk)]
                 why = _verdict(bands, n, repeated, ratio, len(data), ratios)
+                if not why:
+                    pieces = _windows(data, bands.piece)
+                    if sum(len(p) < bands.piece_least * len(compress(p)) for p in pieces) > bands.noise_share * len(pieces):
+                        why = "incompressible_pieces"
                 base = why in ("few_words", "repeated_words")
                 rows.append((doc_id, n, chars, symbols, lines, repeated, base, not why, ratio, min(ratios, default=None), max(ratios, default=None), why or None))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 3 + [pa.string()]

@@ -197,6 +197,34 @@ def test_quality_bands_and_filter(spark):
     assert [r.doc_id for r in quality.passing(t).collect()] == [2] and quality.passing(t).columns == t.columns
 
 
+def test_quality_noise_of_every_band(spark):
+    rnd = random.Random(7)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    printable = "".join(map(chr, range(33, 127)))
+    stock = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 9))) for _ in range(900)]
+
+    def noise(chars, width, size):
+        return " ".join("".join(rnd.choices(chars, k=width)) for _ in range(size // (width + 1) + 1))[:size].strip()
+
+    def prose(size):
+        return " ".join(rnd.choices(stock, k=size // 2))[:size].strip()
+
+    rows = []
+    for size in (255, 320, 500, 700, 1000, 1500, 2000, 3000, 4000, 5000, 8000, 30000, 100000):
+        rows += [(f"prose {size}", prose(size))] if size >= 500 else []
+        widths = [w for w in (4, 5, 8, 20) if size // (w + 1) > 50]
+        rows += [(f"{name} {w} {size}", noise(c, w, size)) for name, c in (("base64", base64), ("printable", printable)) for w in widths]
+        if size >= 1500:  # six tenths noise, at the front, at the end and between
+            a, b, c = prose(size * 2 // 10), noise(base64, 20, size * 6 // 10), prose(size * 2 // 10)
+            rows += [(f"front {size}", f"{b} {a} {c}"), (f"end {size}", f"{a} {c} {b}"), (f"between {size}", f"{a} {b} {c}")]
+    rows.append(("tail", prose(4200) + " " + noise(base64, 20, 3800)))
+    t = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    got = by_id(quality.quality(t))
+    for k, (name, _) in enumerate(rows):
+        assert got[k].kept == name.startswith("prose"), (name, got[k])
+        assert got[k].kept or "incompressible" in got[k].reason, (name, got[k])
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 
 
