@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _unit(rows: pd.DataFrame) -> np.ndarray:
+    m = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    n = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(n == 0, 1, n)[:, None]
+
+
 def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, block_rows: int = 20_000) -> DataFrame:
     """(query_id, ref_id, distance, rank) of the k nearest references other than the query itself; ties go to the smaller id.
 
@@ -19,18 +25,13 @@ def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, b
     dealt = refs.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.lit(True).alias("is_ref"))
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(False).alias("is_ref"))
 
-    def unit(rows: pd.DataFrame) -> np.ndarray:
-        m = np.stack(rows["v"].to_numpy()).astype(np.float64)
-        n = np.sqrt((m * m).sum(axis=1))
-        return m / np.where(n == 0, 1, n)[:, None]
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            ref_ids, matrix = right["id"].to_numpy(), unit(right)
+            ref_ids, matrix = right["id"].to_numpy(), _unit(right)
             for at in range(0, len(left), 512):
                 part = left.iloc[at : at + 512]
-                distance = 1 - unit(part) @ matrix.T
+                distance = 1 - _unit(part) @ matrix.T
                 for i, q in enumerate(part["id"].to_numpy()):
                     order = np.lexsort((ref_ids, np.round(distance[i], 9)))
                     order = order[ref_ids[order] != q][:k]
@@ -42,18 +43,41 @@ def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, b
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def class_margins(found: DataFrame, classes: DataFrame) -> DataFrame:
+def class_margins(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, klass: str, block_rows: int = 20_000) -> DataFrame:
     """Per query: distance to the nearest reference of its class and of another, and their difference.
 
-    found holds (query_id, ref_id, distance); classes holds (id, klass).
+    All references other than the query itself are searched, however many are nearer. Queries and references are dealt
+    into blocks; each pair of blocks is one task's group and returns one row a query, of which the least count. Where a
+    side has no reference, or a class is null, the distance is null.
     """
-    q = classes.select(F.col("id").alias("query_id"), F.col("klass").alias("q_class"))
-    r = classes.select(F.col("id").alias("ref_id"), F.col("klass").alias("r_class"))
-    same = F.col("q_class") == F.col("r_class")
-    return (
-        found.join(q, "query_id").join(r, "ref_id").groupBy("query_id")
-        .agg(F.min(F.when(same, F.col("distance"))).alias("own"), F.min(F.when(~same, F.col("distance"))).alias("other"))
-        .withColumn("margin", F.col("other") - F.col("own"))
-    )
+    asked_blocks, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
+    row = [F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(klass).alias("klass")]
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    def own_block(n):
+        return F.pmod(F.xxhash64(id_col), F.lit(n).cast("bigint"))
 
+    asked = queries.select(*row, own_block(asked_blocks).alias("ask"), every(blocks).alias("block"))
+    dealt = refs.select(*row, every(asked_blocks).alias("ask"), own_block(blocks).alias("block"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            codes = pd.factorize(pd.concat([left["klass"], right["klass"]], ignore_index=True))[0]  # null: -1
+            q_class, r_class = codes[: len(left)], codes[len(left) :]
+            q_ids, r_ids, matrix = left["id"].to_numpy(), right["id"].to_numpy(), _unit(right)
+            for at in range(0, len(left), 512):
+                part = slice(at, at + 512)
+                distance = 1 - _unit(left.iloc[part]) @ matrix.T
+                others = q_ids[part, None] != r_ids[None, :]
+                known = others & (q_class[part, None] >= 0) & (r_class[None, :] >= 0)
+                same = q_class[part, None] == r_class[None, :]
+                least = {n: np.where(known & side, distance, np.inf).min(axis=1) for n, side in (("own", same), ("other", ~same))}
+                out.append(pd.DataFrame({"query_id": q_ids[part], **least})[others.any(axis=1)])
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "own": [], "other": []}).astype({"query_id": "int64", "own": "float64", "other": "float64"})
 
+    found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(run, "query_id bigint, own double, other double")
+    least = found.groupBy("query_id").agg(*[F.min(F.when(F.col(c) < float("inf"), F.col(c))).alias(c) for c in ("own", "other")])
+    return least.withColumn("margin", F.col("other") - F.col("own"))
