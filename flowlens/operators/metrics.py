@@ -53,21 +53,22 @@ def summary(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -
     )
 
 
-def bootstrap_macro_f1(df: DataFrame, truth: str, pred: str, draws: int, seed: int) -> DataFrame:
+def bootstrap_macro_f1(df: DataFrame, truth: str, pred: str, draws: int, seed: int, draw_rows: int = 5_000_000) -> DataFrame:
     """Percentiles 2.5, 50 and 97.5 of macro F1 over resamples of the confusion counts.
 
     A resample draws as many rows as there are, with replacement: draw i of resample b takes the cell into whose
-    cumulative count a hash of (seed, b, i) falls. Only cell boundaries are joined, never rows.
+    cumulative count a hash of (seed, b, i) falls. Only cell boundaries are joined, never rows. Draws are made in
+    ranges of about draw_rows, each a task of its own that hashes, finds the cells and counts them.
     """
     cells = confusion(df, truth, pred)
+    total = df.count()
     order = Window.orderBy(truth, pred)  # classes squared rows
     cells = cells.withColumn("upto", F.sum("n").over(order)).withColumn("start", F.col("upto") - F.col("n"))
-    n = cells.agg(F.max("upto").alias("total"))
-    draw = (
-        n.select("total", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-        .select("total", "b", F.explode(F.sequence(F.lit(0), (F.col("total") - 1).cast("int"))).alias("i"))
-        .withColumn("u", F.pmod(F.conv(F.substring(stable_hash(F.lit(seed), F.col("b"), F.col("i")), 1, 12), 16, 10).cast("bigint"), "total"))
-    )
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-draws * total // draw_rows))
+    place = spark.range(0, draws * total, 1, tasks).select(F.expr(f"id div {max(total, 1)}").alias("b"), (F.col("id") % max(total, 1)).alias("i"))
+    number = F.conv(F.substring(stable_hash(F.lit(seed), F.col("b"), F.col("i")), 1, 12), 16, 10).cast("bigint")
+    draw = place.withColumn("u", F.pmod(number, F.lit(max(total, 1)).cast("bigint")))
     picked = draw.join(F.broadcast(cells), (F.col("u") >= F.col("start")) & (F.col("u") < F.col("upto"))).select("b", truth, pred)
     scores = summary(picked, truth, pred, ["b"])
     return scores.agg(*[F.percentile("macro_f1", F.lit(q)).alias(name) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])

@@ -274,7 +274,7 @@ def source_stratified(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return M.bootstrap_macro_f1(_predicted(spark, d), "t", "p", 50, 42)
+    return M.bootstrap_macro_f1(_predicted(spark, d), "t", "p", 200, 42)
 
 
 @query(f"SELECT round(quantile_cont(x, 0.05), 6) AS threshold FROM (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'F')")

@@ -1,9 +1,14 @@
 """Operators against plain Python, on inputs that the driver's tables do not hold."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
+
+from flowlens.operators import metrics as M
 from flowlens.operators import neighbours as N
+from flowlens.plans import tables
 
 
 def test_class_margins_beyond_the_nearest(spark):
@@ -28,3 +33,31 @@ def test_class_margins_beyond_the_nearest(spark):
                 other = min((distance(v, w) for j, w, c in rows if k and c and c != k), default=None)
                 for a, b in ((got[i].own, own), (got[i].other, other), (got[i].margin, None if own is None or other is None else other - own)):
                     assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9), i
+
+
+def test_bootstrap_draws(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abc"), rnd.choice("abcd")) for _ in range(60)]
+    cells = sorted(rows)  # by truth and prediction, as the cells' cumulative counts run
+    scores = []
+    for b in range(200):
+        drawn = [cells[int(hashlib.sha256(f"42|{b}|{i}".encode()).hexdigest()[:12], 16) % 60] for i in range(60)]
+        seen = {x for t in drawn for x in t}
+        f1 = [2 * sum(t == p == k for t, p in drawn) / (sum(t == k for t, _ in drawn) + sum(p == k for _, p in drawn)) for k in seen]
+        scores.append(sum(f1) / len(f1))
+    t = spark.createDataFrame(rows, "t string, p string")
+    monkeypatch.setattr(tables, "_predicted", lambda spark, d: t)
+    [got] = tables.bootstrap_ci(spark, "").collect()
+    assert np.allclose([got.low, got.middle, got.high], np.percentile(scores, [2.5, 50, 97.5]), atol=1e-12)
+    [none] = M.bootstrap_macro_f1(t.filter("false"), "t", "p", 200, 42).collect()
+    assert none.low is None
+
+
+def test_bootstrap_ranges(spark, monkeypatch):
+    """The draws of a table of three thousand million rows lie in many ranges, where an array of places would not hold."""
+    asked, ranges = [], spark.range
+    t = spark.createDataFrame([("a", "a"), ("a", "b")], "t string, p string")
+    monkeypatch.setattr(type(t), "count", lambda self: 3_000_000_000)
+    monkeypatch.setattr(type(spark), "range", lambda self, *a: asked.append(a) or ranges(0))
+    M.bootstrap_macro_f1(t, "t", "p", 200, 42)
+    assert asked == [(0, 600_000_000_000, 1, 120_000)]
