@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowlens.functions.scalars import micros
 
@@ -46,21 +52,73 @@ def gap_islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_s
 def timeout_flows(df: DataFrame, keys: list[str], ts: str, idle: float, active: float) -> DataFrame:
     """Flows of each key that close at min(first + active, last + idle), an event at that very time opening the next.
 
-    Idle gaps split first, with a window, so that the fold over a sorted array only spans one busy period of one key.
+    Rows are dealt by key and sorted by time (Spark spills the sort), then pass as a stream: of what went before, a task
+    holds the open flow only, its key, first and last time and count. A key's events pass one task. Null times are dropped.
     """
-    periods = gap_islands(df, keys, [ts], ts, idle, "period")
-    times = periods.groupBy(*keys, "period").agg(F.sort_array(F.collect_list(micros(ts) / F.lit(1e6))).alias("times"))
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<struct<first:double,last:double,n:bigint>>").alias("done"))
-
-    def step(acc, x):
-        new = acc["first"].isNull() | (x >= acc["first"] + active)
-        head = F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0)))
-        opened = F.concat(acc["done"], F.array(F.struct(x.alias("first"), x.alias("last"), F.lit(1).cast("bigint").alias("n"))))
-        grown = F.concat(head, F.array(F.struct(acc["first"].alias("first"), x.alias("last"), (F.try_element_at(acc["done"], F.lit(-1))["n"] + 1).alias("n"))))
-        return F.struct(F.when(new, x).otherwise(acc["first"]).alias("first"), F.when(new, opened).otherwise(grown).alias("done"))
-
-    flows = times.select(*keys, F.explode(F.aggregate("times", start, step, lambda a: a["done"])).alias("flow"))
-    return flows.select(*keys, F.col("flow.first").alias("first_seen"), F.col("flow.last").alias("last_seen"), F.col("flow.n").alias("n_events"))
+    idle_us, active_us = round(idle * 1e6), round(active * 1e6)
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], micros(ts).cast("bigint").alias("us")).filter("us is not null")
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, "us")
+    fields = [dealt.schema[n] for n in names]
+    schema = StructType([*fields, *[StructField(n, LongType()) for n in ("first", "last", "n")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the open flow: key as a batch of one row, first, last, n
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            key, us = batch.select(names), batch.column(len(names)).to_numpy()
+            turns = [0, *(np.flatnonzero(_changes(key)) + 1).tolist(), size]
+            done = []  # key as a batch of one row, first, last, n
+            for start, stop in zip(turns, turns[1:], strict=False):
+                times, one = us[start:stop], key.slice(start, 1)
+                far = (np.flatnonzero(np.diff(times) >= idle_us) + 1).tolist() + [len(times)]  # where idle gaps end
+                at = gap = 0
+                if held is not None and (start or _changes(pa.Table.from_batches([held[0], one]).combine_chunks().to_batches()[0]).any()):
+                    done.append(held)
+                    held = None
+                while at < len(times):
+                    first, last, n = (times[at], None, 0) if held is None else held[1:]
+                    while far[gap] <= at:
+                        gap += 1
+                    if last is not None and times[at] - last >= idle_us:
+                        end = at
+                    else:  # a new flow takes its first event whatever active is
+                        end = max(at + (last is None), min(far[gap], int(np.searchsorted(times, first + active_us))))
+                    if end > at:
+                        last, n = times[end - 1], n + end - at
+                    held = (one, first, last, n)
+                    at = end
+                    if at < len(times):
+                        done.append(held)
+                        held = None
+            if done:
+                yield _flows(done, names)
+        if held is not None:
+            yield _flows([held], names)
+
+    flows = dealt.mapInArrow(run, schema)
+    return flows.select(
+        *[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)],
+        (F.col("first") / F.lit(1e6)).alias("first_seen"), (F.col("last") / F.lit(1e6)).alias("last_seen"), F.col("n").alias("n_events"),
+    )
+
+
+def _changes(key: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first has another key than the row before; nulls are equal."""
+    found = np.zeros(max(key.num_rows - 1, 0), bool)
+    for c in key.columns:
+        a, b = c.slice(0, len(found)), c.slice(1)
+        differ = pc.if_else(pc.or_(a.is_null(), b.is_null()), pc.not_equal(a.is_null(), b.is_null()), pc.not_equal(a, b))
+        found |= differ.to_numpy(zero_copy_only=False).astype(bool)
+    return found
+
+
+def _flows(done: list, names: list[str]) -> pa.RecordBatch:
+    key = pa.Table.from_batches([d[0] for d in done]).combine_chunks().to_batches()[0]
+    counts = [pa.array([int(d[i]) for d in done], pa.int64()) for i in (1, 2, 3)]
+    return pa.RecordBatch.from_arrays([*key.columns, *counts], [*names, "first", "last", "n"])
 
 
 def peak_concurrency(df: DataFrame, keys: list[str], start: str, finish: str) -> DataFrame:

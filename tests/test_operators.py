@@ -8,6 +8,7 @@ import numpy as np
 
 from flowlens.operators import metrics as M
 from flowlens.operators import neighbours as N
+from flowlens.operators import ordered as O
 from flowlens.plans import tables
 
 
@@ -61,3 +62,35 @@ def test_bootstrap_ranges(spark, monkeypatch):
     monkeypatch.setattr(type(spark), "range", lambda self, *a: asked.append(a) or ranges(0))
     M.bootstrap_macro_f1(t, "t", "p", 200, 42)
     assert asked == [(0, 600_000_000_000, 1, 120_000)]
+
+
+def walk(times, idle, active):
+    flows = []
+    for t in sorted(times):
+        if not flows or t >= min(flows[-1][0] + active, flows[-1][1] + idle):
+            flows.append([t, t, 0])
+        flows[-1][1] = t
+        flows[-1][2] += 1
+    return [tuple(f) for f in flows]
+
+
+def test_timeout_flows(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(3), rnd.randrange(4000)) for _ in range(1500)] + [("a", 1, None), ("z", 0, None), ("y", 9, 5), ("y", 9, 5)]
+    t = spark.createDataFrame(rows, "k string, j int, s long").selectExpr("k", "j", "timestamp_seconds(s) as ts").repartition(3)
+    want = {(k, j, *f) for k, j in {r[:2] for r in rows} for f in walk([s for a, b, s in rows if (a, b) == (k, j) and s is not None], 20, 50)}
+    for size in (10_000, 7, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [tuple(r) for r in O.timeout_flows(t, ["k", "j"], "ts", 20.0, 50.0).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_timeout_flows_one_long_period(spark):
+    """One key, no idle gap: 150,000 flows in one busy period, which no task may hold as one value."""
+    t = spark.range(300_000).selectExpr("1 as k", "timestamp_seconds(id) as ts")
+    flows = O.timeout_flows(t, ["k"], "ts", 20.0, 2.0)
+    assert "collect_list" not in flows._jdf.queryExecution().toString()
+    assert flows.groupBy("n_events").count().collect() == [(2, 150_000)]
