@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on whole shingle sets.
 
-1. Each document's set of 5-word shingles gives 128 minima. Bands of four minima make 32 bucket keys; the low two bits
+1. Each document's set of 5-word shingles gives 128 minima. Bands of four minima make 32 bucket keys; two mixed bits
    of all minima are packed into 256 bits.
 2. Documents with equal sets form a class; only its smallest doc_id goes on, so exact copies never meet in pairs.
 3. In each bucket every member is paired with the bucket's centre only: the member that shares the most buckets with
@@ -13,7 +13,8 @@
    pair of a bucket is thereby tested, ruled out or known to be connected.
 
 A true link of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the estimate drops it with
-probability 3e-6 (4.5 standard deviations).
+probability 3e-6 (4.5 standard deviations) if places are independent. In 20,000 simulated pairs each at that limit it
+dropped none of 4 and 3 shingles, one of 7 and 7, 8 and 6, and 12 and 9, and none of 20 and 15.
 """
 
 from __future__ import annotations
@@ -54,8 +55,12 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(low: np.ndarray) -> np.ndarray:
-    """The two low bits of each minimum, 32 minima to a 64-bit integer."""
-    two = (low & np.uint32(3)).astype(np.uint64).reshape(_LONGS, 64 // BITS)
+    """Two bits of each minimum, 32 minima to a 64-bit integer.
+
+    Minima are mixed first: the low bits of x * odd + c depend on those of x only, so that two shingles would agree by
+    chance in all places or in none.
+    """
+    two = (mix(low.astype(np.uint64)) & np.uint64(3)).reshape(_LONGS, 64 // BITS)
     shifts = np.arange(0, 64, BITS, dtype=np.uint64)
     return (two << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 

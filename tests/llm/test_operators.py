@@ -306,6 +306,18 @@ def test_bbit_estimate(spark):
     assert abs(got - 850 / 1150) < 0.15
 
 
+def test_bbit_estimate_of_small_sets():
+    """Pairs of 4 and 3 shingles at similarity 0.75: chance agreements of different places must not go together."""
+    rng, lost = np.random.default_rng(1), 0
+    for _ in range(5000):
+        x = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        a, b = (neardup.packed_bits(neardup.minima(s)).view(np.uint64) for s in (x, x[:3]))
+        places = np.arange(0, 64, 2, dtype=np.uint64)
+        agree = (((a ^ b)[:, None] >> places) & np.uint64(3)) == 0
+        lost += agree.sum() < neardup.least_matches(75)
+    assert lost <= 1
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------
 
 
