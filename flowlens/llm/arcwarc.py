@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, free_names, new_path, ship, small_side
+from flowlens.llm.common import cut, need, new_path, ship, small_side
 
 # Fixed field lists of the ARC formats.
 ARC_FIELDS = {
@@ -68,7 +68,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_col:
     Null bodies are empty, null URLs get a stand-in, white space in URLs is percent-encoded. A row is a record, so
     repeated rows give repeated records; a null id is written as "None".
     """
-    free_names(pages, [id_col, url_col, body_col])
+    need(pages, [id_col, url_col, body_col])
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint"), F.col(url_col), F.col(body_col))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, ship
+from flowlens.llm.common import need, ship
 
 _APOSTROPHE = 0x27
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -148,7 +148,7 @@ def _encode(paths: tuple[str, str, str]):
 
 def encode(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null text gives an empty array."""
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encode((json_path, ranks_path, pattern)), "doc_id bigint, ids array<int>")
@@ -161,7 +161,7 @@ def round_trips(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
     has it by default. Texts are encoded whole, at any length. Rows are independent, so repeated rows and ids repeat
     their results; columns besides the two named are ignored.
     """
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

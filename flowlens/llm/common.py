@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan that is read once for heavy work per row: dealt to all cores if its files split into fewer parts."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it there."""
     sc = spark.sparkContext
@@ -41,10 +47,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; on a cluster that would be another folder on each
+    machine, so it is an error there.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -64,6 +76,12 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_with(df: DataFrame, what: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over its rows that are gathered while they are written."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(name) for name, c in facts.items()]), what), seen.get
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
@@ -85,7 +103,36 @@ def small_side(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def free_names(df: DataFrame, wanted: Sequence[str]) -> None:
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Sequence[str], rows: int, how: str = "inner", salts: int = 32) -> DataFrame:
+    """many joined with few, which has each key once and no other column of many; a key may hold a third of many's rows.
+
+    Up to 100,000 rows few is broadcast. Beyond that each of its rows is sent to ``salts`` places, among which the rows
+    of many with its key are dealt by the hash of their columns ``spread``.
+    """
+    if rows <= 100_000:
+        return many.join(F.broadcast(few), keys, how)
+    everywhere = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return dealt.join(everywhere, [*keys, "_salt"], how).drop("_salt")
+
+
+def need(df: DataFrame, wanted: Sequence[str]) -> None:
     missing = [c for c in wanted if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that df has no column of, in any case of letters; for helper columns."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, free_names, let
+from flowlens.llm.common import cut, need, let
 from flowlens.llm.order import neighbours
 
 SLOTS, K = 64, 3
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first. An empty table gives an empty result. Texts
     are read whole. Other columns are ignored, whatever their names.
     """
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = plain.withColumns({"n": F.length("text").cast("bigint"), "h": F.xxhash64("text")})
     # Ids and lengths go ahead of the texts: the part that a document lends is cut before it is sent.

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, ship
+from flowlens.llm.common import need, ship
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -41,7 +41,7 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary per language from at most sample_docs rows each; rows with null text or language teach nothing."""
-    free_names(docs, [id_col, text_col, lang_col])
+    need(docs, [id_col, text_col, lang_col])
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     order = Window.partitionBy("lang").orderBy("h", "id")
     ranked = (

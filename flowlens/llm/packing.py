@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, free_names, ship
+from flowlens.llm.common import cut, need, ship
 from flowlens.llm.wordbpe import word_bpe
 
 CAPACITY, BLOCK_ROWS, END_ID = 2048, 50_000, 0
@@ -98,7 +98,7 @@ def pack(
     are cut. Rows that repeat an id are packed each on its own; null ids are allowed. Columns besides the two named are
     ignored. An empty table gives no rows.
     """
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = cut(rows.mapInArrow(_pieces(tokenizer_path, capacity), _PIECES), "pieces")

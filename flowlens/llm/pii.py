@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, let
+from flowlens.llm.common import need, let
 
 # Fixed patterns of the four base kinds. Possessive quantifiers and the look-behinds only stop retries that cannot
 # match, so that long runs take linear time; matches are those of the plain patterns.
@@ -139,7 +139,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts as empty and has no spans. Each row is looked at alone, so repeated rows and ids do no harm; of the columns
     of docs only text_col is read, and only a column named pii_spans would be replaced.
     """
-    free_names(docs, [text_col])
+    need(docs, [text_col])
     text = F.col("pii_text")
     rows = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn(
         "has_digit", F.regexp_like("pii_text", F.lit("[0-9]"))
@@ -164,7 +164,7 @@ def written(spans: Column, with_score: bool = False) -> Column:
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: counts and digest of the base spans, all spans, and all spans with scores."""
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     found = find_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = [k for k, kind in enumerate(KINDS) if kind.base]
 

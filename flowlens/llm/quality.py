@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, ship
+from flowlens.llm.common import need, ship
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
     Null text counts as empty: no words, so it fails for few words. Texts are read whole. Rows are independent, so
     repeated rows and ids repeat their results; columns besides the two named are ignored.
     """
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_judge(bands), _SCHEMA)
@@ -141,7 +141,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
 
 def passing(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
     """The rows of docs whose text passes, with their columns and without a shuffle."""
-    free_names(docs, [text_col])
+    need(docs, [text_col])
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import free_names, ship
+from flowlens.llm.common import need, ship
 
 CHUNK, OVERLAP = 16_384, 256
 _SPACE = "▁"
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     Null text counts as empty with 0 tokens. Texts are counted whole, at any length. Rows are independent, so repeated
     rows and ids repeat their results; columns besides the two named are ignored.
     """
-    free_names(docs, [id_col, text_col])
+    need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_count(model_path, limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
