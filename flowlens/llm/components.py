@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut
+from flowlens.llm.common import cut_with
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,27 +16,25 @@ def components(links: DataFrame) -> DataFrame:
     with very many neighbours is never gathered in one row; the table is written out after each round.
     Loops and null ids are ignored; no links give an empty result.
     """
-    now = cut(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
+    now, mark = _written(
+        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = _mark(now)
-    while seen[0]:
+    seen = None
+    while mark[0] and mark != seen:
+        seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        mark = _mark(now)
-        if mark == seen:
-            break
-        seen = mark
+        now, mark = _written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
         now.select("v", "v").distinct()
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free digest, to see whether a round changed anything."""
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The table written out, with its row count and an order-free digest to see whether a round changed anything."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+    out, seen = cut_with(edges, "links", n=F.count(F.lit(1)), total=F.sum(h.cast("decimal(38,0)")), mixed=F.bit_xor(h))
+    return out, (seen["n"], seen["total"], seen["mixed"])

@@ -1,16 +1,19 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on whole shingle sets.
 
-1. Each document's set of 5-word shingles gives 128 minima. Bands of four minima make 32 bucket keys; two mixed bits
-   of all minima are packed into 256 bits.
-2. Documents with equal sets form a class; only its smallest doc_id goes on, so exact copies never meet in pairs.
+1. Rows are numbered and written out with their texts. Each document's set of 5-word shingles gives 128 minima. Bands of
+   four minima make 32 bucket keys; two mixed bits of all minima are packed into 256 bits.
+2. Documents with equal sets form a class; only one row of it goes on, so exact copies never meet in pairs.
 3. In each bucket every member is paired with the bucket's centre only: the member that shares the most buckets with
    others, as the original of many copies does. Pairs whose estimate from the packed bits (corrected for chance
-   agreement of two-bit values) is far below the limit go; the rest are confirmed on full sets.
+   agreement of two-bit values) is far below the limit go; the rest are confirmed on full sets, in groups of one centre
+   and a bounded number of members.
 4. Buckets whose members are then still in several components get a second pass over the pairs that cross components,
    less those that an exact bound rules out. Each tested pair left 1024-bit maps of what the member has besides the
    centre's set and of what it lacks of it. x and y share at most the centre's set less the bits set in either map of
-   what lacks, plus what x has besides less the bits that only its map has (or the same for y, if that is less). Every
-   pair of a bucket is thereby tested, ruled out or known to be connected.
+   what lacks, plus what x has besides less the bits that only its map has (or the same for y, if that is less). Members
+   are dealt to blocks of bounded size; those outside the bucket's largest component go to every block, where they meet
+   members of about their own number of shingles. Every pair of a bucket is thereby tested, ruled out or known to be
+   connected.
 
 A true link of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the estimate drops it with
 probability 3e-6 (4.5 standard deviations) if places are independent. In 20,000 simulated pairs each at that limit it
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, free_names, ship, small_side
+from flowlens.llm.common import cut, cut_with, named, need, salted_join, ship, small_side
 from flowlens.llm.components import components
 from flowlens.llm.shingles import mix, overlap, shingle_set
 
@@ -118,10 +121,10 @@ def least_matches(percent: int) -> int:
     return int(HASHES * p - 4.5 * (HASHES * p * (1 - p)) ** 0.5)
 
 
-_SIGNED = "id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
-
-
-_TESTED = "a bigint, b bigint, both bigint, linked boolean, a_map array<bigint>, b_map array<bigint>"
+_SIGNED = "node bigint, id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
+_TESTED = "head bigint, rep bigint, both bigint, linked boolean, more array<bigint>, less array<bigint>"
+#: Members of one centre that are confirmed in one group, and members of a second-pass block.
+_GROUP, _BLOCK = 512, 1024
 
 
 def _signatures(k: int):
@@ -130,7 +133,7 @@ def _signatures(k: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, s1, s2, bands, bits = [], [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     got = shingle_set(text, k)
                     n.append(len(got))
                     if len(got):
@@ -142,132 +145,182 @@ def _signatures(k: int):
                         s1.append(None), s2.append(None), bands.append(None), bits.append(None)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)],
-                    ["id", "n_shingles", "s1", "s2", "bands", "bits"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)],
+                    ["node", "id", "n_shingles", "s1", "s2", "bands", "bits"],
                 )
 
     return run
 
 
 def _confirm(k: int, percent: int, maps: bool):
+    """Rows (head, salt, rep, text) come in that order: first the centre's own text (rep is null), then its members'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}  # sets of the last few left-hand documents: their pairs come together
+        centre, one = None, np.empty(0, dtype=np.uint64)
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            a, right, both, linked = batch.column("a").to_pylist(), batch.column("b_text"), [], []
-            a_map, b_map = [], []
-            left = batch.column("a_text")
-            for i, x in enumerate(a):
-                text = left[i].as_py()
-                if x not in kept or kept[x][0] != text:
-                    if len(kept) >= 4:
-                        kept.pop(next(iter(kept)))
-                    kept[x] = (text, shingle_set(text, k))
-                one, two = kept[x][1], shingle_set(right[i].as_py(), k)
-                both.append(overlap(one, two))
-                linked.append(100 * both[-1] >= percent * (len(one) + len(two) - both[-1]))
-                a_map.append(bit_map(np.setdiff1d(one, two, assume_unique=True)) if maps else None)
-                b_map.append(bit_map(np.setdiff1d(two, one, assume_unique=True)) if maps else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(a_map, longs), pa.array(b_map, longs)],
-                ["a", "b", "both", "linked", "a_map", "b_map"],
-            )
+            out = []
+            for head, rep, text in zip(batch.column("head").to_pylist(), batch.column("rep").to_pylist(), batch.column("text"), strict=True):
+                got = shingle_set(text.as_py(), k)
+                if rep is None:
+                    centre, one = head, got
+                    continue
+                if centre != head:
+                    raise ValueError(f"the text of row {head} is missing")
+                both = overlap(one, got)
+                linked = 100 * both >= percent * (len(one) + len(got) - both)
+                more = bit_map(np.setdiff1d(got, one, assume_unique=True)) if maps else None
+                less = bit_map(np.setdiff1d(one, got, assume_unique=True)) if maps else None
+                out.append((head, rep, both, linked, more, less))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), longs, longs]
+                names = [c.split()[0] for c in _TESTED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, kept) per row of docs.
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, size, rep, head) of every bucket with several members; head is its centre."""
+    placed = classes.select("rep", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    inside = cut(placed.join(shared.hint("merge"), "key"), "buckets")
+    weights = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = inside.join(weights.hint("merge"), "rep")
+    centres = weighed.groupBy("key").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("head"))
+    return cut(inside.select("key", "size", "rep").join(centres.hint("merge"), "key"), "members")
 
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets; component_id is the
-    smallest id that links reach, kept says whether the document is that one.
 
-    Null text counts as empty; documents without words are linked with nothing and kept. Texts are read whole, at any
-    length. Rows with a null id are kept and have a null component_id. Rows that repeat an id and a text get the same
-    component each; under a repeated id with another text each row goes by its own text. Columns besides the two named are ignored, whatever their names.
+def _parts(size: str, rows: int) -> Column:
+    """Into how many parts of about that many rows a group of so many is dealt."""
+    return F.ceil(F.col(size) / rows).cast("int")
+
+
+def _worth_testing(pairs: DataFrame, bits: DataFrame, n_classes: int, percent: int, least: int) -> DataFrame:
+    """The rows of pairs (head, rep, ...) whose sizes and packed bits do not rule out that both are alike; a head may be in very many."""
+    x, y = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("head", "rep"))
+    heads = x.join(pairs.select("head").distinct().hint("merge"), "head", "left_semi")
+    both = salted_join(pairs.join(y.hint("merge"), "rep"), heads, ["head"], ["rep"], n_classes)
+    return both.filter(F.least("head_n", "rep_n") * 100 >= F.greatest("head_n", "rep_n") * percent).filter(
+        agreeing(F.col("head_bits"), F.col("rep_bits")) >= least
+    ).select(*pairs.columns)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, maps: bool) -> DataFrame:
+    """Each pair (head, rep, size) with the size of what both sets hold, whether they are linked, and maps of how they differ.
+
+    size says how many partners head may have: they are dealt to groups of about _GROUP, and the text of head is sent to
+    each group once.
     """
-    free_names(docs, [id_col, text_col])
-    ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(k), _SIGNED), "signatures")
-    real = signed.filter("n_shingles > 0 and id is not null")
-    classes = cut(
-        real.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")),
-        "classes",
+    dealt = cut(pairs.select("head", F.pmod(F.xxhash64("rep"), _parts("size", _GROUP)).cast("int").alias("salt"), "rep"), "pairs")
+    members = dealt.join(texts.withColumnRenamed("node", "rep").hint("merge"), "rep").select("head", "salt", "rep", "text")
+    centres = dealt.select("head", "salt").distinct().join(texts.withColumnRenamed("node", "head").hint("merge"), "head")
+    rows = members.union(centres.select("head", "salt", F.lit(None).cast("bigint"), "text"))
+    rows = rows.repartition("head", "salt").sortWithinPartitions("head", "salt", F.col("rep").asc_nulls_first())
+    return cut(rows.mapInArrow(_confirm(k, percent, maps), _TESTED), "confirmed")
+
+
+def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (head, rep, size) of members of one bucket in different components that no exact bound rules out; None if there are none.
+
+    Pairs with the bucket's centre were tested before. Of any other pair across components one side at least is outside
+    the bucket's largest component: all members are dealt to blocks, and those outsiders go to every block.
+    """
+    labelled = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp"))
+    counts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    mains = counts.groupBy("key").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    spokes = labelled.filter("rep <> head").join(mains.select("key", "main"), "key").join(bits, "rep").join(tested.drop("linked"), ["head", "rep"], "left")
+    head_sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n"))
+    # Sizes on a scale whose step is the limit: of two sets that are alike, the larger one is on the same step or the next.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    spokes = spokes.join(head_sizes, "head").withColumns({"step": step, "outside": F.col("comp") != F.col("main")})
+    rest, seen = cut_with(spokes.select("key", "size", "step", "outside", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return None
+    parts = ("outside", "rep", "comp", "n", "bits", "both", "more", "less")
+    blocks = _parts("size", _BLOCK)
+    x = rest.withColumns({"x_key": F.col("key"), "x_step": F.col("step"), "x_block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
+    x = x.select("x_key", "x_step", "x_block", "size", "head_n", *[F.col(c).alias(f"a_{c}") for c in parts])
+    y = rest.filter("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)))
+    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "step", "block", *[F.col(c).alias(f"b_{c}") for c in parts])
+    side = [{"besides": F.col(f"{c}_n") - F.col(f"{c}_both"), "more": F.col(f"{c}_more"), "less": F.col(f"{c}_less")} for c in "ab"]
+    most = F.least(most_shared(*side, F.col("head_n")), "a_n", "b_n")
+    alike = (
+        (F.col("x_key") == F.col("key")) & (F.col("x_step") == F.col("step")) & (F.col("x_block") == F.col("block"))
+        & (F.col("a_comp") != F.col("b_comp"))
+        & (~F.col("a_outside") | (F.col("a_rep") < F.col("b_rep")))  # two outsiders meet twice
+        & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+        & (agreeing(F.col("a_bits"), F.col("b_bits")) >= least_matches(percent))
+        & F.coalesce(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most), F.lit(True))
     )
+    pairs = x.join(y.hint("merge"), alike).groupBy(F.col("a_rep").alias("head"), F.col("b_rep").alias("rep")).agg(F.max("size").alias("size"))
+    found, seen = cut_with(pairs, "crossing", n=F.count(F.lit(1)))
+    return found if seen["n"] else None
 
-    placed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    inside = cut(placed.join(shared.hint("merge"), "key"), "buckets")
-    weights = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
-    inside = inside.join(weights.hint("merge"), "rep")
-    centres = inside.groupBy("key").agg((-F.max(F.struct("weight", -F.col("rep")))["col2"]).alias("head"))
-    members = cut(inside.select("key", "rep").join(centres.hint("merge"), "key"), "members")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    wanted = cut(texts.join(small_side(ids, ids.count(), 1_000_000), "id", "left_semi"), "texts")
-    bits = classes.select("rep", "n", "bits")
 
-    def worth_testing(pairs: DataFrame, least: int) -> DataFrame:
-        x, y = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
-        return (
-            pairs.join(x, "a").join(y, "b")
-            .filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-            .filter(agreeing(F.col("a_bits"), F.col("b_bits")) >= least)
-            .select("a", "b").distinct()
-        )
-
-    def confirmed(pairs: DataFrame, maps: bool = False) -> DataFrame:
-        pairs = cut(pairs, "pairs")
-        right = wanted.select(F.col("id").alias("b"), F.col("text").alias("b_text")).hint("merge")
-        left = wanted.select(F.col("id").alias("a"), F.col("text").alias("a_text")).hint("merge")
-        rows = pairs.join(right, "b").join(left, "a")
-        return cut(rows.select("a", "b", "a_text", "b_text").mapInArrow(_confirm(k, percent, maps), _TESTED), "confirmed")
-
-    ends = F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")
-    stars = members.filter("rep <> head").select(*ends).distinct()
-    # The centres are tested more widely than links need: their overlaps rule out pairs of others below.
-    tested = confirmed(worth_testing(stars, least_matches(percent * 2 // 5)), True)
-    links = tested.filter("linked").select("a", "b")
-    roots = components(links)
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, row_col: str | None = None
+) -> DataFrame:
+    """One row (doc_id, n_shingles, component_id, kept, stays) per row of docs.
 
-    labelled = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", "head", F.coalesce("root", "rep").alias("comp")
-    )
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    # Pairs with the head were tested above; what is left are pairs of other members across components.
-    spokes = labelled.filter("rep <> head").join(open_keys, "key", "left_semi").join(bits, "rep").withColumns(
-        {"a": F.least("rep", "head"), "b": F.greatest("rep", "head")}
-    )
-    spokes = spokes.join(tested.drop("linked"), ["a", "b"], "left").withColumns(
-        {"more": F.expr("if(rep = a, a_map, b_map)"), "less": F.expr("if(rep = a, b_map, a_map)")}
-    )
-    sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n"))
-    spokes = spokes.join(sizes, "head")
-    rest = cut(spokes.select("key", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open")
-    if not rest.isEmpty():
-        parts = (("rep", ""), ("comp", "_comp"), ("n", "_n"), ("bits", "_bits"), ("both", "_both"), ("more", "_more"), ("less", "_less"))
-        x = rest.select("key", "head_n", *[F.col(old).alias(f"a{new}") for old, new in parts])
-        y = rest.select("key", *[F.col(old).alias(f"b{new}") for old, new in parts])
-        side = [{"besides": F.col(f"{c}_n") - F.col(f"{c}_both"), "more": F.col(f"{c}_more"), "less": F.col(f"{c}_less")} for c in "ab"]
-        most = F.least(most_shared(*side, F.col("head_n")), "a_n", "b_n")
-        possible = 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
-        alike = (
-            (F.col("a_comp") < F.col("b_comp"))
-            & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-            & (agreeing(F.col("a_bits"), F.col("b_bits")) >= least_matches(percent))
-            & F.coalesce(possible, F.lit(True))
-        )
-        more = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & alike).select("a", "b").distinct()
-        roots = components(links.union(confirmed(more).filter("linked").select("a", "b")))
-
-    reps = real.select("id", "n_shingles", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
-    found = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "id", "n_shingles", F.coalesce("root", "rep").alias("comp")
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets; component_id is the
+    smallest id that links reach, kept says whether the document has that id. stays is true for exactly one row of each
+    group: that with the smallest id, null ids last; of rows that repeat it, any one.
+
+    Null text counts as empty; documents without words are linked with nothing, are their own component, are kept and
+    stay. Texts are read whole, at any length. Each row goes by its own text, whatever ids it shares with others; groups
+    of which all ids are null have a null component_id, and kept is then stays. Empty tables give no rows. Columns besides
+    the two named are ignored, whatever their names. row_col names a column of unique numbers of a written table; it is
+    then returned too, as row, and rows are not numbered and written again.
+    """
+    need(docs, [id_col, text_col, *([row_col] if row_col else [])])
+    ship(docs.sparkSession)
+    columns = [named(id_col).cast("bigint").alias("id"), named(text_col).alias("text")]
+    if row_col:
+        rows = docs.select(named(row_col).cast("bigint").alias("node"), *columns)
+    else:
+        rows = cut(docs.select(F.monotonically_increasing_id().alias("node"), *columns), "rows")
+    texts = rows.select("node", "text")
+    signed = cut(rows.mapInArrow(_signatures(k), _SIGNED), "signatures")
+    real = signed.filter("n_shingles > 0")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")  # the least one stands for its group
+    classes, seen = cut_with(
+        real.groupBy("s1", "s2").agg(
+            F.min("node").alias("rep"), F.min(place).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+        ),
+        "classes", n=F.count(F.lit(1)),
+    )
+    members = _buckets(classes)
+    ids = members.select(F.col("rep").alias("node")).distinct()
+    wanted = texts.join(small_side(ids, seen["n"], 1_000_000), "node", "left_semi")
+    bits = classes.select("rep", "n", "bits")
+    # The centres are tested more widely than links need: their overlaps rule out pairs of others below.
+    stars = members.filter("rep <> head").groupBy("head", "rep").agg(F.max("size").alias("size"))
+    tested = _confirmed(_worth_testing(stars, bits, seen["n"], percent, least_matches(percent * 2 // 5)), wanted, k, percent, True)
+    roots = components(tested.filter("linked").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    crossing = _crossing(members, tested, roots, bits, percent)
+    if crossing is not None:
+        more = _confirmed(crossing, wanted, k, percent, False).filter("linked").select("head", "rep")
+        # The components that these links connect are contracted to their roots first.
+        for end in ("head", "rep"):
+            more = more.join(roots.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        upper = components(more.select(F.col("head").alias("a"), F.col("rep").alias("b"))).toDF("root", "top")
+        lower = roots.union(upper.select("root", "root")).distinct()
+        roots = lower.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+    linked = roots.withColumnRenamed("id", "rep").join(classes.select("rep", "first"), "rep")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
+    groups = linked.select("rep", "root").join(firsts, "root").select("rep", "group_first")
+    heads = classes.join(groups, "rep", "left").select("s1", "s2", F.coalesce("group_first", "first").alias("first"))
+    found = real.select("node", "id", "n_shingles", "s1", "s2").join(heads, ["s1", "s2"]).select(
+        "node", "id", "n_shingles", F.col("first.id").alias("comp"), (F.col("node") == F.col("first.node")).alias("stays")
     )
-    none = signed.filter("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("comp"))
+    none = signed.filter("n_shingles = 0").select("node", "id", "n_shingles", F.col("id").alias("comp"), F.lit(True).alias("stays"))
     return found.union(none).select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         F.col("comp").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"),
+        F.when(F.col("comp").isNull(), F.col("stays")).otherwise(F.col("id").eqNullSafe(F.col("comp"))).alias("kept"),
+        "stays",
+        *([F.col("node").alias("row")] if row_col else []),
     )

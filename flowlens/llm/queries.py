@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import arcwarc, bpe, fingerprint, langid, linededup, neardup, packing, pii, quality, tokencount
-from flowlens.llm.common import table
+from flowlens.llm.common import dealt, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,19 +33,19 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(table(spark, sf_dir, "documents"))
+    return pii.pii_report(dealt(table(spark, sf_dir, "documents")))
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(dealt(table(spark, sf_dir, "documents")))
 
 
 def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(dealt(table(spark, sf_dir, "documents")))
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = linededup.without_boilerplate(table(spark, sf_dir, "documents"))
+    clean = linededup.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return clean.select(
         "doc_id", "n_lines", "n_removed",
         F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("clean_chars"),
@@ -58,7 +58,7 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(dealt(table(spark, sf_dir, "documents")), tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +66,12 @@ def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return bpe.round_trips(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), split_pattern())
 
 
 def op10_resync_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return tokencount.token_counts(dealt(table(spark, sf_dir, "documents")), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
