@@ -1,9 +1,9 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-Each language's dictionary is raw text of a bounded, hash-ordered sample of labelled training rows. A text is compressed
-in fixed chunks with every dictionary (a dictionary helps near the start only, so chunks keep it at work through a long
-text), and the total sizes are compared over the whole text, in lower case. Where the two smallest are close the decision is not
-accepted.
+Each language's dictionary is the raw text of a bounded, hash-ordered sample of labelled training rows, each of them whole.
+A text is compressed in fixed chunks with every dictionary (a dictionary helps near the start only, so chunks keep it at
+work through a long text), and the total sizes are compared over the whole text, in lower case. Where the two smallest are
+close the decision is not accepted.
 """
 
 from __future__ import annotations
@@ -17,18 +17,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import need, ship
+from flowlens.llm.common import named, need, ship
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample, compression, and the least relative margin of an accepted decision."""
+    """Bound of the training sample, compression, and the least relative margin of an accepted decision."""
 
-    sample_docs: int = 400  # labelled rows a language
-    sample_chars: int = 400  # taken from each
-    dictionary_bytes: int = 112_640
+    sample_docs: int = 150  # labelled rows a language; the dictionary is all their text
+    short_bytes: int = 1000  # rows of up to so many bytes are taken first, longer ones by rising length
     level: int = 6
     chunk: int = 8192
     margin: float = 0.02
@@ -36,23 +35,35 @@ class Settings:
 
 def held_out(id_col: str) -> Column:
     """Rows that training never sees: crc32 of the id as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary per language from at most sample_docs rows each; rows with null text or language teach nothing."""
+def sample(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, rank, text): at most sample_docs whole texts of each language, the first in hash order.
+
+    Counts by language, over narrow columns, say below which hash a row may be among the first; so only some sixteen times
+    as many rows as are wanted come to the window, at any number of rows and partitions.
+    """
     need(docs, [id_col, text_col, lang_col])
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ranked = (
-        known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(17), id_col).alias("h"), F.substring(text_col, 1, settings.sample_chars).alias("text"))
+    h = F.xxhash64(F.lit(17), named(id_col))
+    known = docs.filter(named(lang_col).isNotNull() & ~held_out(id_col))
+    counts = known.groupBy(named(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = known.filter(named(text_col).isNotNull()).select(
+        named(lang_col).alias("lang"), h.alias("h"), named(id_col).alias("id"), named(text_col).alias("text")
+    )
+    early = F.pmod("h", F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("rows") < 16 * settings.sample_docs
+    order = Window.partitionBy("lang").orderBy(F.greatest(F.octet_length("text"), F.lit(settings.short_bytes)), "h", "id", "text")
+    return (
+        rows.join(F.broadcast(counts), "lang").filter(early)  # one row a language
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.sample_docs)
+        .select("lang", "rank", "text")
     )
-    rows = sorted((r.lang, r.rank, r.text) for r in ranked.select("lang", "rank", "text").collect())
-    return {
-        lang: "\n".join(t for x, _, t in rows if x == lang).lower().encode("utf-8")[-settings.dictionary_bytes :]
-        for lang in sorted({r[0] for r in rows})
-    }
+
+
+def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary per language from at most sample_docs whole texts each; rows with null text or language teach nothing."""
+    rows = sorted(tuple(r) for r in sample(docs, settings, id_col, text_col, lang_col).collect())
+    return {lang: "\n".join(t for x, _, t in rows if x == lang).lower().encode("utf-8") for lang in sorted({r[0] for r in rows})}
 
 
 def _predict(dictionaries: dict[str, bytes], s: Settings):
@@ -92,6 +103,6 @@ def languages(docs: DataFrame, settings: Settings = Settings(), id_col: str = "d
     """
     ship(docs.sparkSession)
     dictionaries = fit(docs, settings, id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), named(text_col).alias("text"))
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double, accepted boolean"
     return rows.mapInArrow(_predict(dictionaries, settings), schema)
