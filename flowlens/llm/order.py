@@ -1,4 +1,4 @@
-"""The rows before and after each row in ascending id order, without a global sort in one task."""
+"""The rows before and after each row in ascending order, without a global sort in one task."""
 
 from __future__ import annotations
 
@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import cut
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """ids(id, n, ...) with structs before and after (id, n) of the rows next to each; the order closes to a ring.
+def neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with structs before and after (of keys) of the rows next to each in ascending order of keys; the order closes to a ring.
 
-    Each non-null id stands once. The narrow id table is split into ranges and written out with its range number, so
-    that the ranges stay the same however often a task runs. Within a range the neighbours are the next rows; at its
-    ends they are the ends of the ranges next to it, looked up in a table with one row per range.
+    Each combination of keys stands once and none is null. The narrow table is split into ranges and written out with its
+    range number, so that the ranges stay the same however often a task runs. Within a range the neighbours are the next
+    rows; at its ends they are the ends of the ranges next to it, looked up in a table with one row per range.
     """
-    ranged = cut(
-        ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("id"), "ranges"
-    )
-    row = F.struct("id", "n")
+    ranged = cut(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys), "ranges")
+    row = F.struct(*keys)
     ends = ranged.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))
     ring = Window.orderBy("part")  # one row per range
     every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -27,7 +25,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
         F.coalesce(F.lag("high").over(ring), F.last("high").over(every)).alias("end_before"),
         F.coalesce(F.lead("low").over(ring), F.first("low").over(every)).alias("end_after"),
     )
-    within = Window.partitionBy("part").orderBy("id")
+    within = Window.partitionBy("part").orderBy(*keys)
     return (
         ranged.withColumns({"before": F.lag(row).over(within), "after": F.lead(row).over(within)})
         .join(F.broadcast(outside), "part")

@@ -49,46 +49,17 @@ def real(spark):
 # --- 1 -----------------------------------------------------------------------------------------------------------
 
 
-def test_fingerprints_edit_and_order(spark, docs, none):
-    got = by_id(fingerprint.fingerprints(docs.withColumnRenamed("source", "sketch")))
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    ids = sorted(texts, key=lambda x: (x is not None, x))
-    assert set(got) == set(ids)
-    for k, i in enumerate(ids):
-        after = texts[ids[(k + 1) % len(ids)]]
-        need = len(texts[i]) // 4
-        edited = texts[i][: len(texts[i]) - need] + after[:need]
-        r = got[i]
-        assert r.n_chars == len(texts[i])
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert len(r.fingerprint) == len(r.edited_fingerprint) == 8 * fingerprint.SLOTS
-        for j in ids:
-            if texts[i] == texts[j]:
-                assert r.fingerprint == got[j].fingerprint
-        if edited == texts[i]:
-            assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
-    assert fingerprint.fingerprints(none).count() == 0
-    one = fingerprint.fingerprints(docs.filter("doc_id = 22")).collect()
-    assert len(one) == 1 and one[0].near_next == 1
-
-
 def test_fingerprints_see_order(spark):
     w = [f"t{i}" for i in range(400)]
     moved = w[200:] + w[:200]
     swapped = [x for k in range(0, 400, 4) for x in (*w[k + 2 : k + 4], *w[k : k + 2])]
     t = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(moved)), (3, " ".join(swapped))], "id int, text string").repartition("id")
-    s = {r.id: r.sketch for r in fingerprint.order_minhash(t, ["id"]).collect()}
+    s = {r.id: r.own for r in fingerprint.order_minhash(t, ["id"]).collect()}
     same = lambda a, b: np.mean([x == y for x, y in zip(s[a], s[b], strict=True)])
     assert 0.2 < same(1, 2) < 0.8  # the same k-mers nearly all, half of the pairs in another order
     assert same(1, 3) < 0.2
 
 
-def test_fingerprints_repeated_id(spark):
-    t = spark.createDataFrame([(1, "bbb"), (1, "a"), (1, "a"), (2, "c d e f")], "doc_id bigint, text string")
-    assert {(r.doc_id, r.n_chars) for r in fingerprint.fingerprints(t).collect()} == {(1, 1), (2, 7)}
-
-
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
 
