@@ -11,9 +11,9 @@
    less those that an exact bound rules out. Each tested pair left 1024-bit maps of what the member has besides the
    centre's set and of what it lacks of it. x and y share at most the centre's set less the bits set in either map of
    what lacks, plus what x has besides less the bits that only its map has (or the same for y, if that is less). Members
-   are dealt to blocks of bounded size; those outside the bucket's largest component go to every block, where they meet
-   members of about their own number of shingles. Every pair of a bucket is thereby tested, ruled out or known to be
-   connected.
+   meet in groups, the buckets of one centre taken together where that makes fewer comparisons. They are dealt to blocks
+   of bounded size; those outside the group's largest component go to every block, where they meet members of about their
+   own number of shingles. Every pair of a bucket is thereby tested, ruled out or known to be connected.
 
 A true link of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6; the estimate drops it with
 probability 3e-6 (4.5 standard deviations) if places are independent. In 20,000 simulated pairs each at that limit it
@@ -124,7 +124,7 @@ def least_matches(percent: int) -> int:
 _SIGNED = "node bigint, id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
 _TESTED = "head bigint, rep bigint, both bigint, linked boolean, more array<bigint>, less array<bigint>"
 #: Members of one centre that are confirmed in one group, and members of a second-pass block.
-_GROUP, _BLOCK = 512, 1024
+_GROUP, _BLOCK = 64, 1024
 
 
 def _signatures(k: int):
@@ -220,33 +220,51 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, maps: b
     return cut(rows.mapInArrow(_confirm(k, percent, maps), _TESTED), "confirmed")
 
 
-def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame | None:
+def _meetings(members: DataFrame, n_classes: int) -> DataFrame:
+    """(kind, grp, size, head, rep, comp): the groups in which members other than their centre are to be compared with each other.
+
+    Copies of one original share many buckets, all with the same centre. Where that makes fewer comparisons, the buckets
+    of a centre are one group, in which each member stands once; else each bucket is a group.
+    """
+    apart = members.groupBy("head", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("head").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    once = members.groupBy("head", "rep").agg(F.first("comp").alias("comp"))
+    choice = once.groupBy("head").agg(F.count(F.lit(1)).alias("m")).join(apart, "head")
+    choice = choice.select("head", "m", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole"))
+    whole = salted_join(once, choice.filter("whole"), ["head"], ["rep"], n_classes)
+    parts = salted_join(members, choice.filter("not whole"), ["head"], ["rep"], n_classes)
+    return whole.select(F.lit(0).alias("kind"), F.col("head").alias("grp"), F.col("m").alias("size"), "head", "rep", "comp").union(
+        parts.select(F.lit(1), "key", "size", "head", "rep", "comp")
+    )
+
+
+def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: DataFrame, n_classes: int, percent: int) -> DataFrame | None:
     """Pairs (head, rep, size) of members of one bucket in different components that no exact bound rules out; None if there are none.
 
     Pairs with the bucket's centre were tested before. Of any other pair across components one side at least is outside
-    the bucket's largest component: all members are dealt to blocks, and those outsiders go to every block.
+    the group's largest component: all members are dealt to blocks, and those outsiders go to every block.
     """
-    labelled = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp"))
-    counts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mains = counts.groupBy("key").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    spokes = labelled.filter("rep <> head").join(mains.select("key", "main"), "key").join(bits, "rep").join(tested.drop("linked"), ["head", "rep"], "left")
+    labelled = members.filter("rep <> head").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    grouped = cut(_meetings(labelled.select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp")), n_classes), "groups")
+    counts = grouped.groupBy("kind", "grp", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    mains = counts.groupBy("kind", "grp").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    spokes = grouped.join(mains.select("kind", "grp", "main"), ["kind", "grp"]).join(bits, "rep").join(tested.drop("linked"), ["head", "rep"], "left")
     head_sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n"))
     # Sizes on a scale whose step is the limit: of two sets that are alike, the larger one is on the same step or the next.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     spokes = spokes.join(head_sizes, "head").withColumns({"step": step, "outside": F.col("comp") != F.col("main")})
-    rest, seen = cut_with(spokes.select("key", "size", "step", "outside", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open", n=F.count(F.lit(1)))
+    rest, seen = cut_with(spokes.select("kind", "grp", "size", "step", "outside", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None
     parts = ("outside", "rep", "comp", "n", "bits", "both", "more", "less")
     blocks = _parts("size", _BLOCK)
-    x = rest.withColumns({"x_key": F.col("key"), "x_step": F.col("step"), "x_block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    x = x.select("x_key", "x_step", "x_block", "size", "head_n", *[F.col(c).alias(f"a_{c}") for c in parts])
+    x = rest.withColumns({"x_kind": F.col("kind"), "x_grp": F.col("grp"), "x_step": F.col("step"), "x_block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
+    x = x.select("x_kind", "x_grp", "x_step", "x_block", "size", "head_n", *[F.col(c).alias(f"a_{c}") for c in parts])
     y = rest.filter("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)))
-    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "step", "block", *[F.col(c).alias(f"b_{c}") for c in parts])
+    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("kind", "grp", "step", "block", *[F.col(c).alias(f"b_{c}") for c in parts])
     side = [{"besides": F.col(f"{c}_n") - F.col(f"{c}_both"), "more": F.col(f"{c}_more"), "less": F.col(f"{c}_less")} for c in "ab"]
     most = F.least(most_shared(*side, F.col("head_n")), "a_n", "b_n")
     alike = (
-        (F.col("x_key") == F.col("key")) & (F.col("x_step") == F.col("step")) & (F.col("x_block") == F.col("block"))
+        (F.col("x_kind") == F.col("kind")) & (F.col("x_grp") == F.col("grp")) & (F.col("x_step") == F.col("step")) & (F.col("x_block") == F.col("block"))
         & (F.col("a_comp") != F.col("b_comp"))
         & (~F.col("a_outside") | (F.col("a_rep") < F.col("b_rep")))  # two outsiders meet twice
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
@@ -298,7 +316,7 @@ def near_duplicates(
     stars = members.filter("rep <> head").groupBy("head", "rep").agg(F.max("size").alias("size"))
     tested = _confirmed(_worth_testing(stars, bits, seen["n"], percent, least_matches(percent * 2 // 5)), wanted, k, percent, True)
     roots = components(tested.filter("linked").select(F.col("head").alias("a"), F.col("rep").alias("b")))
-    crossing = _crossing(members, tested, roots, bits, percent)
+    crossing = _crossing(members, tested, roots, bits, seen["n"], percent)
     if crossing is not None:
         more = _confirmed(crossing, wanted, k, percent, False).filter("linked").select("head", "rep")
         # The components that these links connect are contracted to their roots first.
