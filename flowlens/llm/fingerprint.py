@@ -11,6 +11,8 @@ text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +23,26 @@ SLOTS, K = 64, 3
 _NO_ID = -(2**63)  # stands for a null id
 _TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 _KEYS = ["id", "n", "h"]
+_OWN, _OTHER = 1, 2  # which of two texts has a k-mer
 
 
-def _kmers(tokens: Column, k: int) -> Column:
-    """Hashes of the runs of k tokens in order; a text with fewer tokens has one run, without tokens none."""
+def _kmers(tokens: Column, k: int, at: Column, side: Callable[[Column], Column]) -> Column:
+    """(w, at, side) of the runs of k tokens: hash, place (the first one's is ``at``) and which texts have it; a text with
+    fewer tokens has one run, without tokens none."""
 
     def body(t):
         firsts = F.slice(t, 1, F.greatest(F.size(t) - (k - 1), F.lit(1)))
-        return F.transform(firsts, lambda x, i: F.xxhash64(x, *[F.get(t, i + j) for j in range(1, k)]))
+
+        def run(x, i):
+            return F.struct(F.xxhash64(x, *[F.get(t, i + j) for j in range(1, k)]).alias("w"), (i + at).alias("at"), side(i).alias("side"))
+
+        return F.transform(firsts, run)
 
     return let(tokens, body)
 
 
-def _numbered(marked: Column, side: str) -> Column:
-    """Of an array of (w, at, own, other) in order of w and place, those of one side that repeat, numbered within their k-mer from 1."""
+def _numbered(repeated: Column, side: int) -> Column:
+    """Of (w, at, side, nth) in order of w and place, those that one text has, numbered within their k-mer from 1."""
 
     def numbers(a):
         first = F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i == 0) | (i == F.size(a)) | ~a[F.greatest(i - 1, F.lit(0))]["w"].eqNullSafe(F.get(a, i)["w"]))
@@ -42,13 +50,12 @@ def _numbered(marked: Column, side: str) -> Column:
         return F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(1), n)))
 
     def entry(x, n):
-        one = {"own": F.lit(side == "own"), "other": F.lit(side == "other")}
-        return F.struct(x["w"].alias("w"), x["at"].alias("at"), one["own"].alias("own"), one["other"].alias("other"), n.alias("nth"))
+        return F.struct(x["w"].alias("w"), x["at"].alias("at"), F.lit(side).alias("side"), n.alias("nth"))
 
     def body(a):
-        return F.when(F.size(a) > 0, F.zip_with(a, numbers(a), entry))
+        return F.when(F.size(a) > 0, F.zip_with(a, numbers(a), entry)).otherwise(F.slice(a, 1, 0))
 
-    return let(F.filter(marked, lambda x: x[side]), body)
+    return let(F.filter(repeated, lambda x: x["side"].isin(side, _OWN | _OTHER)), body)
 
 
 def order_minhash(texts: DataFrame, keys: list[str], text: str = "text", other: str | None = None, k: int = K, slots: int = SLOTS) -> DataFrame:
@@ -58,51 +65,45 @@ def order_minhash(texts: DataFrame, keys: list[str], text: str = "text", other:
     what both texts have in common at their start are worked out again. Texts without tokens have no sketch (null), texts
     without any have no row here.
     """
+    sides = {"own": _OWN, "other": _OTHER} if other else {"own": _OWN}
     a = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
     rows = texts.select(*keys, a.alias("a"), *([F.regexp_extract_all(other, F.lit(_TOKEN), 0).alias("b")] if other else []))
-    yes, no = F.lit(True), F.lit(False)
-
-    def mark(hashes, at, shared):
-        """(w, at, own, other) of k-mers from a place on; shared says which of them both texts have."""
-        return F.transform(hashes, lambda w, i: F.struct(w.alias("w"), (i + at).alias("at"), *shared(i)))
-
     if other:
         # How many tokens are the same from the start on.
         equal = F.zip_with(F.slice("a", 1, F.least(F.size("a"), F.size("b"))), F.slice("b", 1, F.least(F.size("a"), F.size("b"))), lambda x, y: x == y)
         same = let(equal, lambda e: F.when(F.array_contains(e, False), F.array_position(e, False).cast("int") - 1).otherwise(F.size(e)))
         rows = rows.select(*keys, "a", "b", same.alias("same"))
         common = F.greatest(F.col("same") - (k - 1), F.lit(0))  # k-mers that both texts begin with
-        mine = mark(_kmers(F.col("a"), k), F.lit(0), lambda i: (yes.alias("own"), (i < common).alias("other")))
-        theirs = mark(_kmers(F.slice("b", common + 1, F.size("b")), k), common, lambda i: (no.alias("own"), yes.alias("other")))
+        mine = _kmers(F.col("a"), k, F.lit(0), lambda i: F.when(i < common, _OWN | _OTHER).otherwise(_OWN))
+        theirs = _kmers(F.slice("b", common + 1, F.size("b")), k, common, lambda i: F.lit(_OTHER))
         # Where nothing is left of the second text there is no run of it either; a rest shorter than k is one only if it is all.
-        beyond = F.when((common == 0) | (F.size("b") - common >= k), theirs).otherwise(F.slice(theirs, 1, 0))
+        beyond = F.when((common == 0) | (F.size("b") - common >= k), theirs).otherwise(F.slice(mine, 1, 0))
         marked = rows.select(*keys, F.concat(mine, beyond).alias("m"))
     else:
-        marked = rows.select(*keys, mark(_kmers(F.col("a"), k), F.lit(0), lambda i: (yes.alias("own"), no.alias("other"))).alias("m"))
+        marked = rows.select(*keys, _kmers(F.col("a"), k, F.lit(0), lambda i: F.lit(_OWN)).alias("m"))
     ordered = marked.select(*keys, F.sort_array("m").alias("m"))
 
-    # Only k-mers that stand more than once are numbered; the others are their own first occurrence.
-    def repeats(m):
-        def stands_again(x, i):
-            before, after = F.get(m, F.greatest(i - 1, F.lit(0)))["w"], F.get(m, i + 1)["w"]
-            return ((i > 0) & (before == x["w"])) | F.coalesce(after == x["w"], F.lit(False))
+    def counted(x, i):  # only k-mers that stand more than once are numbered below; the others are their own first occurrence
+        before, after = F.get("m", i - 1)["w"], F.get("m", i + 1)["w"]
+        again = F.coalesce((before == x["w"]) | (after == x["w"]), before == x["w"], after == x["w"], F.lit(False))
+        return F.struct(x["w"].alias("w"), x["at"].alias("at"), x["side"].alias("side"), F.when(again, 0).otherwise(1).alias("nth"))
 
-        return stands_again
-
-    ordered = ordered.select(*keys, F.filter("m", lambda x, i: ~repeats(F.col("m"))(x, i)).alias("single"), F.filter("m", repeats(F.col("m"))).alias("again"))
-    once = F.transform("single", lambda x: F.struct(x["w"].alias("w"), x["at"].alias("at"), x["own"].alias("own"), x["other"].alias("other"), F.lit(1).alias("nth")))
-    parts = [once, *[F.coalesce(_numbered(F.col("again"), side), F.slice(once, 1, 0)) for side in (("own", "other") if other else ("own",))]]
-    entries = ordered.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.*")
-    hashed = entries.select(*keys, "at", "own", "other", F.xxhash64("w", "nth").alias("g"))
+    ordered = ordered.select(*keys, F.transform("m", counted).alias("m"))
+    ordered = ordered.select(*keys, "m", F.filter("m", lambda x: x["nth"] == 0).alias("again"))
+    parts = [F.col("m"), *[_numbered(F.col("again"), side) for side in sides.values()]]
+    entries = ordered.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.*").filter("nth > 0")
+    hashed = entries.select(*keys, "at", "side", F.xxhash64("w", "nth").alias("g"))
     hashed = hashed.withColumn("cell", F.pmod("g", F.lit(2 * slots)).cast("int"))
-    sides = ("own", "other") if other else ("own",)
-    least = hashed.groupBy(*keys, "cell").agg(
-        *[c for side in sides for c in (F.min(F.when(F.col(side), F.col("g"))).alias(f"{side}_g"), F.min_by("at", F.when(F.col(side), F.col("g"))).alias(f"{side}_at"))]
-    )
-    full = least.groupBy(*keys).agg(
-        *[F.sort_array(F.collect_list(F.when(F.col(f"{side}_g").isNotNull(), F.struct("cell", f"{side}_g", f"{side}_at")))).alias(side) for side in sides]
+
+    def least(name, side):
+        g = F.when(F.col("side").bitwiseAND(F.lit(side)) > 0, F.col("g"))
+        return F.min(g).alias(f"{name}_g"), F.min_by("at", g).alias(f"{name}_at")
+
+    cells = hashed.groupBy(*keys, "cell").agg(*[c for name, side in sides.items() for c in least(name, side)])
+    full = cells.groupBy(*keys).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col(f"{n}_g").isNotNull(), F.struct("cell", f"{n}_g", f"{n}_at")))).alias(n) for n in sides]
     )
-    return full.select(*keys, *[_slots(F.col(side), side, slots).alias(side) for side in sides])
+    return full.select(*keys, *[_slots(F.col(n), n, slots).alias(n) for n in sides])
 
 
 def _slots(cells: Column, side: str, slots: int) -> Column:
