@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,19 +118,41 @@ def split_targets(size: Column, train: int, val: int, test: int, threshold: int)
     return F.when(size >= threshold, large).otherwise(small)
 
 
-def content_split(df: DataFrame, klass: str, content: str, val: int, test: int) -> DataFrame:
-    """Rows with equal content go to one split. Groups of a class in order of their hash go to test and val by turns.
+def content_split(df: DataFrame, klass: str, content: str, train: int, val: int, test: int, threshold: int) -> DataFrame:
+    """df with split; rows with equal content go to one split.
 
-    A group goes there while the rows of earlier groups of its turn are fewer than that split's target, else to train.
-    Only (class, hash, size) is ordered, never rows.
+    The targets of a class are those of split_targets for its rows. Its groups are walked in order of their content: a
+    group goes to test while that is short and has no more rows than val (or val is full), else to val while that is
+    short, else to train; the very last group trains if none did before. A group that is not trained on adds a row at
+    least, so only the first val + test groups of a class can go elsewhere: those few are walked, one class a task, and
+    everything behind them trains.
     """
     groups = df.groupBy(klass, content).agg(F.count(F.lit(1)).alias("_size"))
-    turn = F.row_number().over(Window.partitionBy(klass).orderBy(content)) % 2
-    lane = Window.partitionBy(klass, "_turn").orderBy(content).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_size").over(lane), F.lit(0))
-    split = F.when((F.col("_turn") == 1) & (before < test), "test").when((F.col("_turn") == 0) & (before < val), "val").otherwise("train")
-    placed = groups.withColumn("_turn", turn).withColumn("split", split).select(klass, content, "split")
-    return df.join(placed, [klass, content])
+    totals = groups.groupBy(klass).agg(F.sum("_size").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
+    reach = val + test + 2  # proportional targets are rounded
+    early = groups.withColumn("_rank", F.row_number().over(Window.partitionBy(klass).orderBy(content))).filter(F.col("_rank") <= reach)
+    targets = split_targets(F.col("_rows"), train, val, test, threshold)
+    early = early.join(totals.withColumn("_t", targets), klass).select(klass, content, "_size", "_rank", "_groups", F.col("_t.val").alias("_val"), F.col("_t.test").alias("_test"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_rank")
+        held, short, trained, out = {"val": 0, "test": 0}, {k: int(rows[f"_{k}"].iloc[0]) for k in ("val", "test")}, False, []
+        for size, rank, last in zip(rows["_size"], rows["_rank"], rows["_groups"], strict=True):
+            if rank == last and not trained:
+                to = "train"
+            elif held["test"] < short["test"] and (held["test"] <= held["val"] or held["val"] >= short["val"]):
+                to = "test"
+            else:
+                to = "val" if held["val"] < short["val"] else "train"
+            trained = trained or to == "train"
+            if to != "train":
+                held[to] += size
+            out.append(to)
+        return rows[[klass, content]].assign(split=out)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(klass, content).schema)
+    placed = early.groupBy(klass).applyInPandas(walk, f"{fields}, split string").filter("split <> 'train'")
+    return df.join(placed, [klass, content], "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def value_ranges(df: DataFrame, by: str, value: str, kind: str) -> DataFrame:

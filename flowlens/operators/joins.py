@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.scalars import micros
 
 
-def first_window(rows: DataFrame, windows: DataFrame, on: Column, row_id: str, ordinal: str) -> DataFrame:
-    """Each row with the first window (by ordinal) that on holds for, or nulls; windows is a vocabulary of a few rows."""
-    w = Window.partitionBy(row_id).orderBy(F.col(ordinal).asc_nulls_last())
-    return rows.join(F.broadcast(windows), on, "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def first_window(windows: Sequence[tuple[tuple, Column]], schema: str) -> Column:
+    """The values, as a struct of schema, of the first of some (values, condition) that holds in the row; null fields if none does.
+
+    Windows are a vocabulary of a few dozen entries, so they become one expression: rows are neither joined nor shuffled.
+    """
+    values = T.StructType.fromDDL(schema)
+    found = F.lit(None).cast("int")
+    for k, (_, holds) in reversed(list(enumerate(windows))):
+        found = F.when(holds, F.lit(k)).otherwise(found)
+    table = [F.array(*[F.lit(w[0][i]).cast(f.dataType) for w in windows]) for i, f in enumerate(values)]
+    return F.struct(*[F.get(column, found).alias(f.name) for column, f in zip(table, values, strict=True)])
 
 
 def banded(df: DataFrame, ts: str, width: float, spread: bool = False, name: str = "band") -> DataFrame:
@@ -62,11 +72,15 @@ def both_directions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def match_flows(candidates: DataFrame, flows: DataFrame, tuple_cols: list[str], swaps: list[tuple[str, str]], candidate_id: str, c_ts: str, f_ts: str, f_order: str, tolerance: float, strict: bool = True) -> DataFrame:
     """Candidates matched to flows of the same tuple in either direction and about the same time.
 
-    Strict: forward matches before reversed ones, then the least time difference; a tie is AMBIGUOUS_MATCH. Otherwise the
-    first flow in emission order wins. A palindromic tuple is matched once.
+    A candidate without a time takes flows of its tuple at any time; their delta_us is null. Strict: forward matches
+    before reversed ones, then the least time difference; a tie is AMBIGUOUS_MATCH. Otherwise the first flow in emission
+    order wins. A palindromic tuple is matched once.
     """
     turned = both_directions(candidates, swaps)
-    pairs = within(turned, flows, tuple_cols, c_ts, f_ts, tolerance).withColumn("delta_us", F.abs(micros(c_ts) - micros(f_ts)))
+    wanted = [candidate_id, f_order, "reversed", "delta_us"]
+    timed = within(turned, flows, tuple_cols, c_ts, f_ts, tolerance).withColumn("delta_us", F.abs(micros(c_ts) - micros(f_ts)))
+    loose = turned.filter(F.col(c_ts).isNull()).drop(c_ts).join(flows, tuple_cols).withColumn("delta_us", F.lit(None).cast("bigint"))
+    pairs = timed.select(*wanted).unionByName(loose.select(*wanted))
     pairs = pairs.groupBy(candidate_id, f_order).agg(F.min("reversed").alias("reversed"), F.min("delta_us").alias("delta_us"))
     order = ["reversed", "delta_us", f_order] if strict else [f_order]
     w = Window.partitionBy(candidate_id).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,31 +14,51 @@ def _unit(rows: pd.DataFrame) -> np.ndarray:
     return m / np.where(n == 0, 1, n)[:, None]
 
 
+def _blocked(queries: DataFrame, refs: DataFrame, id_col: str, columns: list[Column], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks of about block_rows rows, each with a copy for every block of the other side (ask, block)."""
+    asked_blocks, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    def own_block(n):
+        return F.pmod(F.xxhash64(id_col), F.lit(n).cast("bigint"))
+
+    asked = queries.select(*columns, own_block(asked_blocks).alias("ask"), every(blocks).alias("block"))
+    return asked, refs.select(*columns, every(asked_blocks).alias("ask"), own_block(blocks).alias("block"))
+
+
 def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, block_rows: int = 20_000) -> DataFrame:
     """(query_id, ref_id, distance, rank) of the k nearest references other than the query itself; ties go to the smaller id.
 
-    References are dealt into blocks of about block_rows rows; queries are sent to every block, and each block's task
-    multiplies its matrix with the queries' batches and returns k rows a query, which one window then ranks. No side is
-    collected; the work is queries times references, as an exact search needs, in blocks of bounded memory.
+    Queries and references are dealt into blocks of about block_rows rows; each pair of blocks is one task's group, which
+    multiplies its matrices in batches and returns k rows a query, which one window then ranks. No side is collected; the
+    work is queries times references, as an exact search needs, in blocks of bounded memory.
     """
-    blocks = max(1, -(-refs.count() // block_rows))
-    dealt = refs.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.lit(True).alias("is_ref"))
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(False).alias("is_ref"))
+    asked, dealt = _blocked(queries, refs, id_col, [F.col(id_col).alias("id"), F.col(vector).alias("v")], block_rows)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts = []
         if len(left) and len(right):
+            right = right.sort_values("id")  # equal distances are then in order of id
             ref_ids, matrix = right["id"].to_numpy(), _unit(right)
             for at in range(0, len(left), 512):
                 part = left.iloc[at : at + 512]
+                ids = part["id"].to_numpy()
                 distance = 1 - _unit(part) @ matrix.T
-                for i, q in enumerate(part["id"].to_numpy()):
-                    order = np.lexsort((ref_ids, np.round(distance[i], 9)))
-                    order = order[ref_ids[order] != q][:k]
-                    out.append(pd.DataFrame({"query_id": q, "ref_id": ref_ids[order], "distance": distance[i][order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
-
-    found = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(run, "query_id bigint, ref_id bigint, distance double")
+                rounded = np.where(ids[:, None] == ref_ids[None, :], np.inf, np.round(distance, 9))
+                n = min(k, len(ref_ids))
+                limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
+                # All that may be among the k nearest, ties at the limit too, sorted by distance; the sort keeps order of id.
+                row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
+                order = np.lexsort((column, rounded[row, column], row))
+                row, column = row[order], column[order]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < k
+                parts.append(pd.DataFrame({"query_id": ids[row[keep]], "ref_id": ref_ids[column[keep]], "distance": distance[row[keep], column[keep]]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
+
+    found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(run, "query_id bigint, ref_id bigint, distance double")
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -50,17 +70,8 @@ def class_margins(queries: DataFrame, refs: DataFrame, id_col: str, vector: str,
     into blocks; each pair of blocks is one task's group and returns one row a query, of which the least count. Where a
     side has no reference, or a class is null, the distance is null.
     """
-    asked_blocks, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
     row = [F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(klass).alias("klass")]
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    def own_block(n):
-        return F.pmod(F.xxhash64(id_col), F.lit(n).cast("bigint"))
-
-    asked = queries.select(*row, own_block(asked_blocks).alias("ask"), every(blocks).alias("block"))
-    dealt = refs.select(*row, every(asked_blocks).alias("ask"), own_block(blocks).alias("block"))
+    asked, dealt = _blocked(queries, refs, id_col, row, block_rows)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -41,11 +41,16 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, finish: str) ->
     return island.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(finish).alias(finish), F.count(F.lit(1)).alias("merged")).drop("island")
 
 
-def gap_islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_seconds: float, name: str = "island") -> DataFrame:
-    """Number the runs of rows whose gap to the row before is less than gap_seconds; a gap of exactly that opens a new one."""
+def gap_islands(df: DataFrame, keys: list[str], order: list[str], ts: str, gap_seconds: float, name: str = "island", beyond: bool = False) -> DataFrame:
+    """Number the runs of rows of each key that no gap parts.
+
+    A gap of exactly gap_seconds parts rows, as flows end at their timeout; with ``beyond`` only a longer one does, as
+    active periods end.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     gap = (micros(ts) - micros(F.lag(ts).over(w))) / F.lit(1e6)
-    opens = F.when(gap.isNull() | (gap >= gap_seconds), 1).otherwise(0)
+    parts = gap > gap_seconds if beyond else gap >= gap_seconds
+    opens = F.when(gap.isNull() | parts, 1).otherwise(0)
     return df.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 

@@ -81,28 +81,36 @@ def balance(df: DataFrame, keys: list[str], id_col: str, target: int, seed: int)
 
 
 def capped_floor(counts: dict[str, int], total: int, floor: float = 0.10, ceiling: float = 0.30) -> dict[str, int]:
-    """Share total among names: at least floor and at most ceiling of it each, the rest in proportion to counts.
+    """Share total among the names that have rows: at least floor and at most ceiling of it each, the rest in proportion.
 
-    The rest goes out by largest remainders, again and again among names below the ceiling; if all are at it, one by
-    one in turn. Counts are a few dozen numbers.
+    If the floors alone exceed total it is dealt evenly, the first names taking one more. What the floors leave goes out
+    by largest remainders (ties: larger count, then later name) among names below the ceiling, round by round; what
+    ceilings then leave goes one by one, from the largest count on. The ceiling is never below the floor. Counts are a few
+    dozen numbers; no name with rows is an error.
     """
-    names = sorted(counts)
-    low, high = round(total * floor), max(1, round(total * ceiling))
-    given = dict.fromkeys(names, min(low, total // max(1, len(names))))
+    names = sorted(n for n, rows in counts.items() if rows)
+    if not names:
+        raise ValueError("there are no rows to share the total among")
+    low = min(round(total * floor), total)
+    high = max(round(total * ceiling), round(total * floor))
+    if low * len(names) > total:
+        each, over = divmod(total, len(names))
+        return {n: each + (k < over) for k, n in enumerate(names)}
+    given = dict.fromkeys(names, low)
+    by_size = sorted(names, key=lambda n: (counts[n], n), reverse=True)
     while (left := total - sum(given.values())) > 0:
-        able = [n for n in names if given[n] < high]
+        able = [n for n in by_size if given[n] < high]
         weight = sum(counts[n] for n in able)
-        if not able or not weight:
-            for k in range(left):
-                given[names[k % len(names)]] += 1
-            break
-        share = {n: left * counts[n] / weight for n in able}
+        share = {n: left * (counts[n] / weight) for n in able}
         add = {n: min(int(share[n]), high - given[n]) for n in able}
-        for n in sorted(able, key=lambda n: (int(share[n]) - share[n], n)):
+        for n in sorted(able, key=lambda n: share[n] - int(share[n]), reverse=True):  # stable: ties as in by_size
             if sum(add.values()) < left and given[n] + add[n] < high:
                 add[n] += 1
-        for n in able:
-            given[n] += add[n]
+        if not any(add.values()):
+            for k in range(left):
+                given[by_size[k % len(names)]] += 1
+        for n, more in add.items():
+            given[n] += more
     return given
 
 

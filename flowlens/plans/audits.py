@@ -133,13 +133,19 @@ def class_split_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT lang, sha256(coalesce(text, '')) AS h, count(*) AS size FROM documents GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) % 2 AS turn FROM g),
-b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY lang, turn ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-SELECT doc_id, CASE WHEN turn = 1 AND before < 15 THEN 'test' WHEN turn = 0 AND before < 10 THEN 'val' ELSE 'train' END AS split FROM documents d JOIN b ON b.lang = d.lang AND b.h = sha256(coalesce(d.text, ''))
+WITH RECURSIVE g AS (SELECT lang, sha256(coalesce(text, '')) AS h, count(*) AS size FROM documents GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS n, count(*) OVER (PARTITION BY lang) AS groups, sum(size) OVER (PARTITION BY lang) AS total FROM g),
+q AS (SELECT lang, h, size, n, groups, CASE WHEN total >= 100 THEN 10 ELSE round_even(total * 10 / 100, 0) END AS tv, CASE WHEN total >= 100 THEN 15 ELSE greatest(total - round_even(total * 75 / 100, 0) - round_even(total * 10 / 100, 0), 0) END AS tt FROM t),
+w AS (SELECT lang, 0::BIGINT AS n, 0::HUGEINT AS val, 0::HUGEINT AS test, false AS trained, NULL::VARCHAR AS split, NULL::VARCHAR AS h FROM (SELECT DISTINCT lang FROM g)
+  UNION ALL
+  SELECT lang, n, CASE WHEN s = 'val' THEN val + size ELSE val END, CASE WHEN s = 'test' THEN test + size ELSE test END, trained OR s = 'train', s, h FROM (
+    SELECT q.lang, q.n, q.size, q.h, w.val, w.test, w.trained, CASE WHEN q.n = q.groups AND NOT w.trained THEN 'train' WHEN w.test < q.tt AND (w.test <= w.val OR w.val >= q.tv) THEN 'test' WHEN w.val < q.tv THEN 'val' ELSE 'train' END AS s
+    FROM w JOIN q ON q.lang = w.lang AND q.n = w.n + 1))
+SELECT doc_id, w.split FROM documents d JOIN w ON w.lang = d.lang AND w.h = sha256(coalesce(d.text, ''))
 """)
 def content_atomic_split(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return A.content_split(docs, "lang", "h", 10, 15).select("doc_id", "split")
+    return A.content_split(docs, "lang", "h", 75, 10, 15, 100).select("doc_id", "split")
 
 
 @query("""

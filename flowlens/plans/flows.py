@@ -102,7 +102,7 @@ def session_flows_idle_active(spark: SparkSession, d: str) -> DataFrame:
     return O.timeout_flows(read(spark, d, "events"), ["user_id"], "ts", 7200.0, 36000.0)
 
 
-@query(_ISLANDS.format(us=3_600_000_000) + """
+@query(_ISLANDS.format(us=3_600_000_000).replace(">=", ">") + """
 , a AS (SELECT user_id, island, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0 AS active, min(ts) AS s, max(ts) AS e FROM i GROUP BY ALL),
 b AS (SELECT *, (epoch_us(s) - epoch_us(lag(e) OVER (PARTITION BY user_id ORDER BY s))) / 1000.0 AS idle FROM a)
 SELECT user_id, round(avg(active), 4) AS mean_active, round(stddev_pop(active), 4) AS std_active, max(active) AS max_active, min(active) AS min_active,
@@ -110,7 +110,7 @@ SELECT user_id, round(avg(active), 4) AS mean_active, round(stddev_pop(active),
 FROM b GROUP BY user_id
 """)
 def active_idle_stats(spark: SparkSession, d: str) -> DataFrame:
-    e = O.gap_islands(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", 3600.0)
+    e = O.gap_islands(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", 3600.0, beyond=True)
     us = e.groupBy("user_id", "island").agg(S.micros(F.min("ts")).alias("s"), S.micros(F.max("ts")).alias("e"))
     w = Window.partitionBy("user_id").orderBy("s")
     p = us.select("user_id", ((F.col("e") - F.col("s")) / 1000.0).alias("active"), ((F.col("s") - F.lag("e").over(w)) / 1000.0).alias("idle"))
@@ -209,9 +209,9 @@ m AS (SELECT o.*, w.n AS ordinal, w.klass FROM orders o LEFT JOIN w ON o.o_order
 
 
 def _matched(spark, d):
-    windows = spark.createDataFrame(_WINDOWS, "ordinal int, p string, a string, b string, klass string").withColumns({"a": F.to_timestamp("a"), "b": F.to_timestamp("b")})
-    on = (F.col("o_orderpriority") == F.col("p")) & F.col("o_orderdate").between(F.col("a"), F.col("b"))
-    return J.first_window(read(spark, d, "orders"), windows, on, "o_orderkey", "ordinal")
+    at, p = F.col("o_orderdate").cast("timestamp"), F.col("o_orderpriority")
+    spans = [((n, klass), (p == name) & at.between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp"))) for n, name, a, b, klass in _WINDOWS]
+    return read(spark, d, "orders").withColumn("w", J.first_window(spans, "ordinal int, klass string")).select("*", "w.*")
 
 
 @query(_MATCHED + "SELECT o_orderkey, ordinal, klass FROM m")

@@ -16,8 +16,11 @@ from flowlens.streaming import stateful as S
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; our own where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowlens-")
+    """A new folder in the one that driver and executors share; a local session that names none gets one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    top = top or tempfile.mkdtemp(prefix="flowlens-")
     return f"{top.rstrip('/')}/flowlens-{uuid.uuid4().hex}"
 
 
@@ -66,18 +69,31 @@ def capture_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _projected(C.read_captures(spark, path))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, t, t AS first, 1 AS flow FROM p WHERE rn = 1
+  UNION ALL
+  SELECT p.user_id, p.rn, p.t, CASE WHEN p.t >= least(f.first + 1800000000, f.t + 120000000) THEN p.t ELSE f.first END, CASE WHEN p.t >= least(f.first + 1800000000, f.t + 120000000) THEN f.flow + 1 ELSE f.flow END
+  FROM f JOIN p ON p.user_id = f.user_id AND p.rn = f.rn + 1)
+SELECT user_id, min(t) AS first_us, max(t) AS last_us, count(*) AS n_events FROM f GROUP BY user_id, flow
+""")
 def stream_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Flows of users that the watermark or a later event closed, from a stream over events."""
-    schema = read(spark, d, "events").schema
+    """Flows of users from a stream over events, the open ones flushed at its end."""
+    path, schema = scratch(spark), read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a glob, as a stream's own path must be a folder
-    return S.drained(S.flows(stream, ["user_id"], "ts", 120, 1800), scratch(spark))
+    ended, last = S.with_end(stream, "ts", f"{path}/end")
+    flows = S.drained(S.flows(ended, ["user_id"], "ts", 120, 1800), path, last, f"{path}/end")
+    return flows.select("user_id", micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"), "n_events")
 
 
-@query()
+@query("""
+SELECT event_id AS id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w, 0)::DOUBLE AS error_sum, count(DISTINCT CASE WHEN k <> 0 THEN k END) OVER w AS port_distinct
+FROM (SELECT *, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 375 PRECEDING AND 1 PRECEDING)
+""")
 def stream_trailing(spark: SparkSession, d: str) -> DataFrame:
-    """Errors and distinct ports among the 20 events before each event of a user, from a stream over events."""
+    """Errors and distinct ports among the 375 events before each event of a user, from a stream over events."""
     schema = read(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a glob, as a stream's own path must be a folder
     flagged = stream.withColumns({"error": (F.col("event_type") == "error").cast("int"), "port": port()})
-    return S.drained(S.trailing_features(flagged, ["user_id"], "event_id", "ts", 20, ["error"], ["port"]), scratch(spark))
+    return S.drained(S.trailing_features(flagged, ["user_id"], "event_id", "ts", 375, ["error"], ["port"]), scratch(spark))

@@ -307,7 +307,7 @@ def nn_agreement_rates(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("rl")).cast("int")), 6).alias("same_class"), F.round(F.percentile("distance", F.lit(0.5)), 6).alias("median_distance"))
 
 
-@query(_NEAR + "SELECT query_id, round(min(d) FILTER (ql = rl), 6) AS own, round(min(d) FILTER (ql <> rl), 6) AS other, round(min(d) FILTER (ql <> rl) - min(d) FILTER (ql = rl), 6) AS margin FROM k WHERE rank <= 50 GROUP BY 1")
+@query(_NEAR + "SELECT query_id, round(min(d) FILTER (ql = rl), 6) AS own, round(min(d) FILTER (ql <> rl), 6) AS other, round(min(d) FILTER (ql <> rl) - min(d) FILTER (ql = rl), 6) AS margin FROM k GROUP BY 1")
 def knn_margin(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     m = N.class_margins(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", "label")

@@ -94,8 +94,30 @@ def trailing_features(
     return plain.groupBy(*keys).applyInPandasWithState(run, schema, "seen binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, path: str) -> DataFrame:
-    """Run a stream over all that its source holds now, into Parquet below path, and read that; append mode."""
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
-    query.awaitTermination()
+def drained(stream: DataFrame, path: str, ends: DataFrame | None = None, end_path: str | None = None) -> DataFrame:
+    """Run a stream over all that its sources hold now, into Parquet below path, and read that; append mode.
+
+    With ends, one of the sources reads end_path, and ends is what is written there when everything else has been read:
+    rows later than all others, which move the watermark past whatever is open.
+    """
+
+    def run() -> None:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if ends is not None:
+        ends.write.mode("append").parquet(end_path)
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def with_end(stream: DataFrame, ts: str, end_path: str) -> tuple[DataFrame, DataFrame]:
+    """(stream and the rows of end_path, the row to write there): a last event with null in all columns but ts, in the year 2200.
+
+    Flows of a null key are closed by it like all others; the flow that it opens itself stays open.
+    """
+    spark = stream.sparkSession
+    last = [F.timestamp_seconds(F.lit(7_258_118_400)).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(end_path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(end_path)), spark.range(1).select(*last)
