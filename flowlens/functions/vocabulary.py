@@ -62,6 +62,52 @@ PAYLOAD_PATTERNS = {
     },
 }
 
+# Addresses of the distributed attackers and of the bot's victims.
+DDOS_ATTACKERS = (
+    "18.218.115.60", "18.219.9.1", "18.219.32.43", "18.218.55.126", "52.14.136.135", "18.219.5.43", "18.216.200.189", "18.218.229.235", "18.218.11.51", "18.216.24.42",
+)
+BOT_VICTIMS = (
+    "172.31.69.6", "172.31.69.8", "172.31.69.10", "172.31.69.12", "172.31.69.14", "172.31.69.17", "172.31.69.23", "172.31.69.26", "172.31.69.29", "172.31.69.30",
+)
+
+# Attack windows in order; of those that a row is in, the first counts. (day, subtype, class, attackers, victims, start, finish)
+_SERVER, _WEB_SERVER, _WEB_ATTACKER = ("172.31.69.25", "18.217.21.148"), ("172.31.69.28", "18.218.83.150"), ("18.218.115.60",)
+ATTACK_WINDOWS = (
+    ("Wednesday-14-02-2018", "FTP-BruteForce", "BruteForce", ("172.31.70.4", "18.221.219.4"), _SERVER, "2018-02-14 14:32:00", "2018-02-14 16:09:00"),
+    ("Wednesday-14-02-2018", "SSH-Bruteforce", "BruteForce", ("172.31.70.6", "13.58.98.64"), _SERVER, "2018-02-14 18:01:00", "2018-02-14 19:31:00"),
+    ("Friday-16-02-2018", "DoS-SlowHTTPTest", "DoS", ("172.31.70.23", "13.59.126.31"), _SERVER, "2018-02-16 14:12:00", "2018-02-16 15:08:00"),
+    ("Friday-16-02-2018", "DoS-Hulk", "DoS", ("172.31.70.16", "18.219.193.20"), _SERVER, "2018-02-16 17:45:00", "2018-02-16 18:19:00"),
+    ("Wednesday-21-02-2018", "DDOS-LOIC-UDP", "DDoS", DDOS_ATTACKERS, _WEB_SERVER, "2018-02-21 14:09:00", "2018-02-21 14:43:00"),
+    ("Wednesday-21-02-2018", "DDOS-HOIC", "DDoS", DDOS_ATTACKERS, _WEB_SERVER, "2018-02-21 18:05:00", "2018-02-21 19:05:00"),
+    ("Friday-02-03-2018", "Bot", "Bot", ("18.219.211.138",), BOT_VICTIMS, "2018-03-02 14:11:00", "2018-03-02 19:55:00"),
+    ("Thursday-01-03-2018", "Infiltration", "Infiltration", ("13.58.225.34",), ("172.31.69.13", "18.216.254.154"), "2018-03-01 13:53:00", "2018-03-01 14:55:00"),
+    ("Thursday-01-03-2018", "Infiltration", "Infiltration", ("13.58.225.34",), ("172.31.69.13", "18.216.254.154"), "2018-03-01 18:00:00", "2018-03-01 19:38:00"),
+    ("Thursday-22-02-2018", "Brute Force-Web", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-22 14:17:00", "2018-02-22 15:24:00"),
+    ("Thursday-22-02-2018", "Brute Force-XSS", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-22 17:50:00", "2018-02-22 18:29:00"),
+    ("Thursday-22-02-2018", "SQL Injection", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-22 20:15:00", "2018-02-22 20:29:00"),
+    ("Friday-23-02-2018", "Brute Force-Web", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-23 14:03:00", "2018-02-23 15:03:00"),
+    ("Friday-23-02-2018", "Brute Force-XSS", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-23 17:00:00", "2018-02-23 18:10:00"),
+    ("Friday-23-02-2018", "SQL Injection", "WebBased", _WEB_ATTACKER, _WEB_SERVER, "2018-02-23 19:05:00", "2018-02-23 19:18:00"),
+)
+_ATTACKERS_2017, _VICTIMS_2017 = ("172.16.0.1", "205.174.165.73", "205.174.165.80"), ("192.168.10.50", "205.174.165.68")
+WEB_WINDOWS_2017 = (
+    ("Thursday-06-07-2017", "Brute Force-Web", "WebBased", _ATTACKERS_2017, _VICTIMS_2017, "2017-07-06 12:15:00", "2017-07-06 13:01:00"),
+    ("Thursday-06-07-2017", "XSS", "WebBased", _ATTACKERS_2017, _VICTIMS_2017, "2017-07-06 13:15:00", "2017-07-06 13:36:00"),
+    ("Thursday-06-07-2017", "SQL Injection", "WebBased", _ATTACKERS_2017, _VICTIMS_2017, "2017-07-06 13:35:00", "2017-07-06 13:43:00"),
+)
+# Classes whose captures are cut to the attack's endpoints first, and subtypes kept out of training as stress sets.
+PRESLICE_CLASSES = ("BruteForce", "DoS", "DDoS")
+STRESS_SETS = {
+    ("BruteForce", "FTP-BruteForce"): "ftp_bruteforce_attempted_stress_set",
+    ("DoS", "DoS-SlowHTTPTest"): "dos_slowhttptest_attempted_stress_set",
+}
+# Names and order of the trailing features of a flow.
+TEMPORAL_FEATURES = (
+    "Rolling_UDP_Sum", "Rolling_TCP_Sum", "Rolling_ACK_Sum", "Rolling_FIN_Sum", "Rolling_RST_Sum", "Rolling_fin_Sum", "Rolling_psh_Sum", "Rolling_SYN_Sum",
+    "Rolling_ICMP_Sum", "Rolling_http_port", "Rolling_Average_Duration", "Rolling_DNS_Sum", "Rolling_vulnerable_port", "Rolling_packets_Sum",
+    "Rolling_bipackets_Sum", "Unique_Ports_In_SourceDestination",
+)
+
 DIRECTIONS = ("bidirectional", "src2dst", "dst2src")
 
 
