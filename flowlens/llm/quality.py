@@ -140,7 +140,11 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
 
 
 def passing(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text passes, with their columns and without a shuffle."""
+    """The rows of docs whose text passes, with their columns and without a shuffle.
+
+    Null and empty texts have too few words and go. Rows are judged alone and whole, so repeated rows stay or go
+    together; columns pass through, whatever their names, and an empty table stays empty.
+    """
     need(docs, [text_col])
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
@@ -152,4 +156,5 @@ def passing(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") ->
             for verdict in _judge(bands)(iter([ask])):
                 yield batch.filter(verdict.column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Python batches need plain names
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
