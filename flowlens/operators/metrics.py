@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import safe_divide, stable_hash
+from flowlens.operators.scaling import quantile
 
 
 def confusion(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
@@ -74,13 +75,27 @@ def bootstrap_macro_f1(df: DataFrame, truth: str, pred: str, draws: int, seed: i
     return scores.agg(*[F.percentile("macro_f1", F.lit(q)).alias(name) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
 
 
-def class_weights(counts: DataFrame, n: str, method: str, beta: float = 0.999, cap: float = 10.0) -> DataFrame:
-    """Weight per row of counts, mean 1 before the cap, rounded to 6 digits; counts has one row a class."""
-    raw = {"inverse_frequency": 1 / F.col(n), "inverse_sqrt": 1 / F.sqrt(F.col(n)), "effective_number": (1 - beta) / (1 - F.pow(F.lit(beta), F.col(n)))}
+def class_weights(counts: DataFrame, n: str, method: str, beta: float = 0.9999, cap: float | None = None, classes: tuple[str, list] | None = None) -> DataFrame:
+    """Weight per row of counts, mean 1 before the cap, rounded to 6 digits; counts has one row a class.
+
+    classes names the column and the classes that must have rows: one without any is an error, as it has no weight.
+    """
+    if classes is not None:
+        column, wanted = classes
+        found = {r[0] for r in counts.filter(F.col(n) > 0).select(column).collect()}  # one row a class
+        missing = [c for c in wanted if c not in found]
+        if missing:
+            raise ValueError(f"classes without rows have no weight: {missing}")
+    if not 0 <= beta < 1 or (cap is not None and cap <= 0):
+        raise ValueError("beta is from 0 to below 1, and a cap is positive")
+    effective = F.lit(1.0) if beta == 0 else (1 - beta) / (1 - F.pow(F.lit(beta), F.col(n)))
+    raw = {"inverse_frequency": 1 / F.col(n), "inverse_sqrt": 1 / F.sqrt(F.col(n)), "effective_number": effective}
     if method not in raw:
         raise ValueError(f"method is one of {sorted(raw)}")
     every = Window.partitionBy(F.lit(1))
-    return counts.withColumn("raw", raw[method]).withColumn("weight", F.round(F.least(F.col("raw") / F.avg("raw").over(every), F.lit(cap)), 6)).drop("raw")
+    weight = F.col("raw") / F.avg("raw").over(every)
+    weight = weight if cap is None else F.least(weight, F.lit(cap))
+    return counts.withColumn("raw", raw[method]).withColumn("weight", F.round(weight, 6)).drop("raw")
 
 
 def hierarchical_weights(df: DataFrame, klass: str, subtype: str, group: str) -> DataFrame:
@@ -98,7 +113,7 @@ def hierarchical_weights(df: DataFrame, klass: str, subtype: str, group: str) ->
 
 def low_confidence_threshold(df: DataFrame, confidence: str, correct: Column, q: float = 0.05) -> DataFrame:
     """The q-quantile of confidence over correct rows; rows below it count as unknown."""
-    return df.filter(correct).agg(F.percentile(confidence, F.lit(q)).alias("threshold"))
+    return quantile(df.filter(correct), F.col(confidence), q, "threshold")
 
 
 def complement_counts(df: DataFrame, group: str, klass: str, classes: list, min_train: int, min_eval: int) -> DataFrame:

@@ -28,8 +28,15 @@ def stratified(df: DataFrame, stratum: str, id_col: str, total: int, seed: int)
     return ranked.withColumn("_rank", F.row_number().over(w)).join(quota, stratum).filter(F.col("_rank") <= F.col("quota")).drop("_rank", "_score")
 
 
-def exact_split(df: DataFrame, keys: list[str], id_col: str, sizes: dict[str, int], rest: str, seed: int) -> DataFrame:
-    """split: the named sizes in hash order within each key, everything else in rest."""
+def exact_split(df: DataFrame, keys: list[str], id_col: str, sizes: dict[str, int], rest: str, seed: int, strict: bool = True) -> DataFrame:
+    """split: the named sizes in hash order within each key, everything else in rest.
+
+    A key with fewer rows than the sizes ask for is an error, unless strict is off: then the later splits are short.
+    """
+    if strict:
+        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") < sum(sizes.values())).limit(20).collect()
+        if rows:
+            raise ValueError(f"of {sum(sizes.values())} rows that the splits need, these keys have fewer: {[tuple(r) for r in rows]}")
     w = Window.partitionBy(*keys).orderBy(score(seed, "split", id_col), id_col)
     r, out, upto = F.row_number().over(w), F.lit(rest), 0
     bounds = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,38 @@ def scaled(df: DataFrame, columns: list[str], fitted: DataFrame) -> DataFrame:
     return both.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).drop(*fitted.columns)
 
 
+def quantile(df: DataFrame, value: Column, q: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """One row: the exact q-quantile of the numbers in value, between two rows in proportion; null if there are none.
+
+    A sketch says between which two values the rank lies; rows below are counted, and only the few distinct values
+    between are put in order. So no task holds more than some 4 / accuracy of the values, whatever the table's size.
+    """
+    x = df.select(value.cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    near = F.percentile_approx("x", F.lit([max(q - 2 / accuracy, 0.0), min(q + 2 / accuracy, 1.0)]), F.lit(accuracy))
+    n, ends = x.agg(F.count(F.lit(1)), near).first()  # one row
+    spark = df.sparkSession
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("double").alias(name))
+    low, high = ends
+    place = q * (n - 1)
+    first, part = int(place), place - int(place)
+    # Ranks are counted in another way by the sketch, so the next value on either side may be asked for too.
+    outside = x.agg(F.count_if(F.col("x") < low).alias("below"), F.max(F.when(F.col("x") < low, F.col("x"))).alias("last"), F.min(F.when(F.col("x") > high, F.col("x"))).alias("next"))
+    inside = x.filter(F.col("x").between(low, high)).groupBy("x").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("upto", upto).crossJoin(F.broadcast(outside))  # one row
+
+    def at(rank):
+        return F.when(F.max("below") > rank, F.max("last")).otherwise(F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("x"))))
+
+    both = ranked.agg(at(first).alias("a"), F.coalesce(at(first + 1), F.max("next")).alias("b"))
+    return both.select((F.col("a") + (F.coalesce("b", "a") - F.col("a")) * part).alias(name))
+
+
 def fit_p99(df: DataFrame, column: str, train: Column) -> DataFrame:
     """One row: the exact 99th percentile over training rows, 1 if it is not positive."""
-    p = F.percentile(column, F.lit(0.99))
-    return df.filter(train).agg(F.when(F.coalesce(p, F.lit(0.0)) <= 0, 1.0).otherwise(p).alias("p99"))
+    p = quantile(df.filter(train), F.col(column), 0.99, "p99")
+    return p.select(F.when(F.coalesce("p99", F.lit(0.0)) <= 0, 1.0).otherwise(F.col("p99")).alias("p99"))
 
 
 def fit_positions(df: DataFrame, vector: str, train: Column) -> DataFrame:
