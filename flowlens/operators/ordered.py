@@ -74,13 +74,13 @@ def timeout_flows(df: DataFrame, keys: list[str], ts: str, idle: float, active:
             if not size:
                 continue
             key, us = batch.select(names), batch.column(len(names)).to_numpy()
-            turns = [0, *(np.flatnonzero(_changes(key)) + 1).tolist(), size]
+            turns = [0, *(np.flatnonzero(key_changes(key)) + 1).tolist(), size]
             done = []  # key as a batch of one row, first, last, n
             for start, stop in zip(turns, turns[1:], strict=False):
                 times, one = us[start:stop], key.slice(start, 1)
                 far = (np.flatnonzero(np.diff(times) >= idle_us) + 1).tolist() + [len(times)]  # where idle gaps end
                 at = gap = 0
-                if held is not None and (start or _changes(pa.Table.from_batches([held[0], one]).combine_chunks().to_batches()[0]).any()):
+                if held is not None and (start or key_changes(pa.Table.from_batches([held[0], one]).combine_chunks().to_batches()[0]).any()):
                     done.append(held)
                     held = None
                 while at < len(times):
@@ -110,7 +110,7 @@ def timeout_flows(df: DataFrame, keys: list[str], ts: str, idle: float, active:
     )
 
 
-def _changes(key: pa.RecordBatch) -> np.ndarray:
+def key_changes(key: pa.RecordBatch) -> np.ndarray:
     """Whether each row but the first has another key than the row before; nulls are equal."""
     found = np.zeros(max(key.num_rows - 1, 0), bool)
     for c in key.columns:

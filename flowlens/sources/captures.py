@@ -133,7 +133,7 @@ def dotted(b: Column, at: Column) -> Column:
 
 
 def transport(packets: DataFrame, most_tags: int = 2) -> DataFrame:
-    """packets with src_ip, dst_ip, protocol, src_port, dst_port, fragment, ip_size, transport_size and payload.
+    """packets with src_ip, dst_ip, protocol, src_port, dst_port, fragment, ip_size, transport_size, tcp_flags and payload.
 
     Only IPv4 frames stay; up to most_tags VLAN tags are stepped over. TCP and UDP have ports, ICMP has its type and
     code in their place, other protocols have 0. fragment is the fragment offset; later fragments have no ports.
@@ -169,6 +169,7 @@ def transport(packets: DataFrame, most_tags: int = 2) -> DataFrame:
         {
             "src_port": port(0),
             "dst_port": port(1),
+            "tcp_flags": F.when(first & (F.col("protocol") == 6), F.coalesce(unsigned(frame, top + 13, 1), F.lit(0))).otherwise(0).cast("int"),
             "transport_size": F.greatest(end - top, F.lit(0)).cast("bigint"),
             "payload": F.substring(frame, top + skip + 1, F.greatest(end - top - skip, F.lit(0))),
         }
