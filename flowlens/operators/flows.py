@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,3 +134,33 @@ def flow_records(packets: DataFrame, idle: float = 120.0, active: float = 1800.0
 def read_flows(spark: SparkSession, path: str, idle: float = 120.0, active: float = 1800.0) -> DataFrame:
     """The flows of the captures at path, file by file; see flow_records."""
     return flow_records(captures.flow_tuples(captures.read_captures(spark, path)), idle, active, scope=["file"])
+
+
+def of_first_packets(packets: DataFrame, flow: list[str], wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The packets of flows whose first packet's tuple is wanted; later packets of a flow are not asked."""
+    first = packets.groupBy(*flow).agg(F.min_by(F.struct(*on), F.struct("ts_us", "seq")).alias("_first"))
+    kept = first.select(*flow, "_first.*") if not set(on) & set(flow) else first.select(*flow, *[F.col(f"_first.{c}").alias(c) for c in on if c not in flow])
+    return packets.join(kept.join(wanted.select(*on).distinct(), on, "left_semi").select(*flow), flow, "left_semi")
+
+
+def with_plugin(packets: DataFrame, flow: list[str], order: list[str], plugin: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """One row per flow of what a user's function makes of its packets in order; schema says what it returns.
+
+    It is the place for state per flow that columns cannot express. A flow's packets are one group, so it is bounded by the
+    flow's timeouts; cap packets per flow before where a capture can hold more.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.select(*flow).schema)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([dict(zip(flow, key, strict=True)) | plugin(rows.sort_values(order))])
+
+    return packets.groupBy(*flow).applyInPandas(run, f"{fields}, {schema}")
+
+
+def segment_facts(packets: DataFrame, flow: list[str], order: list[str], size: int) -> DataFrame:
+    """(flow, segment_index, n_packets, reason, is_full_flow): flows cut after every ``size`` packets, and why each part ends."""
+    w = Window.partitionBy(*flow).orderBy(*order)
+    numbered_rows = packets.select(*flow, F.floor((F.row_number().over(w) - 1) / size).alias("segment_index"))
+    parts = numbered_rows.groupBy(*flow, "segment_index").agg(F.count(F.lit(1)).alias("n_packets"))
+    last = F.max("segment_index").over(Window.partitionBy(*flow))
+    return parts.withColumns({"reason": F.when(F.col("segment_index") < last, "packet_limit").otherwise("flow_end"), "is_full_flow": last == 0})

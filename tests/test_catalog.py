@@ -8,7 +8,10 @@ import pytest
 import flowlens.plans.audits  # noqa: F401
 import flowlens.plans.flows  # noqa: F401
 import flowlens.plans.packets  # noqa: F401
+import flowlens.plans.pools  # noqa: F401
+import flowlens.plans.stores  # noqa: F401
 import flowlens.plans.tables  # noqa: F401
+import flowlens.plans.windows  # noqa: F401
 from flowlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
