@@ -113,11 +113,16 @@ def active_idle_stats(spark: SparkSession, d: str) -> DataFrame:
     e = O.gap_islands(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", 3600.0, beyond=True)
     us = e.groupBy("user_id", "island").agg(S.micros(F.min("ts")).alias("s"), S.micros(F.max("ts")).alias("e"))
     w = Window.partitionBy("user_id").orderBy("s")
-    p = us.select("user_id", ((F.col("e") - F.col("s")) / 1000.0).alias("active"), ((F.col("s") - F.lag("e").over(w)) / 1000.0).alias("idle"))
+    p = us.select("user_id", (F.col("e") - F.col("s")).alias("active_us"), (F.col("s") - F.lag("e").over(w)).alias("idle_us"))
+    p = p.withColumns({"active": F.col("active_us") / 1000.0, "idle": F.col("idle_us") / 1000.0})
     zero = F.lit(0.0)
+
+    def mean(us):  # of whole microseconds, so that the order of rows doesn't show in the last digit
+        return F.round(F.coalesce(F.try_divide(F.sum(us), F.count(us)) / 1000.0, zero), 4)
+
     return p.groupBy("user_id").agg(
-        F.round(F.avg("active"), 4).alias("mean_active"), F.round(F.stddev_pop("active"), 4).alias("std_active"), F.max("active").alias("max_active"), F.min("active").alias("min_active"),
-        F.round(F.coalesce(F.avg("idle"), zero), 4).alias("mean_idle"), F.round(F.coalesce(F.stddev_pop("idle"), zero), 4).alias("std_idle"), F.coalesce(F.max("idle"), zero).alias("max_idle"), F.coalesce(F.min("idle"), zero).alias("min_idle"),
+        mean("active_us").alias("mean_active"), F.round(F.stddev_pop("active"), 4).alias("std_active"), F.max("active").alias("max_active"), F.min("active").alias("min_active"),
+        mean("idle_us").alias("mean_idle"), F.round(F.coalesce(F.stddev_pop("idle"), zero), 4).alias("std_idle"), F.coalesce(F.max("idle"), zero).alias("max_idle"), F.coalesce(F.min("idle"), zero).alias("min_idle"),
     )
 
 
