@@ -118,7 +118,7 @@ def active_idle_stats(spark: SparkSession, d: str) -> DataFrame:
     zero = F.lit(0.0)
 
     def mean(us):  # of whole microseconds, so that the order of rows doesn't show in the last digit
-        return F.round(F.coalesce(F.try_divide(F.sum(us), F.count(us)) / 1000.0, zero), 4)
+        return F.round(F.coalesce(F.try_divide(F.sum(us), F.count(us)) / 1000.0, zero) * 10_000) / 10_000
 
     return p.groupBy("user_id").agg(
         mean("active_us").alias("mean_active"), F.round(F.stddev_pop("active"), 4).alias("std_active"), F.max("active").alias("max_active"), F.min("active").alias("min_active"),
