@@ -244,14 +244,17 @@ def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: Dat
     the group's largest component: all members are dealt to blocks, and those outsiders go to every block.
     """
     labelled = members.filter("rep <> head").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    grouped = cut(_meetings(labelled.select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp")), n_classes), "groups")
+    meetings = _meetings(labelled.select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp")), n_classes)
+    grouped, seen = cut_with(meetings, "groups", n=F.count(F.lit(1)))
     counts = grouped.groupBy("kind", "grp", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mains = counts.groupBy("kind", "grp").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    spokes = grouped.join(mains.select("kind", "grp", "main"), ["kind", "grp"]).join(bits, "rep").join(tested.drop("linked"), ["head", "rep"], "left")
-    head_sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n"))
+    # Of groups and of heads there are no more than rows; one of them may hold a third of those.
+    spokes = salted_join(grouped, mains.select("kind", "grp", "main"), ["kind", "grp"], ["rep"], seen["n"])
+    spokes = spokes.join(bits, "rep").join(tested.drop("linked"), ["head", "rep"], "left")
+    head_sizes = bits.select(F.col("rep").alias("head"), F.col("n").alias("head_n")).join(grouped.select("head").distinct(), "head", "left_semi")
     # Sizes on a scale whose step is the limit: of two sets that are alike, the larger one is on the same step or the next.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    spokes = spokes.join(head_sizes, "head").withColumns({"step": step, "outside": F.col("comp") != F.col("main")})
+    spokes = salted_join(spokes, head_sizes, ["head"], ["rep"], seen["n"]).withColumns({"step": step, "outside": F.col("comp") != F.col("main")})
     rest, seen = cut_with(spokes.select("kind", "grp", "size", "step", "outside", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None
