@@ -33,6 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of roots(id, root) after links(a, b) between ids have been added; ids without a root are their own."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    upper = components(links.select("a", "b")).toDF("root", "top")
+    lower = roots.union(upper.select("root", "root")).distinct()
+    return lower.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The table written out, with its row count and an order-free digest to see whether a round changed anything."""
     h = F.xxhash64("u", "v")

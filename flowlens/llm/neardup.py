@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, cut_with, named, need, salted_join, ship, small_side
-from flowlens.llm.components import components
+from flowlens.llm.components import components, contracted
 from flowlens.llm.shingles import mix, overlap, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -180,7 +180,7 @@ def _confirm(k: int, percent: int, maps: bool):
     return run
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame) -> DataFrame:
     """(key, size, rep, head) of every bucket with several members; head is its centre."""
     placed = classes.select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -191,7 +191,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return cut(inside.select("key", "size", "rep").join(centres.hint("merge"), "key"), "members")
 
 
-def _parts(size: str, rows: int) -> Column:
+def parts(size: str, rows: int) -> Column:
     """Into how many parts of about that many rows a group of so many is dealt."""
     return F.ceil(F.col(size) / rows).cast("int")
 
@@ -212,7 +212,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, maps: b
     size says how many partners head may have: they are dealt to groups of about _GROUP, and the text of head is sent to
     each group once.
     """
-    dealt = cut(pairs.select("head", F.pmod(F.xxhash64("rep"), _parts("size", _GROUP)).cast("int").alias("salt"), "rep"), "pairs")
+    dealt = cut(pairs.select("head", F.pmod(F.xxhash64("rep"), parts("size", _GROUP)).cast("int").alias("salt"), "rep"), "pairs")
     members = dealt.join(texts.withColumnRenamed("node", "rep").hint("merge"), "rep").select("head", "salt", "rep", "text")
     centres = dealt.select("head", "salt").distinct().join(texts.withColumnRenamed("node", "head").hint("merge"), "head")
     rows = members.union(centres.select("head", "salt", F.lit(None).cast("bigint"), "text"))
@@ -220,7 +220,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, maps: b
     return cut(rows.mapInArrow(_confirm(k, percent, maps), _TESTED), "confirmed")
 
 
-def _meetings(members: DataFrame, n_classes: int) -> DataFrame:
+def meetings(members: DataFrame, n_classes: int) -> DataFrame:
     """(kind, grp, size, head, rep, comp): the groups in which members other than their centre are to be compared with each other.
 
     Copies of one original share many buckets, all with the same centre. Where that makes fewer comparisons, the buckets
@@ -231,9 +231,9 @@ def _meetings(members: DataFrame, n_classes: int) -> DataFrame:
     choice = once.groupBy("head").agg(F.count(F.lit(1)).alias("m")).join(apart, "head")
     choice = choice.select("head", "m", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole"))
     whole = salted_join(once, choice.filter("whole"), ["head"], ["rep"], n_classes)
-    parts = salted_join(members, choice.filter("not whole"), ["head"], ["rep"], n_classes)
+    apiece = salted_join(members, choice.filter("not whole"), ["head"], ["rep"], n_classes)
     return whole.select(F.lit(0).alias("kind"), F.col("head").alias("grp"), F.col("m").alias("size"), "head", "rep", "comp").union(
-        parts.select(F.lit(1), "key", "size", "head", "rep", "comp")
+        apiece.select(F.lit(1), "key", "size", "head", "rep", "comp")
     )
 
 
@@ -244,8 +244,8 @@ def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: Dat
     the group's largest component: all members are dealt to blocks, and those outsiders go to every block.
     """
     labelled = members.filter("rep <> head").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    meetings = _meetings(labelled.select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp")), n_classes)
-    grouped, seen = cut_with(meetings, "groups", n=F.count(F.lit(1)))
+    met = meetings(labelled.select("key", "size", "rep", "head", F.coalesce("root", "rep").alias("comp")), n_classes)
+    grouped, seen = cut_with(met, "groups", n=F.count(F.lit(1)))
     counts = grouped.groupBy("kind", "grp", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mains = counts.groupBy("kind", "grp").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     # Of groups and of heads there are no more than rows; one of them may hold a third of those.
@@ -258,12 +258,12 @@ def _crossing(members: DataFrame, tested: DataFrame, roots: DataFrame, bits: Dat
     rest, seen = cut_with(spokes.select("kind", "grp", "size", "step", "outside", "rep", "comp", "n", "bits", "both", "more", "less", "head_n"), "open", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None
-    parts = ("outside", "rep", "comp", "n", "bits", "both", "more", "less")
-    blocks = _parts("size", _BLOCK)
+    carried = ("outside", "rep", "comp", "n", "bits", "both", "more", "less")
+    blocks = parts("size", _BLOCK)
     x = rest.withColumns({"x_kind": F.col("kind"), "x_grp": F.col("grp"), "x_step": F.col("step"), "x_block": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    x = x.select("x_kind", "x_grp", "x_step", "x_block", "size", "head_n", *[F.col(c).alias(f"a_{c}") for c in parts])
+    x = x.select("x_kind", "x_grp", "x_step", "x_block", "size", "head_n", *[F.col(c).alias(f"a_{c}") for c in carried])
     y = rest.filter("outside").withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)))
-    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("kind", "grp", "step", "block", *[F.col(c).alias(f"b_{c}") for c in parts])
+    y = y.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select("kind", "grp", "step", "block", *[F.col(c).alias(f"b_{c}") for c in carried])
     side = [{"besides": F.col(f"{c}_n") - F.col(f"{c}_both"), "more": F.col(f"{c}_more"), "less": F.col(f"{c}_less")} for c in "ab"]
     most = F.least(most_shared(*side, F.col("head_n")), "a_n", "b_n")
     alike = (
@@ -311,7 +311,7 @@ def near_duplicates(
         ),
         "classes", n=F.count(F.lit(1)),
     )
-    members = _buckets(classes)
+    members = buckets(classes)
     ids = members.select(F.col("rep").alias("node")).distinct()
     wanted = texts.join(small_side(ids, seen["n"], 1_000_000), "node", "left_semi")
     bits = classes.select("rep", "n", "bits")
@@ -322,12 +322,7 @@ def near_duplicates(
     crossing = _crossing(members, tested, roots, bits, seen["n"], percent)
     if crossing is not None:
         more = _confirmed(crossing, wanted, k, percent, False).filter("linked").select("head", "rep")
-        # The components that these links connect are contracted to their roots first.
-        for end in ("head", "rep"):
-            more = more.join(roots.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        upper = components(more.select(F.col("head").alias("a"), F.col("rep").alias("b"))).toDF("root", "top")
-        lower = roots.union(upper.select("root", "root")).distinct()
-        roots = lower.join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        roots = contracted(roots, more.toDF("a", "b"))
 
     linked = roots.withColumnRenamed("id", "rep").join(classes.select("rep", "first"), "rep")
     firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
