@@ -14,24 +14,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from flowlens.functions.scalars import micros
 
 
-def trailing(keys: list[str], order: list[str], rows: int):
-    """The previous ``rows`` rows of the same keys, without the current one."""
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, -1)
-
-
-def trailing_features(df: DataFrame, keys: list[str], order: list[str], rows: int, sums: dict[str, Column], means: dict[str, Column], distinct: dict[str, Column]) -> DataFrame:
-    """Sums, means and distinct counts over the previous rows of each key; 0 where there are none.
-
-    Distinct counts are sizes of collected sets, as windows cannot count distinct values; a set holds at most ``rows``
-    values, so its size is bounded by the frame and not by the key's rows.
-    """
-    w = trailing(keys, order, rows)
-    out = {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
-    out |= {n: F.coalesce(F.avg(c).over(w), F.lit(0.0)) for n, c in means.items()}
-    out |= {n: F.size(F.collect_set(c).over(w)).cast("bigint") for n, c in distinct.items()}
-    return df.withColumns(out)
-
-
 def merged_intervals(df: DataFrame, keys: list[str], start: str, finish: str) -> DataFrame:
     """Intervals of each key with overlapping and touching ones as one."""
     w = Window.partitionBy(*keys).orderBy(start, finish)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import vocabulary as V
 from flowlens.functions.scalars import number
-from flowlens.operators.ordered import trailing
+from flowlens.operators.halo import trailing_features
 
 # Names under which files have the fields of a flow, the first that is there and not null counts.
 ALIASES = {
@@ -89,16 +89,22 @@ def temporal_features(df: DataFrame, order: list[str], scope: list[str] | None =
     windows anew (a capture day, a subtype). Two features are under two names each, one of them in another case only, so
     the features are places of an array and not columns.
     """
-    w = trailing([*(scope or []), "snap_key"], order, rows)
     summed = {
-        "UDP_Sum": "udp", "TCP_Sum": "tcp", "ACK_Sum": "ack", "FIN_Sum": "fin", "RST_Sum": "rst", "fin_Sum": "fin", "psh_Sum": "psh", "SYN_Sum": "syn", "ICMP_Sum": "icmp",
-        "http_port": "http_port", "DNS_Sum": "dns", "vulnerable_port": "vulnerable", "packets_Sum": "packets", "bipackets_Sum": "packets",
+        "UDP_Sum": "udp", "TCP_Sum": "tcp", "ACK_Sum": "ack", "FIN_Sum": "fin", "RST_Sum": "rst", "psh_Sum": "psh", "SYN_Sum": "syn", "ICMP_Sum": "icmp",
+        "http_port": "http_port", "DNS_Sum": "dns", "vulnerable_port": "vulnerable", "packets_Sum": "packets",
     }
-    found = {f"Rolling_{name}": F.coalesce(F.sum(F.col(f"snap.{field}")).over(w), F.lit(0.0)) for name, field in summed.items()}
-    found["Rolling_Average_Duration"] = F.coalesce(F.avg("snap.duration").over(w), F.lit(0.0))
-    ports = F.collect_set(F.when(F.col("snap.source_port") != 0, F.col("snap.source_port"))).over(w)
-    found["Unique_Ports_In_SourceDestination"] = F.size(ports).cast("double")
-    return snapshot(df).withColumn("temporal", F.array(*[found[name] for name in V.TEMPORAL_FEATURES])).drop("snap", "snap_key")
+    twice = {"Rolling_fin_Sum": "Rolling_FIN_Sum", "Rolling_bipackets_Sum": "Rolling_packets_Sum"}  # one number under two names
+    at = {f"Rolling_{name}": f"t{k}" for k, name in enumerate(summed)} | {"Rolling_Average_Duration": "mean", "Unique_Ports_In_SourceDestination": "ports"}
+    snap = lambda field: F.col(f"snap.{field}")
+    found = trailing_features(
+        snapshot(df), [*(scope or []), "snap_key"], order, rows,
+        {at[f"Rolling_{name}"]: snap(field) for name, field in summed.items()},
+        {"mean": snap("duration")},
+        {"ports": F.when(snap("source_port") != 0, snap("source_port"))},
+        columns=df.columns,
+    )
+    values = [F.col(at[twice.get(name, name)]).cast("double") for name in V.TEMPORAL_FEATURES]
+    return found.select(*df.columns, F.array(*values).alias("temporal"))
 
 
 def feature_vector(df: DataFrame) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.functions.vocabulary import HTTP_PORTS, VULNERABLE_PORTS
+from flowlens.operators import halo as H
 from flowlens.operators import joins as J
 from flowlens.operators import ordered as O
 from flowlens.plans.catalog import query
@@ -36,7 +37,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {rows} PREC
 def _trailing(spark, d, rows):
     e = read(spark, d, "events").withColumn("k", port())
     kind = F.col("event_type")
-    out = O.trailing_features(
+    out = H.trailing_features(
         e, ["user_id"], ["ts", "event_id"], rows,
         {"click_sum": (kind == "click").cast("int"), "error_sum": (kind == "error").cast("int"), "http_sum": F.col("k").isin(*HTTP_PORTS).cast("int"), "vulnerable_sum": F.col("k").isin(*VULNERABLE_PORTS).cast("int")},
         {"mean_value": F.col("value")},

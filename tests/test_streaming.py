@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from flowlens.operators import halo
 from flowlens.operators import ordered as O
 from flowlens.streaming import stateful as S
 
@@ -40,5 +41,5 @@ def test_trailing(spark, tmp_path):
     df = rows(spark)
     stream = S.trailing_features(streamed(spark, df, tmp_path), ["k"], "id", "ts", 5, ["flag"], ["port"])
     got = sorted(tuple(r) for r in S.drained(stream, str(tmp_path / "out")).collect())
-    want = O.trailing_features(df, ["k"], ["ts", "id"], 5, {"s": F.col("flag")}, {}, {"d": F.expr("nullif(port, 0)")})
+    want = halo.trailing_features(df, ["k"], ["ts", "id"], 5, {"s": F.col("flag")}, {}, {"d": F.expr("nullif(port, 0)")})
     assert got == sorted((r.id, float(r.s), r.d) for r in want.collect())
