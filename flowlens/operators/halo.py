@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegralType, LongType, StructField, StructType
 
-from flowlens.operators.ordered import key_changes
+from flowlens.operators.runs import key_changes
 from flowlens.scratch import cut
 
 _SUM, _MEAN, _DISTINCT = "sum", "mean", "distinct"

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from flowlens.functions.scalars import micros
+from flowlens.operators.ranks import by_hash, ranked
+from flowlens.operators.runs import key_changes
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, finish: str) -> DataFrame:
@@ -92,16 +93,6 @@ def timeout_flows(df: DataFrame, keys: list[str], ts: str, idle: float, active:
     )
 
 
-def key_changes(key: pa.RecordBatch) -> np.ndarray:
-    """Whether each row but the first has another key than the row before; nulls are equal."""
-    found = np.zeros(max(key.num_rows - 1, 0), bool)
-    for c in key.columns:
-        a, b = c.slice(0, len(found)), c.slice(1)
-        differ = pc.if_else(pc.or_(a.is_null(), b.is_null()), pc.not_equal(a.is_null(), b.is_null()), pc.not_equal(a, b))
-        found |= differ.to_numpy(zero_copy_only=False).astype(bool)
-    return found
-
-
 def _flows(done: list, names: list[str]) -> pa.RecordBatch:
     key = pa.Table.from_batches([d[0] for d in done]).combine_chunks().to_batches()[0]
     counts = [pa.array([int(d[i]) for d in done], pa.int64()) for i in (1, 2, 3)]
@@ -119,16 +110,9 @@ def peak_concurrency(df: DataFrame, keys: list[str], start: str, finish: str) ->
     return summed.withColumn("open", F.sum("step").over(w)).groupBy(*keys).agg(F.max("open").alias("peak"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each key; Spark cuts groups before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
-
-
 def segments(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """Number the runs of ``size`` rows within each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("segment", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    return ranked(df, keys, order, "_rank").withColumn("segment", F.floor((F.col("_rank") - 1) / size).cast("bigint")).drop("_rank")
 
 
 def link_deltas(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -138,22 +122,35 @@ def link_deltas(df: DataFrame, keys: list[str], order: list[str], value: str) ->
     return df.withColumn("delta", F.greatest(after - F.col(value), F.lit(0))).withColumn("_after", after).filter("_after is not null").drop("_after")
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: list, n: int, hashed: str | None = None) -> DataFrame:
+    """The first n rows of each key.
+
+    Up to 999 rows Spark itself cuts each task's groups before the shuffle. For more, rows are ranked in ranges, so that no
+    key is one task; hashed names the first order column if it holds hexadecimal hashes, and then most rows of large keys
+    go before they are dealt.
+    """
+    if n < 1000:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    near = by_hash(df, keys, hashed, n)[0] if hashed else df
+    return ranked(near, keys, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+
+
 def round_robin(df: DataFrame, bucket: str, order: list, n: int) -> DataFrame:
     """n rows, one of each bucket in turn; buckets with more rows go first, then by name."""
-    ranked = df.withColumn("_round", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
     sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_size"))
-    placed = ranked.filter(F.col("_round") <= n).join(sizes, bucket)
+    placed = ranked(df, [bucket], order, "_round").filter(F.col("_round") <= n).join(sizes, bucket)
     return placed.orderBy("_round", F.desc("_size"), bucket).limit(n).drop("_size").withColumnRenamed("_round", "round")
 
 
 def even_take(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each key at even distances in order: places round(i * (size - 1) / (n - 1)), half to even; one row: the middle."""
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    placed = ranked(df, keys, order, "place").withColumn("place", F.col("place") - 1)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     if n == 1:
-        wanted = sizes.select(*keys, F.floor(F.col("size") / 2).cast("int").alias("place"))
+        wanted = sizes.select(*keys, F.floor(F.col("size") / 2).cast("bigint").alias("place"))
     else:
-        places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("size") - 1) / F.lit(float(n - 1))).cast("int"))
-        every = F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda i: i)
+        places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("size") - 1) / F.lit(float(n - 1))).cast("bigint"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.least("size", F.lit(n)) - 1)
         wanted = sizes.select(*keys, F.explode(F.when(F.col("size") <= n, every).otherwise(F.array_distinct(places))).alias("place"))
-    return ranked.join(wanted, [*keys, "place"])
+    return placed.join(wanted, [*keys, "place"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import vocabulary as V
 from flowlens.functions.scalars import file_name, piped, stable_hash
-from flowlens.operators.ordered import first_per_key
+from flowlens.operators.ranks import by_hash, ranked
 from flowlens.operators.sampling import score
 
 
@@ -81,9 +81,12 @@ def candidate_manifest(rows: DataFrame, klass: str, status: str, flow_hash: str,
     quotas = quotas.select(klass, day, (F.floor(target / F.col("_n")) + (F.col("_k") <= target % F.col("_n")).cast("int")).cast("int").alias("_quota"))
     most = max(targets.values())
     spread, whole = pool.filter(F.col(klass).isin(*per_day)), pool.filter(~F.col(klass).isin(*per_day))
-    chosen = first_per_key(whole.withColumn("_quota", target), [klass], ["_score", flow_hash], most).withColumn("_rank", F.row_number().over(Window.partitionBy(klass).orderBy("_score", flow_hash)))
-    by_day = first_per_key(spread, [klass, day], ["_score", flow_hash], most).join(F.broadcast(quotas), [klass, day])
-    by_day = by_day.withColumn("_rank", F.row_number().over(Window.partitionBy(klass, day).orderBy("_score", flow_hash)))
+
+    def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return ranked(by_hash(rows, keys, "_score", most)[0], keys, ["_score", flow_hash], "_rank")
+
+    chosen = placed(whole, [klass]).withColumn("_quota", target)
+    by_day = placed(spread, [klass, day]).join(F.broadcast(quotas), [klass, day])  # a row a class and day
     return chosen.unionByName(by_day).filter(F.col("_rank") <= F.col("_quota")).drop("_score", "_quota", "_rank")
 
 
@@ -114,9 +117,8 @@ def final_splits(candidates: DataFrame, klass: str, flow_hash: str, order: Seque
             value = F.when(F.col(klass) == c, sum(s[x] for x in splits)).otherwise(value)
         return value
 
-    by_hash = Window.partitionBy(klass).orderBy(score(seed, "final", flow_hash), *order, flow_hash)
-    rank = F.row_number().over(by_hash)
-    placed = real.withColumn("_rank", rank).filter(F.col("_rank") <= upto("train", "val", "test"))
+    near, _ = by_hash(real.withColumn("_score", score(seed, "final", flow_hash)), [klass], "_score", max(sum(s.values()) for s in sizes.values()))
+    placed = ranked(near, [klass], ["_score", *order, flow_hash], "_rank").drop("_score").filter(F.col("_rank") <= upto("train", "val", "test"))
     split = F.when(F.col("_rank") <= upto("train"), "train").when(F.col("_rank") <= upto("train", "val"), "val").otherwise("test")
     out = placed.withColumn("candidate_split", split).drop("_rank")
     if train_only is not None:
@@ -124,11 +126,11 @@ def final_splits(candidates: DataFrame, klass: str, flow_hash: str, order: Seque
     out = out.withColumns({"oversampled_train_reference": F.lit(False), "oversample_copy_index": F.lit(0)})
     for c, target in (fill or {}).items():
         seeds = out.filter((F.col(klass) == c) & (F.col("candidate_split") == "train"))
-        numbered = seeds.withColumn("_n", F.row_number().over(Window.orderBy(flow_hash)) - 1)  # the rows of one scarce class
+        numbered = ranked(seeds, [], [flow_hash], "_n").withColumn("_n", F.col("_n") - 1)
         n = seeds.count()
         if n:
             draws = candidates.sparkSession.range(1, max(target - n, 0) + 1).select(
-                F.col("id").cast("int").alias("_copy"), (F.conv(F.substring(stable_hash(F.lit(seed), F.lit("copy"), F.col("id")), 1, 12), 16, 10).cast("bigint") % n).cast("int").alias("_n")
+                F.col("id").cast("int").alias("_copy"), (F.conv(F.substring(stable_hash(F.lit(seed), F.lit("copy"), F.col("id")), 1, 12), 16, 10).cast("bigint") % n).alias("_n")
             )
             copies = draws.join(numbered, "_n").withColumns({"oversampled_train_reference": F.lit(True), "oversample_copy_index": F.col("_copy")}).drop("_n", "_copy")
             out = out.unionByName(copies)
@@ -149,9 +151,11 @@ def folds(df: DataFrame, specs: dict[str, Column]) -> DataFrame:
 
 def fold_parts(folded: DataFrame, klass: str, id_col: str, val_rows: int, seed: int) -> DataFrame:
     """folded with part: held-out rows test; of each class's others val_rows, in hash order, validate, and the rest train."""
-    mark = F.when(F.col("held_out"), "test")
-    rank = F.row_number().over(Window.partitionBy("fold_id", klass, "held_out").orderBy(score(seed, "fold", id_col), id_col))
-    return folded.withColumn("_rank", rank).withColumn("part", F.coalesce(mark, F.when(F.col("_rank") <= val_rows, "val").otherwise("train"))).drop("_rank")
+    open_ = folded.filter(~F.col("held_out")).withColumn("_score", score(seed, "fold", id_col))
+    near, far = by_hash(open_, ["fold_id", klass], "_score", val_rows)
+    placed = ranked(near, ["fold_id", klass], ["_score", id_col], "_rank").withColumn("part", F.when(F.col("_rank") <= val_rows, "val").otherwise("train")).drop("_rank")
+    parts = placed.unionByName(far.withColumn("part", F.lit("train"))).drop("_score")
+    return parts.unionByName(folded.filter("held_out").withColumn("part", F.lit("test")))
 
 
 def weighted_draws(groups: DataFrame, weight: str, members: str, draws: int, seed: int, order: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import stable_hash
 from flowlens.operators.ordered import first_per_key
+from flowlens.operators.ranks import by_hash, ranked
 
 
 def score(seed: int, salt: str, *key: str) -> Column:
@@ -15,17 +16,16 @@ def score(seed: int, salt: str, *key: str) -> Column:
 
 def stable_take(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int, salt: str = "") -> DataFrame:
     """n rows of each key in hash order: a uniform sample that is the same on every run and engine."""
-    return first_per_key(df.withColumn("_score", score(seed, salt, id_col)), keys, ["_score", id_col], n).drop("_score")
+    return first_per_key(df.withColumn("_score", score(seed, salt, id_col)), keys, ["_score", id_col], n, "_score").drop("_score")
 
 
 def stratified(df: DataFrame, stratum: str, id_col: str, total: int, seed: int) -> DataFrame:
     """Equal quotas of total for each stratum, the first ones (by name) taking one more until the rest is used up."""
     strata = df.select(stratum).distinct()
-    ranked = strata.withColumns({"_k": F.row_number().over(Window.orderBy(stratum)), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
-    quota = ranked.select(stratum, (F.floor(F.lit(total) / F.col("_n")) + (F.col("_k") <= F.lit(total) % F.col("_n")).cast("int")).alias("quota"))
-    w = Window.partitionBy(stratum).orderBy(score(seed, "", id_col), id_col)
-    ranked = first_per_key(df.withColumn("_score", score(seed, "", id_col)), [stratum], ["_score", id_col], total)
-    return ranked.withColumn("_rank", F.row_number().over(w)).join(quota, stratum).filter(F.col("_rank") <= F.col("quota")).drop("_rank", "_score")
+    numbered = strata.withColumns({"_k": F.row_number().over(Window.orderBy(stratum)), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
+    quota = numbered.select(stratum, (F.floor(F.lit(total) / F.col("_n")) + (F.col("_k") <= F.lit(total) % F.col("_n")).cast("int")).alias("quota"))
+    near, _ = by_hash(df.withColumn("_score", score(seed, "", id_col)), [stratum], "_score", total)
+    return ranked(near, [stratum], ["_score", id_col], "_rank").join(quota, stratum).filter(F.col("_rank") <= F.col("quota")).drop("_rank", "_score")
 
 
 def exact_split(df: DataFrame, keys: list[str], id_col: str, sizes: dict[str, int], rest: str, seed: int, strict: bool = True) -> DataFrame:
@@ -37,15 +37,16 @@ def exact_split(df: DataFrame, keys: list[str], id_col: str, sizes: dict[str, in
         rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") < sum(sizes.values())).limit(20).collect()
         if rows:
             raise ValueError(f"of {sum(sizes.values())} rows that the splits need, these keys have fewer: {[tuple(r) for r in rows]}")
-    w = Window.partitionBy(*keys).orderBy(score(seed, "split", id_col), id_col)
-    r, out, upto = F.row_number().over(w), F.lit(rest), 0
+    near, far = by_hash(df.withColumn("_score", score(seed, "split", id_col)), keys, "_score", sum(sizes.values()))
+    out, upto = F.lit(rest), 0
     bounds = []
     for name, n in sizes.items():
         bounds.append((upto, upto + n, name))
         upto += n
     for low, high, name in reversed(bounds):
         out = F.when((F.col("_rank") > low) & (F.col("_rank") <= high), name).otherwise(out)
-    return df.withColumn("_rank", r).withColumn("split", out).drop("_rank")
+    placed = ranked(near, keys, ["_score", id_col], "_rank").withColumn("split", out).drop("_rank")
+    return placed.unionByName(far.withColumn("split", F.lit(rest))).drop("_score")
 
 
 def group_split(df: DataFrame, klass: str, group: str, share: float, seed: int) -> DataFrame:
@@ -80,11 +81,11 @@ def balance(df: DataFrame, keys: list[str], id_col: str, target: int, seed: int)
 
     copy counts the copies of a row from 0. Every row is repeated by its own number of copies, so no key is gathered.
     """
-    w = Window.partitionBy(*keys).orderBy(score(seed, "balance", id_col), id_col)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = df.withColumn("_rank", F.row_number().over(w)).join(sizes, keys)
+    near, _ = by_hash(df.withColumn("_score", score(seed, "balance", id_col)), keys, "_score", target)
+    placed = ranked(near, keys, ["_score", id_col], "_rank").drop("_score").join(sizes, keys)
     copies = F.floor((F.lit(target) - F.col("_rank")) / F.col("_size")).cast("int")
-    return ranked.filter(F.col("_rank") <= target).withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rank", "_size")
+    return placed.filter(F.col("_rank") <= target).withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rank", "_size")
 
 
 def capped_floor(counts: dict[str, int], total: int, floor: float = 0.10, ceiling: float = 0.30) -> dict[str, int]:
@@ -121,13 +122,14 @@ def capped_floor(counts: dict[str, int], total: int, floor: float = 0.10, ceilin
     return given
 
 
-def permuted_labels(df: DataFrame, id_col: str, label: str, seed: int, buckets: int = 64) -> DataFrame:
-    """df with shuffled_label: within hash buckets of rows, labels in id order go to rows in hash order; counts stay."""
-    b = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(buckets))
-    t = df.withColumn("_b", b)
-    by_id = t.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(id_col))).select("_b", "_r", F.col(label).alias("shuffled_label"))
-    by_hash = t.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(score(seed, "permute", id_col), id_col)))
-    return by_hash.join(by_id, ["_b", "_r"]).drop("_b", "_r")
+def permuted_labels(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
+    """df with shuffled_label: the label of the row that has the same place in another hash order; so all counts stay.
+
+    Both orders are of the whole table. Ids must be unique; rows that share one are taken in any order.
+    """
+    scored = df.withColumns({"_to": score(seed, "permute", id_col), "_from": score(seed, "permute labels", id_col)})
+    labels = ranked(scored.select("_from", id_col, F.col(label).alias("shuffled_label")), [], ["_from", id_col], "_rank").select("_rank", "shuffled_label")
+    return ranked(scored.drop("_from"), [], ["_to", id_col], "_rank").join(labels, "_rank").drop("_rank", "_to")
 
 
 def split_overlap(df: DataFrame, split: str, key: str) -> DataFrame:

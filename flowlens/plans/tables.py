@@ -436,7 +436,11 @@ def first_wins_union(spark: SparkSession, d: str) -> DataFrame:
     return J.first_wins([a, b], ["doc_id"], ["first"]).select("doc_id", "first")
 
 
-@query()
+@query("""
+WITH a AS (SELECT quality, row_number() OVER (ORDER BY sha256(concat_ws('|', '42', 'permute', doc_id)), doc_id) AS r FROM labels),
+b AS (SELECT quality AS shuffled, row_number() OVER (ORDER BY sha256(concat_ws('|', '42', 'permute labels', doc_id)), doc_id) AS r FROM labels)
+SELECT count(*) AS n, sum(shuffled)::BIGINT AS ones, round(avg((quality = shuffled)::INT), 6) AS agreement FROM a JOIN b USING (r)
+""")
 def permuted_labels(spark: SparkSession, d: str) -> DataFrame:
     p = P.permuted_labels(read(spark, d, "labels"), "doc_id", "quality", 42)
     return p.agg(F.count(F.lit(1)).alias("n"), F.sum("shuffled_label").alias("ones"), F.round(F.avg((F.col("quality") == F.col("shuffled_label")).cast("int")), 6).alias("agreement"))

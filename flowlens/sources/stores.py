@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import file_name, file_stem, stable_hash
+from flowlens.operators.ranks import ranked
 from flowlens.sources.tables import chunk_order
 
 SCHEMA_VERSION = 1
@@ -47,9 +48,9 @@ def independent(files: DataFrame, known: list[str]) -> DataFrame:
 
 def write_records(records: DataFrame, path: str, split: str, klass: str, id_col: str) -> None:
     """A pool of records as Parquet by split and class, each with its ordinal in its class and a stable graph_id."""
-    place = F.row_number().over(Window.partitionBy(split, klass).orderBy(id_col)) - 1
     ids = stable_hash(F.col(split), F.col(klass), F.col(id_col))
-    records.withColumns({"ordinal": place, "graph_id": ids}).write.mode("overwrite").partitionBy(split, klass).parquet(path)
+    placed = ranked(records, [split, klass], [id_col], "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+    placed.withColumn("graph_id", ids).write.mode("overwrite").partitionBy(split, klass).parquet(path)
 
 
 def read_records(spark: SparkSession, path: str, split: str, value: str, klass: str, limit_per_class: int = 0) -> DataFrame:
