@@ -178,31 +178,45 @@ def weighted_draws(groups: DataFrame, weight: str, members: str, draws: int, see
     return drawn.join(F.broadcast(bounds), hit).select("draw", *order, (F.col("_m") % F.col(members)).alias("member"))
 
 
-def payload_diagnostic(records: DataFrame, klass: str, payloads: str, heavy: Sequence[str] = ("WebBased", "BruteForce")) -> DataFrame:
-    """Per class how dense the packets' payloads are (payloads: an array of binaries a record), and whether that will do.
+def payload_facts(payloads: Column) -> Column:
+    """What a record's packets hold: mean value of their bytes from 0 to 1, share of bytes and of packets that are not zero.
 
-    A record's mean is that of its bytes' values, a share those of its bytes that are not zero and of its packets that
-    have any. Bytes are read where they are, never as rows.
+    payloads is an array of binaries; null ones do not count, and a record without a byte has 0 of all. Bytes are read as
+    text of one character each, where they are, and never become rows.
     """
+    text = F.transform(F.filter(F.coalesce(payloads, F.array().cast("array<binary>")), lambda b: b.isNotNull()), lambda b: F.decode(b, "ISO-8859-1"))
+    # Of each packet its length, how many bytes are zero, and their sum.
+    packets = F.transform(text, lambda t: F.struct(
+        F.length(t).alias("size"), F.length(F.replace(t, F.lit("\0"), F.lit(""))).alias("filled"),
+        F.aggregate(F.split(t, ""), F.lit(0).cast("bigint"), lambda s, c: s + F.ascii(c)).alias("total"),
+    ))
+
+    def add(field: str) -> Column:
+        return F.aggregate(packets, F.lit(0).cast("bigint"), lambda s, p: s + p[field])
+
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return F.struct(
+        part(add("total") / F.lit(255.0), add("size")).alias("mean"), part(add("filled"), add("size")).alias("nonzero"),
+        part(F.size(F.filter(packets, lambda p: p["filled"] > 0)), F.size(packets)).alias("rows"),
+    )
 
-    def zeros(b):
-        return F.length(b) - F.length(F.regexp_replace(F.regexp_replace(F.hex(b), "(..)", "$1 "), "00 ", "")) / F.lit(3)
 
-    def total(values):
-        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+def payload_diagnostic(records: DataFrame, klass: str | None, payloads: str, heavy: Sequence[str] = ("WebBased", "BruteForce")) -> DataFrame:
+    """Per class, or over all records without one, how dense the packets' payloads are, and whether that will do.
 
-    size = total(F.transform(payloads, lambda b: F.length(b).cast("double")))
-    nonzero = total(F.transform(payloads, lambda b: (F.length(b) - zeros(b)).cast("double")))
-    rows = F.size(F.filter(payloads, lambda b: F.length(b) > zeros(b)))
-    per = records.select(
-        F.col(klass).alias("class_name"), F.coalesce(F.try_divide(nonzero, size), F.lit(0.0)).alias("nonzero"), F.coalesce(F.try_divide(rows, F.size(payloads)), F.lit(0.0)).alias("rows")
-    )
+    The gate is for classes that live by their payloads: the mean of their records' mean byte values (payload_facts) must
+    be 0.10 at least.
+    """
+    per = records.select((F.col(klass) if klass else F.lit("all")).alias("class_name"), payload_facts(F.col(payloads)).alias("f")).select("class_name", "f.*")
     share = F.avg("nonzero")
+    # Bounds and names of what the share of filled bytes says, and the gate.
     kind = F.when(share < 0.10, "nearly_all_zero").when(share < 0.80, "sparse").otherwise("dense")
-    gate = F.when(F.col("class_name").isin(*heavy) & (F.col("mean_nonzero") < 0.10), "below_gate").otherwise("adequate")
+    gate = F.when(F.col("class_name").isin(*heavy) & (F.col("mean_value") < 0.10), "below_gate").otherwise("adequate")
     return per.groupBy("class_name").agg(
-        F.count(F.lit(1)).alias("records"), share.alias("mean_nonzero"), F.min("nonzero").alias("least_nonzero"), F.max("nonzero").alias("most_nonzero"),
-        F.avg("rows").alias("mean_rows_with_payload"), F.count_if(F.col("rows") == 0).alias("without_payload"), kind.alias("interpretation"),
+        F.count(F.lit(1)).alias("records"), F.avg("mean").alias("mean_value"), F.min("mean").alias("least_value"), F.max("mean").alias("most_value"), F.count_if(F.col("mean") == 0).alias("zero_mean"),
+        share.alias("mean_nonzero"), F.min("nonzero").alias("least_nonzero"), F.max("nonzero").alias("most_nonzero"),
+        F.avg("rows").alias("mean_rows_with_payload"), F.min("rows").alias("least_rows_with_payload"), F.max("rows").alias("most_rows_with_payload"),
+        F.count_if(F.col("rows") == 0).alias("without_payload"), kind.alias("interpretation"),
     ).withColumn("gate", gate)
 
 

@@ -52,7 +52,8 @@ def snapshot(df: DataFrame) -> DataFrame:
     """df with a struct ``snap`` of what the windows add up.
 
     A missing port is that of the service flag which is set; UDP, TCP and ICMP fall back on the protocol number; packets
-    are both directions' counts, or a total. A null destination is "global".
+    are both directions' counts, or a total. Of the flags HTTP and HTTPS the first one that is not null counts. A null
+    destination is "global".
     """
 
     def n(name):
@@ -75,7 +76,7 @@ def snapshot(df: DataFrame) -> DataFrame:
         parts = parts + number(_first(df, (part,)))
     fields = {
         "udp": by_protocol("udp", 17), "tcp": by_protocol("tcp", 6), "ack": n("ack"), "fin": n("fin"), "rst": n("rst"), "psh": n("psh"), "syn": n("syn"), "icmp": by_protocol("icmp", 1),
-        "http_port": (port.isin(*V.HTTP_PORTS) | (flag("HTTP") > 0) | (flag("HTTPS") > 0)).cast("double"), "duration": n("duration"),
+        "http_port": (port.isin(*V.HTTP_PORTS) | (number(_first(df, ("HTTP", "HTTPS"))) > 0)).cast("double"), "duration": n("duration"),
         "dns": ((port == 53) | (n("dns") > 0)).cast("double"), "vulnerable": port.isin(*V.VULNERABLE_PORTS).cast("double"),
         "packets": F.when(parts != 0, parts).otherwise(n("total")), "source_port": n("src_port").cast("int"),
     }

@@ -126,23 +126,31 @@ def stress_sets(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", P.stress_set(klass, kind).alias("stress_set"), P.work_id(F.lit("work"), k).alias("work"))
 
 
-@query("""
-WITH b AS (SELECT conv_id, role, list(octet_length(encode(text))) AS sizes FROM conversations GROUP BY ALL)
-SELECT CASE WHEN role = 'user' THEN 'WebBased' ELSE 'Benign' END AS class_name, count(*) AS records, round(avg(0.5), 6) AS mean_nonzero, 'sparse' AS interpretation, 'adequate' AS gate FROM b GROUP BY 1
+_BYTES = "(SELECT list_sum([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, length(h) // 2)]))"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 4 THEN '00' || hex(substr(text, 1, 40)) || repeat('00', 60) ELSE hex(substr(text, 1, 200)) END AS h FROM conversations WHERE turn % 7 <> 6),
+p AS (SELECT conv_id, role, length(h) // 2 AS size, {_BYTES} AS total, len(list_filter([substr(h, 2 * i + 1, 2) FOR i IN range(0, length(h) // 2)], lambda x: x <> '00')) AS filled FROM c),
+r AS (SELECT conv_id, role, sum(total) / 255.0 / sum(size) AS mean, sum(filled) / sum(size) AS nonzero, count(*) FILTER (filled > 0) / count(*) AS rows FROM p GROUP BY 1, 2),
+k AS (SELECT CASE WHEN role = 'user' THEN 'WebBased' ELSE 'Benign' END AS class_name, count(*) AS records, round(avg(mean), 6) AS mean_value, round(max(mean), 6) AS most_value, round(avg(nonzero), 6) AS mean_nonzero, round(min(nonzero), 6) AS least_nonzero, round(avg(rows), 6) AS mean_rows_with_payload FROM r GROUP BY 1)
+SELECT *, CASE WHEN mean_nonzero < 0.1 THEN 'nearly_all_zero' WHEN mean_nonzero < 0.8 THEN 'sparse' ELSE 'dense' END AS interpretation, CASE WHEN class_name = 'WebBased' AND mean_value < 0.1 THEN 'below_gate' ELSE 'adequate' END AS gate FROM k
 """)
 def payload_density(spark: SparkSession, d: str) -> DataFrame:
-    """Each text as a packet, followed by as many zero bytes: half of all bytes are filled."""
+    """Each text's beginning as a packet, every fifth one between zero bytes, every seventh one not captured at all."""
     c = read(spark, d, "conversations")
-    text = F.encode("text", "UTF-8")
-    both = F.concat(text, F.unhex(F.repeat(F.lit("00"), F.octet_length("text"))))
-    records = c.groupBy("conv_id", "role").agg(F.collect_list(both).alias("payloads")).withColumn("klass", F.when(F.col("role") == "user", "WebBased").otherwise("Benign"))
-    out = P.payload_diagnostic(records, "klass", "payloads")
-    return out.select("class_name", "records", F.round("mean_nonzero", 6).alias("mean_nonzero"), "interpretation", "gate")
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    some = F.when(F.col("turn") % 5 == 4, F.concat(zeros(1), F.encode(F.substring("text", 1, 40), "UTF-8"), zeros(60))).otherwise(F.encode(F.substring("text", 1, 200), "UTF-8"))
+    packet = F.struct(F.when(F.col("turn") % 7 != 6, some).alias("bytes"))  # a null is kept as an element
+    records = c.groupBy("conv_id", "role").agg(F.collect_list(packet)["bytes"].alias("payloads")).filter(F.exists("payloads", lambda b: b.isNotNull()))
+    out = P.payload_diagnostic(records.withColumn("klass", F.when(F.col("role") == "user", "WebBased").otherwise("Benign")), "klass", "payloads")
+    numbers = ("mean_value", "most_value", "mean_nonzero", "least_nonzero", "mean_rows_with_payload")
+    return out.select("class_name", "records", *[F.round(n, 6).alias(n) for n in numbers], "interpretation", "gate")
 
 
 @query("""
 WITH f AS (SELECT l_orderkey, count(*) AS nodes, sum(l_quantity)::BIGINT AS packets FROM lineitem GROUP BY 1)
-SELECT count(*) AS records, count(*) FILTER (packets > 100 AND nodes <= 100) AS mismatches, round(avg((packets > 100 AND nodes <= 100)::INT), 6) AS share, max(packets) AS most_packets, max(nodes) AS most_nodes, 'mismatch_confirmed_rebuild_needed' AS conclusion FROM f
+SELECT count(*) AS records, count(*) FILTER (packets > 100 AND nodes <= 100) AS mismatches, round(avg((packets > 100 AND nodes <= 100)::INT), 6) AS share, max(packets) AS most_packets, max(nodes) AS most_nodes, CASE WHEN count(*) FILTER (packets > 100 AND nodes <= 100) > 0 THEN 'mismatch_confirmed_rebuild_needed' ELSE 'no_mismatch_observed_flowcapper_consistent' END AS conclusion FROM f
 """)
 def flow_window_consistency(spark: SparkSession, d: str) -> DataFrame:
     f = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("nodes"), F.sum("l_quantity").cast("bigint").alias("packets"))

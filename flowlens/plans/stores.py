@@ -121,6 +121,62 @@ def gate_split_leakage(spark: SparkSession, d: str) -> DataFrame:
     return r.select("reason", "n", F.col("sample")[0].alias("first_id"))
 
 
+_GATE7 = """
+WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS split, CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS own,
+  CASE WHEN o_orderkey % 31 = 0 THEN 'CICIDS2017' ELSE 'other-2018' END AS source, CASE WHEN o_orderkey % 83 > 0 THEN (o_orderkey // 3)::VARCHAR END AS identity, CASE WHEN o_orderkey % 89 > 0 THEN (o_custkey % 400)::VARCHAR ELSE '' END AS hash,
+  CASE WHEN o_orderkey % 101 > 0 THEN o_orderkey::VARCHAR END AS graph, CASE WHEN o_orderkey % 10 >= 8 AND o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS klass FROM orders),
+rules AS (SELECT unnest([CASE WHEN own <> split THEN 'graph_split_attr_mismatch' END, CASE WHEN source LIKE '%2017%' AND split <> 'train' THEN 'cicids2017_graph_outside_train' END, CASE WHEN identity IS NULL THEN 'missing_office_candidate_identity' END,
+  CASE WHEN hash = '' THEN 'missing_flow_id_hash' END, CASE WHEN graph IS NULL THEN 'missing_graph_id' END]) AS reason, 1 AS n FROM r),
+dups AS (SELECT 'duplicate_identity' AS reason, count(*) - 1 AS n FROM r WHERE identity IS NOT NULL GROUP BY identity HAVING count(*) > 1 UNION ALL SELECT 'duplicate_graph', count(*) - 1 FROM r WHERE graph IS NOT NULL GROUP BY graph HAVING count(*) > 1),
+over AS (SELECT 'cross_split_identity_overlap' AS reason, 1 AS n FROM (SELECT DISTINCT identity AS v, split FROM r WHERE identity IS NOT NULL) a JOIN (SELECT DISTINCT identity AS v, split FROM r) b ON a.v = b.v AND a.split < b.split
+  UNION ALL SELECT 'cross_split_hash_overlap', 1 FROM (SELECT DISTINCT hash AS v, split FROM r WHERE hash <> '') a JOIN (SELECT DISTINCT hash AS v, split FROM r) b ON a.v = b.v AND a.split < b.split),
+expected AS (SELECT s.split, c.klass FROM (SELECT unnest(['train', 'val', 'test']) AS split) s, (SELECT unnest(['F', 'O', 'P', 'X']) AS klass) c),
+gone AS (SELECT 'class_missing_from_split' AS reason, 1 AS n FROM expected w WHERE NOT EXISTS (SELECT 1 FROM r WHERE (r.split || r.klass) = (w.split || w.klass)))
+SELECT reason, sum(n)::BIGINT AS n FROM (FROM rules UNION ALL FROM dups UNION ALL FROM over UNION ALL FROM gone) WHERE reason IS NOT NULL GROUP BY 1
+"""
+
+
+@query(_GATE7)
+def gate_split_full(spark: SparkSession, d: str) -> DataFrame:
+    """The leakage gate in full: rules of records, repeated and shared identities, hashes and graph ids, classes missing from a split."""
+    k = F.col("o_orderkey")
+    split = F.when(k % 10 < 6, "train").when(k % 10 < 8, "val").otherwise("test")
+    r = read(spark, d, "orders").select(
+        "o_orderkey", split.alias("split"), F.when(k % 97 == 0, "").otherwise(split).alias("own"), F.when(k % 31 == 0, "CICIDS2017").otherwise("other-2018").alias("source"),
+        F.when(k % 83 > 0, F.floor(k / 3).cast("string")).alias("identity"), F.when(k % 89 > 0, (F.col("o_custkey") % 400).cast("string")).otherwise("").alias("hash"), F.when(k % 101 > 0, k.cast("string")).alias("graph"),
+        F.when((k % 10 >= 8) & (F.col("o_orderstatus") == "P"), "O").otherwise(F.col("o_orderstatus")).alias("klass"),
+    )
+    rules = G.split_rules("split", "own", "source", "identity", "hash", "graph")
+    failures, _ = G.pool_gate(r, "o_orderkey", "split", rules, unique=["identity", "graph"], apart=["identity", "hash", "graph"], expected=("klass", ["F", "O", "P", "X"], ["train", "val", "test"], True))
+    return G.gate_report(failures, 3).select("reason", "n")
+
+
+@query("""
+WITH r AS (SELECT vec_id AS k, label, CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM embeddings),
+rules AS (SELECT unnest([CASE WHEN k % 50 = 0 THEN 'missing_graph_id' END, CASE WHEN label > 6 THEN 'unknown_class_name' END, CASE WHEN k % 9 = 0 AND label BETWEEN 1 AND 6 THEN 'label_class_mismatch' END, CASE WHEN k % 7 = 0 THEN 'node_type_mismatch' END,
+  CASE WHEN k % 25 NOT IN (0, 1) AND k % 8 = 0 THEN 'edge_type_missing' END, CASE WHEN k % 6 = 0 THEN 'flow_dim_mismatch' END, CASE WHEN k % 25 = 0 OR k % 4 = 3 THEN 'packet_dim_mismatch' END,
+  CASE WHEN k % 12 = 1 THEN 'flow_x_nonfinite' END]) AS reason, 1 AS n FROM r)
+SELECT reason, sum(n)::BIGINT AS n, reason <> 'class_missing_from_split' AS hard FROM (
+  FROM rules UNION ALL SELECT 'duplicate_graph_id', count(*) - 1 FROM r WHERE k % 50 > 0 GROUP BY k // 2 HAVING count(*) > 1
+  UNION ALL SELECT 'class_missing_from_split', 1 FROM (SELECT s.split, c.klass FROM (SELECT unnest(['train', 'val']) AS split) s, (SELECT unnest(range(8)) AS klass) c) w WHERE NOT EXISTS (SELECT 1 FROM r WHERE (r.split || r.label) = (w.split || w.klass))
+) WHERE reason IS NOT NULL GROUP BY 1
+""")
+def gate_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The graph gate: ids, classes, node and edge types, dimensions, finite values; a class missing from a split is a warning here."""
+    k, label = F.col("vec_id"), F.col("label")
+    n = F.when(k % 25 == 0, 0).when(k % 25 == 1, 1).otherwise(3)
+    types = F.when((k % 8 == 0) | (n < 2), F.array(F.lit("contains"), F.lit("rev_contains"))).otherwise(F.array(F.lit("contains"), F.lit("rev_contains"), F.lit("linked_to")))
+    flow = F.when(k % 6 == 0, F.array_repeat(F.lit(1.0), 64)).otherwise(F.concat(F.array(F.when(k % 12 == 1, float("nan")).otherwise(0.5)), F.array_repeat(F.lit(1.0), 91)))
+    r = read(spark, d, "embeddings").select(
+        "vec_id", F.when(k % 4 == 0, "val").otherwise("train").alias("split"), F.when(k % 50 > 0, F.floor(k / 2).cast("string")).alias("graph_id"), label.cast("string").alias("class_name"), F.when(k % 9 == 0, 0).otherwise(label).alias("label"),
+        F.when(k % 7 == 0, F.array(F.lit("flow"))).otherwise(F.array(F.lit("packet"), F.lit("flow"))).alias("node_types"), types.alias("edge_types"), F.array(flow).alias("flow_x"),
+        F.array_repeat(F.array_repeat(F.lit(0.5), F.when(k % 4 == 3, 7).otherwise(8)), n).alias("packet_x"), F.array_repeat(F.array_repeat(F.lit(1.0), 4), n).alias("contain_edge_attr"),
+        F.array_repeat(F.array(F.lit(0.0)), F.greatest(n - 1, F.lit(0))).alias("link_edge_attr"),
+    )
+    failures, _ = G.pool_gate(r, "vec_id", "split", G.graph_rules([str(c) for c in range(7)], packet=8), unique=["graph_id"], expected=("class_name", list(range(8)), ["train", "val"], False))
+    return G.gate_report(failures, 3).select("reason", "n", "hard")
+
+
 @query("SELECT vec_id AS id, 'embedding_width' AS reason FROM embeddings WHERE vec_id % 7 = 0")
 def model_widths(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
