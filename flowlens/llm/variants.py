@@ -30,7 +30,7 @@ from flowlens.llm.common import cut, cut_with, named, need, ship
 #: Runs of Latin letters; the range holds the multiplication and division signs too.
 LETTERS = "[A-Za-zÀ-ÿ]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-Q = 2
+Q = 3
 _BEFORE, _AFTER = "\x02", "\x03"
 _CELLS = 1 << 16
 _BLOCK = 2048
@@ -109,18 +109,22 @@ class Postings:
     """Words of one length, by (gram, place)."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.words, self.lists = size, [], {}
+        self.size, self.words, self.lists, self.at = size, [], {}, {}
 
     def add(self, word: str, n: int) -> None:
         for at in enumerate(grams(word)):
             self.lists.setdefault(at, []).append(len(self.words))
+        self.at[word] = len(self.words)
         self.words.append((word, n))
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """The words one edit away; of those of the same length only the smaller ones, as the larger find this one."""
         longer = len(word) - self.size
-        lists = [got for i, g in enumerate(grams(word)) for j in range(i - longer, i + 1) if (got := self.lists.get((j, g)))]
         bound = len(word) + Q - 1 - Q
+        alone = [self.at[word]] if word in self.at else None  # lists that hold nothing but the word itself
+        lists = [got for i, g in enumerate(grams(word)) for j in range(i - longer, i + 1) if (got := self.lists.get((j, g))) and got != alone]
+        if len(lists) < bound:
+            return
         last, count = -1, 0
         for k in heapq.merge(*lists, [len(self.words)]):
             if k == last:
@@ -172,7 +176,9 @@ def near_pairs(words: DataFrame, block: int = _BLOCK) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = placed.filter("own").select(*group, block_of("xs").alias("x"), every("ys").alias("y"), F.lit(False).alias("probe"), "word", "n")
     probes = placed.select(*group, every("xs").alias("x"), block_of("ys").alias("y"), F.lit(True).alias("probe"), "word", "n")
-    rows = index.union(probes).repartition(*group, "x", "y").sortWithinPartitions(*group, "x", "y", "probe")
+    # Few bytes, much work: not fewer tasks than the session asks for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = index.union(probes).repartition(tasks, *group, "x", "y").sortWithinPartitions(*group, "x", "y", "probe")
     return rows.mapInArrow(_merged, _PAIRS).distinct()
 
 
