@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, need, new_path, ship, small_side
+from flowlens.llm.common import cut, need, new_path, ship, salted_join
 
 # Fixed field lists of the ARC formats.
 ARC_FIELDS = {
@@ -183,7 +183,8 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
 
     Of records with equal payloads of least_bytes or more the one with the least (page id, URI) stays, the others become
     revisits that hold its identifier, date and URI and only their own HTTP header. Digests go through one narrow
-    aggregation; payloads themselves are only shuffled if repeated digests are too many to broadcast.
+    aggregation; payloads themselves are only shuffled if repeated digests are too many to broadcast, and then the records of
+    one digest are dealt to many tasks.
     """
     ship(spark)
     narrow = read_arc(spark, arc_path, blocks=False).filter(F.col("payload_bytes") >= least_bytes)
@@ -192,10 +193,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
     order = F.struct(F.coalesce(page, F.lit(2**63 - 1)), "uri", "record_id", "date")
     firsts = narrow.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     firsts = cut(
-        firsts.select(F.col("payload_digest").alias("same"), F.col("first.uri").alias("first_uri"), F.col("first.record_id").alias("first_id"), F.col("first.date").alias("first_date")),
+        firsts.select("payload_digest", F.col("first.uri").alias("first_uri"), F.col("first.record_id").alias("first_id"), F.col("first.date").alias("first_date")),
         "firsts",
     )
-    both = read_arc(spark, arc_path).join(small_side(firsts, firsts.count()), F.col("payload_digest") == F.col("same"), "left").drop("same")
+    both = salted_join(read_arc(spark, arc_path), firsts, ["payload_digest"], ["uri", "record_id"], firsts.count(), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: flowlens\r\nformat: WARC File Format 1.1\r\n"
