@@ -27,6 +27,8 @@ class Settings:
     """Bound of the training sample, compression, and the least relative margin of an accepted decision."""
 
     sample_docs: int = 150  # labelled rows a language; the dictionary is all their text
+    sample_bytes: int = 4 << 20  # UTF-8 bytes a language: whole rows are taken while they fit
+    most_langs: int = 100  # a table with more language values is refused; sample_bytes times this is what the driver may hold
     short_bytes: int = 1000  # rows of up to so many bytes are taken first, longer ones by rising length
     level: int = 6
     chunk: int = 8192
@@ -39,7 +41,11 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, rank, text): at most sample_docs whole texts of each language, the first in hash order.
+    """(lang, rank, text): at most sample_docs whole texts and sample_bytes of each language, the first in hash order.
+
+    Short rows come first: a dictionary of many short texts shows more of a language than a few long ones of the same size,
+    and a bound in bytes would else be used up by the first long text. A language all of whose texts are larger than
+    sample_bytes teaches nothing. More than most_langs values of the column are an error that names the setting to raise.
 
     Counts by language, over narrow columns, say below which hash a row may be among the first; so only some sixteen times
     as many rows as are wanted come to the window, at any number of rows and partitions.
@@ -48,6 +54,8 @@ def sample(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     h = F.xxhash64(F.lit(17), named(id_col))
     known = docs.filter(named(lang_col).isNotNull() & ~held_out(id_col))
     counts = known.groupBy(named(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
+    if counts.limit(settings.most_langs + 1).count() > settings.most_langs:
+        raise ValueError(f"there are more than {settings.most_langs} languages: raise Settings.most_langs, and the driver's memory by sample_bytes for each")
     rows = known.filter(named(text_col).isNotNull()).select(
         named(lang_col).alias("lang"), h.alias("h"), named(id_col).alias("id"), named(text_col).alias("text")
     )
@@ -55,7 +63,8 @@ def sample(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     order = Window.partitionBy("lang").orderBy(F.greatest(F.octet_length("text"), F.lit(settings.short_bytes)), "h", "id", "text")
     return (
         rows.join(F.broadcast(counts), "lang").filter(early)  # one row a language
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.sample_docs)
+        .withColumns({"rank": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        .filter((F.col("rank") <= settings.sample_docs) & (F.col("bytes") <= settings.sample_bytes))
         .select("lang", "rank", "text")
     )
 
