@@ -8,7 +8,6 @@ widened, up to the rest of the document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +34,8 @@ class ResyncCounter:
                 self.inside.update(piece[k : k + 2] for k in range(len(piece) - 1))
         # Splicing rests on characters being encoded as they stand, apart from the space in front of the text.
         probe = " a  \t\n éﬁ Ａ z  "
-        self.local = self.model.decode(self.model.encode(probe)) == probe
-        self.odd = re.compile("|".join(re.escape(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()) if self.model.is_control(i)) or r"(?!)")
+        if self.model.decode(self.model.encode(probe)) != probe:
+            raise ValueError(f"{path} changes characters before it encodes them: chunks of a text cannot be spliced with it")
 
     def stable(self, data: bytes, at: int) -> bool:
         """No piece holds the two characters on both sides of byte at next to each other."""
@@ -53,7 +52,7 @@ class ResyncCounter:
         return [start + p.begin for p in found.pieces]
 
     def count(self, text: str) -> int:
-        if len(text) <= 2 * self.chunk or not self.local:
+        if len(text) <= 2 * self.chunk:
             return len(self.model.encode(text))
         data = text.encode("utf-8")
 
@@ -105,7 +104,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """One row per row of docs: UTF-8 bytes, tokens without begin and end, and whether there are more than limit.
 
     Null text counts as empty with 0 tokens. Texts are counted whole, at any length. Rows are independent, so repeated
-    rows and ids repeat their results; columns besides the two named are ignored.
+    rows and ids repeat their results; columns besides the two named are ignored. An empty table gives no rows. A model
+    that normalises characters is refused, since its chunks could not be spliced.
     """
     need(docs, [id_col, text_col])
     ship(docs.sparkSession)
