@@ -147,7 +147,11 @@ def _encode(paths: tuple[str, str, str]):
 
 
 def encode(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text; null text gives an empty array."""
+    """(doc_id, ids array<int>) of every whole text, at any length; null and empty texts give an empty array.
+
+    Rows are independent, so repeated rows and ids repeat their results; other columns are ignored, whatever their names.
+    An empty table gives no rows.
+    """
     need(docs, [id_col, text_col])
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,7 +163,7 @@ def round_trips(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
 
     Null text counts as empty (0 tokens). Strings of special tokens inside a text become those tokens, as the library
     has it by default. Texts are encoded whole, at any length. Rows are independent, so repeated rows and ids repeat
-    their results; columns besides the two named are ignored.
+    their results; columns besides the two named are ignored. An empty table gives no rows.
     """
     need(docs, [id_col, text_col])
     ship(docs.sparkSession)

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.scratch import cut, cut_with, new_path, shared_dir  # noqa: F401  the operators take them from here
+
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,53 +45,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where it is unset a local session gets a folder of its own; on a cluster that would be another folder on each
-    machine, so it is an error there.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder name under the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/flowlens-{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_with(df: DataFrame, what: str, **facts: Column) -> tuple[DataFrame, dict]:
-    """cut(df), and aggregates over its rows that are gathered while they are written."""
-    seen = Observation()
-    return cut(df.observe(seen, *[c.alias(name) for name, c in facts.items()]), what), seen.get
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended before
-            return
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once; a plain reference inside a lambda would be worked out per element."""
     return F.transform(F.array(value), body)[0]

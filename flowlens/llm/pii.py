@@ -198,7 +198,12 @@ def written(spans: Column, with_score: bool = False) -> Column:
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: counts and digest of the base spans, all spans, and all spans with scores."""
+    """One row per row of docs: counts and digest of the base spans, all spans, and all spans with scores.
+
+    Null text counts as empty: no spans, and the digest of an empty list. Texts are searched whole, at any length. Rows are
+    independent, so repeated rows and ids repeat their results; other columns are ignored, whatever their names. An empty
+    table gives no rows.
+    """
     need(docs, [id_col, text_col])
     found = find_pii(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")))
     base = [k for k, kind in enumerate(KINDS) if kind.base]

@@ -131,7 +131,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
     """One row per row of docs: word facts, compression ratios, base_failed, kept and the reason of a rejection.
 
     Null text counts as empty: no words, so it fails for few words. Texts are read whole. Rows are independent, so
-    repeated rows and ids repeat their results; columns besides the two named are ignored.
+    repeated rows and ids repeat their results; columns besides the two named are ignored. An empty table gives no rows.
     """
     need(docs, [id_col, text_col])
     ship(docs.sparkSession)

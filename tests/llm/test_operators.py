@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.llm import arcwarc, bpe, fingerprint, langid, linededup, neardup, packing, pii, quality, queries, tokencount
+from flowlens.llm import components as components_module
 from flowlens.llm.common import shared_dir
 from flowlens.llm.components import components
 from tests.llm.fixtures import SCHEMA, documents
@@ -347,6 +348,45 @@ def test_archives(spark):
     assert arcwarc.archived_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_archives_of_a_hot_digest(spark, monkeypatch):
+    """Repeated digests too many to broadcast: records are dealt by salt; null and repeated ids; one payload on a third of the rows."""
+    asked, join = [], arcwarc.salted_join
+    monkeypatch.setattr(arcwarc, "salted_join", lambda many, few, keys, spread, rows, how: asked.append(rows) or join(many, few, keys, spread, 10**6, how))
+    hot = "the same page everywhere " * 10
+    rows = [(k, f"http://a/{k}", hot if k % 3 == 0 else f"page {k % 50} " * 30) for k in range(1, 300)]
+    rows += [(None, "http://n/", hot), (6, "http://again/", hot), (3, "http://a/3", hot)]
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in arcwarc.archived_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect())
+    assert asked == [51]
+    assert got[(3, "response", None)] == 2 and got[(6, "revisit", 3)] == 2 and got[(None, "revisit", 3)] == 1
+    for k in range(1, 300):
+        if k % 3:
+            first = next(j for j in range(1, 300) if j % 3 and j % 50 == k % 50)
+            assert got[(k, "response", None) if first == k else (k, "revisit", first)] == 1, k
+    assert sum(got.values()) == len(rows)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "_HUB", 3)
+    rnd = random.Random(4)
+    links = [(0, k) for k in range(1, 120)] + [(500 + k, 400) for k in range(90)] + [(rnd.randrange(1000, 1200), rnd.randrange(1000, 1200)) for _ in range(150)] + [(119, 589)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: v for k, v in brute_roots(links).items() if k in got} and set(got) == {x for a, b in links if a != b for x in (a, b)}
+
+
+def brute_roots(links):
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(parent)}
+
+
 def test_arc_parser_versions():
     for v in (1, 2):
         data = arcwarc.arc_start(v, "20010203040506") + b"\n"
@@ -450,6 +490,19 @@ def test_languages(spark, none):
     assert langid.languages(frame.limit(3).withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(k, "ab cd " * (200 + k), lang, "s", 1) for k, lang in enumerate(["aa"] * 90 + ["bb"] * 9)] + [(500 + k, "zz " * 90_000, "cc", "s", 1) for k in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = langid.sample(docs, langid.Settings(sample_bytes=20_000)).collect()
+    size = Counter()
+    for r in taken:
+        size[r.lang] += len(r.text)
+    assert set(size) == {"aa", "bb"} and max(size.values()) <= 20_000 and size["aa"] > 17_000  # whole rows, and none of a language of long ones only
+    assert {r.text for r in taken} <= {r[1] for r in rows}
+    with pytest.raises(ValueError, match="most_langs"):
+        langid.sample(docs, langid.Settings(most_langs=2))
+
+
 # --- 9 and 10 ----------------------------------------------------------------------------------------------------
 
 
