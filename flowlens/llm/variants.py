@@ -8,9 +8,10 @@
    in 65,536 hashed cells, so what is sent to the tasks has a fixed size; the order is the same for all words, and the
    first surviving gram of both words is the same one.
 3. A group holds an inverted index (gram, place) -> words of its own words. For each word that probes it, the posting lists
-   of its grams at the places allowed are merged by a heap; words that come up often enough (the count filter) are verified
-   code point by code point. Large groups are dealt to blocks of index words and of probing words, so no task holds more
-   than two blocks of one group.
+   of its grams at the places allowed are merged by a heap: those of its rarest grams in the group, one gram more than a near
+   word may lack, as every near word is in one of them; the longer lists are looked up for what comes up. Words that are in
+   enough lists (the count filter) are verified code point by code point. Large groups are dealt to blocks of index words
+   and of probing words, so no task holds more than two blocks of one group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -120,21 +123,21 @@ class Postings:
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """The words one edit away; of those of the same length only the smaller ones, as the larger find this one."""
         longer = len(word) - self.size
-        bound = len(word) + Q - 1 - Q
-        alone = [self.at[word]] if word in self.at else None  # lists that hold nothing but the word itself
-        lists = [got for i, g in enumerate(grams(word)) for j in range(i - longer, i + 1) if (got := self.lists.get((j, g))) and got != alone]
-        if len(lists) < bound:
-            return
-        last, count = -1, 0
-        for k in heapq.merge(*lists, [len(self.words)]):
-            if k == last:
-                count += 1
+        found = [[got for j in range(i - longer, i + 1) if (got := self.lists.get((j, g)))] for i, g in enumerate(grams(word))]
+        spare = len(found) - (len(word) + Q - 1 - Q)  # grams that a near word may lack
+        found.sort(key=lambda lists: sum(map(len, lists)))
+        short, rest, me = found[: spare + 1], found[spare + 1 :], self.at.get(word, -1)
+        for k, times in groupby(heapq.merge(*[x for lists in short for x in lists])):
+            other, n = self.words[k]
+            if k == me or not longer and other > word:
                 continue
-            if last >= 0 and count >= bound:
-                other, n = self.words[last]
-                if one_edit(word, other) and (longer or other < word):
-                    yield other, n
-            last, count = k, 1
+            lacks = spare + 1 - sum(1 for _ in times)
+            for lists in rest:
+                if lacks > spare:
+                    break
+                lacks += not any((at := bisect_left(x, k)) < len(x) and x[at] == k for x in lists)
+            if lacks <= spare and one_edit(word, other):
+                yield other, n
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
