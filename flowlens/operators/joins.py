@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.scalars import micros
+from flowlens.operators.ordered import first_per_key
 
 
 def first_window(windows: Sequence[tuple[tuple, Column]], schema: str) -> Column:
@@ -79,14 +80,21 @@ def match_flows(candidates: DataFrame, flows: DataFrame, tuple_cols: list[str],
     turned = both_directions(candidates, swaps)
     wanted = [candidate_id, f_order, "reversed", "delta_us"]
     timed = within(turned, flows, tuple_cols, c_ts, f_ts, tolerance).withColumn("delta_us", F.abs(micros(c_ts) - micros(f_ts)))
-    loose = turned.filter(F.col(c_ts).isNull()).drop(c_ts).join(flows, tuple_cols).withColumn("delta_us", F.lit(None).cast("bigint"))
-    pairs = timed.select(*wanted).unionByName(loose.select(*wanted))
-    pairs = pairs.groupBy(candidate_id, f_order).agg(F.min("reversed").alias("reversed"), F.min("delta_us").alias("delta_us"))
+    # Of a tuple's flows only the first two can decide for candidates without a time: one to take, one to tie with it.
+    sizes = flows.groupBy(*tuple_cols).agg(F.count(F.lit(1)).alias("_flows"))
+    two = first_per_key(flows.select(*tuple_cols, f_order), tuple_cols, [f_order], 2).join(sizes, tuple_cols)
+    loose = turned.filter(F.col(c_ts).isNull()).drop(c_ts).join(two, tuple_cols).withColumn("delta_us", F.lit(None).cast("bigint"))
+    pairs = timed.select(*wanted, F.lit(None).cast("bigint").alias("_flows"), F.lit(None).cast("string").alias("_tuple"))
+    pairs = pairs.unionByName(loose.select(*wanted, "_flows", F.to_json(F.struct(*tuple_cols)).alias("_tuple")))
+    pairs = pairs.groupBy(candidate_id, f_order).agg(F.min("reversed").alias("reversed"), F.min("delta_us").alias("delta_us"), F.first("_flows").alias("_flows"), F.first("_tuple").alias("_tuple"))
     order = ["reversed", "delta_us", f_order] if strict else [f_order]
     w = Window.partitionBy(candidate_id).orderBy(*order)
     rank = F.struct("reversed", "delta_us")
     best = pairs.withColumns({"_n": F.row_number().over(w), "_next": F.lead(rank).over(w)})
-    best = best.withColumn("n_matches", F.count(F.lit(1)).over(Window.partitionBy(candidate_id))).filter("_n = 1")
+    every = Window.partitionBy(candidate_id)  # a candidate without a time has two tuples and four flows at most here
+    among = F.aggregate(F.collect_set(F.when(F.col("_tuple").isNotNull(), F.struct("_tuple", "_flows"))).over(every), F.lit(0).cast("bigint"), lambda s, t: s + t["_flows"])
+    counted = F.when(F.max("_tuple").over(every).isNotNull(), among).otherwise(F.count(F.lit(1)).over(every))
+    best = best.withColumn("n_matches", counted).filter("_n = 1").drop("_flows", "_tuple")
     tie = F.coalesce(F.col("_next") == rank, F.lit(False)) if strict else F.lit(False)
     return best.withColumn("status", F.when(tie, "AMBIGUOUS_MATCH").otherwise("MATCHED")).drop("_n", "_next")
 

@@ -19,7 +19,11 @@ def class_metrics(df: DataFrame, truth: str, pred: str, by: list[str] | None = N
     Rates with an empty denominator are 0. Works on the confusion counts, whose rows are classes squared.
     """
     by = by or []
-    cells = confusion(df, truth, pred, by)
+    return cell_metrics(confusion(df, truth, pred, by), truth, pred, by)
+
+
+def cell_metrics(cells: DataFrame, truth: str, pred: str, by: list[str]) -> DataFrame:
+    """class_metrics of confusion counts (by..., truth, pred, n)."""
     sides = cells.select(*by, F.col(truth).alias("klass"), "n", F.lit(1).alias("t"), (F.col(truth) == F.col(pred)).cast("int").alias("hit")).union(
         cells.select(*by, F.col(pred), "n", F.lit(0), F.lit(0))
     )
@@ -45,8 +49,13 @@ def class_metrics(df: DataFrame, truth: str, pred: str, by: list[str] | None = N
 
 def summary(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """Accuracy, macro F1 over the classes seen, and F1 weighted by support."""
-    per = class_metrics(df, truth, pred, by)
-    return per.groupBy(*(by or [])).agg(
+    return cell_summary(confusion(df, truth, pred, by), truth, pred, by or [])
+
+
+def cell_summary(cells: DataFrame, truth: str, pred: str, by: list[str]) -> DataFrame:
+    """summary of confusion counts (by..., truth, pred, n)."""
+    per = cell_metrics(cells, truth, pred, by)
+    return per.groupBy(*by).agg(
         F.sum("support").alias("n"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),
@@ -54,27 +63,83 @@ def summary(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -
     )
 
 
-def bootstrap_macro_f1(df: DataFrame, truth: str, pred: str, draws: int, seed: int, draw_rows: int = 5_000_000) -> DataFrame:
+def bootstrap_macro_f1(df: DataFrame, truth: str, pred: str, draws: int, seed: int) -> DataFrame:
     """Percentiles 2.5, 50 and 97.5 of macro F1 over resamples of the confusion counts.
 
-    A resample draws as many rows as there are, with replacement: draw i of resample b takes the cell into whose
-    cumulative count a hash of (seed, b, i) falls. Only cell boundaries are joined, never rows. Draws are made in
-    ranges of about draw_rows, each a task of its own that hashes, finds the cells and counts them.
+    A resample draws as many rows as there are, with replacement, so its confusion counts are multinomial. They are drawn
+    cell by cell, in order of truth and prediction (null first): given what the cells before have taken, a cell's count is
+    binomial of what is left. Each is drawn from one hashed uniform, by multinomial_counts. So draws x cells numbers are
+    made and no rows, whatever the size of the table. A table without rows gives nulls.
     """
-    cells = confusion(df, truth, pred)
-    total = df.count()
-    order = Window.orderBy(truth, pred)  # classes squared rows
-    cells = cells.withColumn("upto", F.sum("n").over(order)).withColumn("start", F.col("upto") - F.col("n"))
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-draws * total // draw_rows))
-    place = spark.range(0, draws * total, 1, tasks).select(F.expr(f"id div {max(total, 1)}").alias("b"), (F.col("id") % max(total, 1)).alias("i"))
-    number = F.conv(F.substring(stable_hash(F.lit(seed), F.col("b"), F.col("i")), 1, 12), 16, 10).cast("bigint")
-    draw = place.withColumn("u", F.pmod(number, F.lit(max(total, 1)).cast("bigint")))
-    picked = draw.join(F.broadcast(cells), (F.col("u") >= F.col("start")) & (F.col("u") < F.col("upto"))).select("b", truth, pred)
-    scores = summary(picked, truth, pred, ["b"])
+    cells = confusion(df, truth, pred).withColumn("_order", F.struct(truth, pred))
+    every = cells.agg(F.array_sort(F.collect_list(F.struct("_order", "n"))).alias("cells")).filter(F.size("cells") > 0)  # classes squared
+    numbered = every.crossJoin(df.sparkSession.range(draws).toDF("b"))  # one row with the cells
+    u = F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: uniform(seed, F.col("b"), i))
+    drawn = numbered.select("b", "cells", multinomial_counts(F.transform("cells", lambda c: c["n"]), u).alias("counts"))
+    picked = drawn.select("b", F.posexplode("cells").alias("i", "c"), "counts").select("b", F.col(f"c._order.{truth}").alias(truth), F.col(f"c._order.{pred}").alias(pred), F.col("counts")[F.col("i")].alias("n"))
+    scores = cell_summary(picked.filter("n > 0"), truth, pred, ["b"])
     return scores.agg(*[F.percentile("macro_f1", F.lit(q)).alias(name) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
 
 
+def uniform(seed: int, *key: Column) -> Column:
+    """A number between 0 and 1, both excluded, from the first twelve digits of a hash."""
+    twelve = F.conv(F.substring(stable_hash(F.lit(seed), *key), 1, 12), 16, 10).cast("double")
+    return (twelve + 0.5) / F.lit(float(1 << 48))
+
+
+def binomial_count(n: Column, p: Column, u: Column) -> Column:
+    """A binomial count of n trials from one uniform u.
+
+    The rarer outcome is counted (for p above a half the failures, by 1 - u). Where fewer than 100 of it are expected, it is
+    the smallest count whose cumulative probability reaches u, added up from 0. Else it is the quantile of the normal
+    distribution, with the corrections for whole numbers and for skewness, within a hundredth of a standard deviation.
+    """
+    swap = p > 0.5
+
+    def counted(x: Column) -> Column:
+        q, v, mean = x["q"], x["v"], n * x["q"]
+        start = F.struct(F.lit(0).cast("bigint").alias("k"), F.pow(1 - q, n).alias("prob"), F.pow(1 - q, n).alias("total"))
+
+        def step(s: Column, k: Column) -> Column:
+            prob = s["prob"] * (n - k + 1) / k * (q / (1 - q))
+            return F.when(s["total"] >= v, s).otherwise(F.struct(k.alias("k"), prob.alias("prob"), (s["total"] + prob).alias("total")))
+
+        most = F.least(n, F.ceil(mean + 12 * F.sqrt(mean + 1) + 12))
+        added = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(most, F.lit(1))), start, step, lambda s: s["k"])
+        z = normal_quantile(v)
+        near = F.floor(mean + z * F.sqrt(mean * (1 - q)) + (1 - 2 * q) * (z * z - 1) / 6 + 0.5)
+        k = F.when((n == 0) | (q <= 0), F.lit(0).cast("bigint")).when(mean < 100, F.least(added, n)).otherwise(F.greatest(F.lit(0), F.least(n, near)).cast("bigint"))
+        return F.when(swap, n - k).otherwise(k)
+
+    sides = F.struct(F.when(swap, 1 - p).otherwise(p).alias("q"), F.when(swap, 1 - u).otherwise(u).alias("v"))
+    return F.transform(F.array(sides), counted)[0]
+
+
+def normal_quantile(u: Column) -> Column:
+    """The standard normal quantile, to within 0.0005."""
+    # Coefficients of a well-known rational approximation of the tail.
+    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(u < 0.5, -x).otherwise(x)
+
+
+def multinomial_counts(counts: Column, u: Column) -> Column:
+    """One draw with replacement of as many rows as counts (an array) hold: an array of counts with the same sum.
+
+    u has a uniform for each cell. Null where counts are empty.
+    """
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, n: s + n)
+    start = F.struct(total.alias("left"), total.alias("rest"), F.array().cast("array<bigint>").alias("drawn"))
+
+    def step(s, cell):
+        share = F.least(F.lit(1.0), cell["n"] / s["rest"])
+        k = F.when(cell["n"] >= s["rest"], s["left"]).otherwise(binomial_count(s["left"], share, cell["u"]))
+        return F.transform(F.array(k), lambda k: F.struct((s["left"] - k).alias("left"), (s["rest"] - cell["n"]).alias("rest"), F.concat(s["drawn"], F.array(k)).alias("drawn")))[0]
+
+    cells = F.zip_with(counts, u, lambda n, x: F.struct(n.alias("n"), x.alias("u")))
+    return F.aggregate(cells, start, step, lambda s: s["drawn"])
+
+
 def class_weights(counts: DataFrame, n: str, method: str, beta: float = 0.9999, cap: float | None = None, classes: tuple[str, list] | None = None) -> DataFrame:
     """Weight per row of counts, mean 1 before the cap, rounded to 6 digits; counts has one row a class.
 

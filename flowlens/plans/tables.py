@@ -272,9 +272,32 @@ def source_stratified(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d).filter(t | p).groupBy("g").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
 
 
-@query()
+# One cell of one draw: the rest of its rows that are left, the chance q of the rarer outcome, its uniform v, and the count.
+_Z = "(CASE WHEN v < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)))"
+_BOOT = f"""
+WITH RECURSIVE r AS ({_TP}), c AS (SELECT t, p, count(*) AS n, row_number() OVER (ORDER BY t, p) - 1 AS i, sum(count(*)) OVER (ORDER BY t DESC, p DESC) AS rest FROM r GROUP BY 1, 2),
+u AS (SELECT b, i, n, rest, (('0x' || substr(sha256(concat_ws('|', '42', b, i)), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u, n / rest AS p FROM c, (SELECT unnest(range(200)) AS b)),
+v AS (SELECT *, CASE WHEN p > 0.5 THEN 1 - p ELSE p END AS q, CASE WHEN p > 0.5 THEN 1 - u ELSE u END AS v, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM u),
+draws AS (
+  SELECT b, -1::BIGINT AS i, (SELECT sum(n) FROM c)::BIGINT AS remaining, 0::BIGINT AS k FROM (SELECT unnest(range(200)) AS b)
+  UNION ALL
+  SELECT b, i, remaining - k, k FROM (SELECT b, i, remaining, CASE WHEN n >= rest THEN remaining WHEN p > 0.5 THEN remaining - rare ELSE rare END AS k FROM (
+    SELECT d.b, v.i, v.n, v.rest, v.p, d.remaining, CASE WHEN d.remaining = 0 THEN 0 WHEN d.remaining * q < 100 THEN
+      least(d.remaining, list_reduce(range(1, greatest(1, least(d.remaining, ceil(d.remaining * q + 12 * sqrt(d.remaining * q + 1) + 12)))::BIGINT + 1),
+        lambda s, k: CASE WHEN s.total >= v THEN s ELSE {{'k': k, 'prob': s.prob * (d.remaining - k + 1) / k * (q / (1 - q)), 'total': s.total + s.prob * (d.remaining - k + 1) / k * (q / (1 - q))}} END,
+        {{'k': 0::BIGINT, 'prob': pow(1 - q, d.remaining), 'total': pow(1 - q, d.remaining)}}).k)
+      ELSE greatest(0, least(d.remaining, floor(d.remaining * q + {_Z} * sqrt(d.remaining * q * (1 - q)) + (1 - 2 * q) * ({_Z} * {_Z} - 1) / 6 + 0.5)))::BIGINT END AS rare
+    FROM draws d JOIN v ON v.b = d.b AND v.i = d.i + 1))
+), s AS (SELECT b, t, p, k AS n FROM draws JOIN c USING (i) WHERE k > 0),
+per AS (SELECT b, y, 2.0 * sum(n) FILTER (t = p AND y = t AND side) / sum(n) AS f1 FROM (SELECT b, t, p, n, t AS y, true AS side FROM s UNION ALL SELECT b, t, p, n, p, false FROM s) GROUP BY 1, 2),
+m AS (SELECT b, avg(coalesce(f1, 0)) AS f FROM per GROUP BY 1)
+SELECT round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.5), 6) AS middle, round(quantile_cont(f, 0.975), 6) AS high FROM m
+"""
+
+
+@query(_BOOT)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return M.bootstrap_macro_f1(_predicted(spark, d), "t", "p", 200, 42)
+    return M.bootstrap_macro_f1(_predicted(spark, d), "t", "p", 200, 42).select(*[F.round(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
 @query(f"SELECT round(quantile_cont(x, 0.05), 6) AS threshold FROM (SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'F')")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import flowlens.plans.attempts  # noqa: F401
 import flowlens.plans.audits  # noqa: F401
 import flowlens.plans.flows  # noqa: F401
 import flowlens.plans.packets  # noqa: F401
