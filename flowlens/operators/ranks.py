@@ -75,9 +75,9 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], na
     )
     line = Window.orderBy("_range")
     before = edges.withColumns({"total": F.sum("rows").over(Window.partitionBy("last").orderBy("_range")), "seen": F.lag("last").over(line)})
-    before = before.withColumn("offset", F.when(F.col("first").eqNullSafe(F.col("seen")), F.lag("total").over(line)).otherwise(0))
-    placed = written.join(F.broadcast(before.select("_range", "offset")), "_range", "left")
-    rank = F.col("_place") + 1 + F.when(F.col("_first"), F.col("offset")).otherwise(0)
+    before = before.withColumn("_offset", F.when(F.col("first").eqNullSafe(F.col("seen")), F.lag("total").over(line)).otherwise(0))
+    placed = written.join(F.broadcast(before.select("_range", "_offset")), "_range", "left")
+    rank = F.col("_place") + 1 + F.when(F.col("_first"), F.col("_offset")).otherwise(0)
     return placed.withColumn(name, rank).select(*base.columns, name)
 
 

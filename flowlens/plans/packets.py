@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +9,15 @@ from flowlens.functions.scalars import micros
 from flowlens.operators import flows as W
 from flowlens.plans.catalog import query
 from flowlens.plans.flows import port, read
+from flowlens.scratch import new_path
+from flowlens.sources import capture_source as D
 from flowlens.sources import captures as C
 from flowlens.streaming import stateful as S
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share; a local session that names none gets one of its own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    top = top or tempfile.mkdtemp(prefix="flowlens-")
-    return f"{top.rstrip('/')}/flowlens-{uuid.uuid4().hex}"
+    return new_path(spark, "scratch")
 
 
 def _bytes(value: Column, size: int) -> Column:
@@ -70,6 +65,14 @@ def capture_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _projected(C.read_captures(spark, path))
 
 
+@query(_PACKETS)
+def capture_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Written as classic captures by the data source and read back in byte ranges."""
+    path = scratch(spark)
+    D.write_captures(frames(spark, d), path)
+    return _projected(D.read_ranges(spark, path, 64 << 10))
+
+
 @query("""
 WITH RECURSIVE p AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT user_id, rn, t, t AS first, 1 AS flow FROM p WHERE rn = 1

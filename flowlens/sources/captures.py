@@ -184,7 +184,7 @@ def flow_tuples(packets: DataFrame) -> DataFrame:
     )
 
 
-def _block(kind: int, body: bytes) -> bytes:
+def section_block(kind: int, body: bytes) -> bytes:
     body += b"\0" * (-len(body) % 4)
     size = struct.pack("<I", len(body) + 12)
     return struct.pack("<I", kind) + size + body + size
@@ -198,12 +198,12 @@ def write_slices(packets: DataFrame, path: str) -> None:
     order = packets.sortWithinPartitions("ts_us", "file", "seq").select("ts_us", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _block(SECTION, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + _block(INTERFACE, struct.pack("<HHI", ETHERNET, 0, 0))
+        head = section_block(SECTION, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + section_block(INTERFACE, struct.pack("<HHI", ETHERNET, 0, 0))
         for batch in batches:
             out = []
             for ts, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 facts = struct.pack("<IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(frame), len(frame))
-                out.append((head + _block(ENHANCED, facts + frame))[:-1])
+                out.append((head + section_block(ENHANCED, facts + frame))[:-1])
                 head = b""
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).view(pa.string())], ["value"])
 
