@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.scaling import grouped_quantiles
+
 
 def _unit(rows: pd.DataFrame) -> np.ndarray:
     m = np.stack(rows["v"].to_numpy()).astype(np.float64)
@@ -92,3 +94,35 @@ def class_margins(queries: DataFrame, refs: DataFrame, id_col: str, vector: str,
     found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(run, "query_id bigint, own double, other double")
     least = found.groupBy("query_id").agg(*[F.min(F.when(F.col(c) < float("inf"), F.col(c))).alias(c) for c in ("own", "other")])
     return least.withColumn("margin", F.col("other") - F.col("own"))
+
+
+# Percentiles of a summary, and distances below which neighbours are counted.
+PERCENTILES = {"distance_min": 0.0, "distance_p01": 0.01, "distance_p05": 0.05, "distance_median": 0.5, "distance_p95": 0.95, "distance_max": 1.0}
+NEAR = {"distance_le_0_001": 0.001, "distance_le_0_01": 0.01, "distance_le_0_05": 0.05}
+
+
+def agreement(pairs: DataFrame, attributes: dict[str, str], side: str = "ref_") -> DataFrame:
+    """pairs with same_<name> for each attribute: whether the query's column equals the reference's (side + column); nulls are equal."""
+    return pairs.withColumns({f"same_{name}": F.col(c).eqNullSafe(F.col(f"{side}{c}")) for name, c in attributes.items()})
+
+
+def neighbour_summary(pairs: DataFrame, distance: str, klass: str, subtype: str, same: list[str]) -> DataFrame:
+    """One row for all pairs, for each class and for each subtype of a class (level: all, class, subtype).
+
+    count, six exact percentiles of the distance, the share of pairs for which each column in same is true, and how many are
+    within 0.001, 0.01 and 0.05. A level's other columns are null. Pairs are copied to the three levels once and go through
+    one aggregation and one ranking (scaling.grouped_quantiles). No pairs give no rows.
+    """
+    none = F.lit(None).cast("string")
+    k, s = F.col(klass).cast("string"), F.col(subtype).cast("string")
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), a.alias("class_name"), b.alias("subtype")) for n, a, b in (("all", none, none), ("class", k, none), ("subtype", k, s))])
+    rows = pairs.select(F.col(distance).cast("double").alias("_distance"), *same, F.inline(levels))
+    keys = ["level", "class_name", "subtype"]
+    facts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), *[F.avg(F.col(c).cast("int")).alias(f"{c}_rate") for c in same], *[F.count_if(F.col("_distance") <= most).alias(n) for n, most in NEAR.items()]
+    )
+    ends = grouped_quantiles(rows, keys, "_distance", PERCENTILES).drop("n")
+    on = F.lit(True)
+    for c in keys:
+        on = on & facts[c].eqNullSafe(ends[c])
+    return facts.join(ends, on, "left").select(*[facts[c] for c in facts.columns], *PERCENTILES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.ranks import ranked
+
 
 def fit_standard(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """One row: mean and population deviation of each column over training rows; a deviation of 0 counts as 1."""
@@ -46,6 +48,26 @@ def quantile(df: DataFrame, value: Column, q: float, name: str, accuracy: int =
     return both.select((F.col("a") + (F.coalesce("b", "a") - F.col("a")) * part).alias(name))
 
 
+def grouped_quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(groups..., n, and a column for each name in qs): exact quantiles of each group, between two rows in proportion.
+
+    Values are ranked in their groups by ranges (operators/ranks.py), and of each group only the rows at the wanted ranks,
+    two a quantile, are joined; so a group may hold any share of the rows. Nulls and NaN do not count; a group without
+    other values has no row. Null groups are one group.
+    """
+    x = df.select(*groups, F.col(value).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
+    placed = ranked(x, groups, ["_x"], "_rank")
+    sizes = placed.groupBy(*groups).agg(F.max("_rank").alias("n"))
+    ends = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("place")) for name, q in qs.items()])
+    wanted = sizes.select("n", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.inline(ends))
+    wanted = wanted.withColumn("_rank", F.explode(F.array(F.floor("place") + 1, F.ceil("place") + 1))).withColumn("share", F.when(F.col("_rank") == F.floor("place") + 1, 1 - (F.col("place") - F.floor("place"))).otherwise(F.col("place") - F.floor("place"))).distinct()
+    same = placed["_rank"] == wanted["_rank"]
+    for i, g in enumerate(groups):
+        same = same & placed[g].eqNullSafe(wanted[f"_g{i}"])
+    hit = placed.join(wanted, same).select(*[placed[g] for g in groups], "n", "name", (F.col("_x") * F.col("share")).alias("part"))
+    return hit.groupBy(*groups, "n").agg(*[F.sum(F.when(F.col("name") == name, F.col("part"))).alias(name) for name in qs])
+
+
 def fit_p99(df: DataFrame, column: str, train: Column) -> DataFrame:
     """One row: the exact 99th percentile over training rows, 1 if it is not positive."""
     p = quantile(df.filter(train), F.col(column), 0.99, "p99")

@@ -70,7 +70,7 @@ def capture_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Written as classic captures by the data source and read back in byte ranges."""
     path = scratch(spark)
     D.write_captures(frames(spark, d), path)
-    return _projected(D.read_ranges(spark, path, 64 << 10))
+    return _projected(D.read_ranges(spark, path, 256 << 10))
 
 
 @query("""

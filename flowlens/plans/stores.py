@@ -12,6 +12,7 @@ from flowlens.operators import gates as G
 from flowlens.plans.catalog import query
 from flowlens.plans.flows import read
 from flowlens.plans.packets import scratch
+from flowlens.sources import manifests as M
 from flowlens.sources import stores as T
 
 
@@ -121,6 +122,35 @@ def gate_split_leakage(spark: SparkSession, d: str) -> DataFrame:
     return r.select("reason", "n", F.col("sample")[0].alias("first_id"))
 
 
+@query("""
+WITH t AS (SELECT o_orderstatus AS class_name, count(*) AS n, count(*) FILTER (o_orderkey % 10 = 0) AS more FROM orders GROUP BY 1)
+SELECT class_name, n AS rows_then, n + more AS rows_now FROM t
+""")
+def pool_against_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A pool is digested into its manifest, then rows are added to it: counts by the manifest, and rebuilt from the files."""
+    path, orders = scratch(spark), read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    orders.write.parquet(path)
+    M.write_manifest(spark, path, "o_orderstatus")
+    orders.filter("o_orderkey % 10 = 0").write.mode("append").parquet(path)
+    return M.reconcile(spark, path, "o_orderstatus")[1]
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'done' END AS outcome, count(*) AS n, sum(CASE WHEN c_custkey % 3 > 0 THEN c_custkey END)::BIGINT AS keys FROM customer GROUP BY 1")
+def batched_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in batches of a bounded cost, one run stopped after a batch and taken up again: outcomes, and what is in the pool."""
+    path, k = scratch(spark), F.col("id").cast("bigint")
+    work = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") + 1).cast("double").alias("cost"))
+    [total] = work.agg(F.sum("cost")).first()
+
+    def step(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return batch.filter(k % 3 > 0).select("id"), batch.select("id", F.when(k % 3 == 0, "rejected").otherwise("done").alias("outcome"))
+
+    for most in (1, None):
+        M.run_batches(work, path, step, total / 2.5, 1 << 20, most)
+    pool = spark.read.parquet(f"{path}/pool").select("id", k.alias("key"))
+    return M.registry(spark, path).join(pool, "id", "left").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
+
+
 _GATE7 = """
 WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS split, CASE WHEN o_orderkey % 97 = 0 THEN '' WHEN o_orderkey % 10 < 6 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS own,
   CASE WHEN o_orderkey % 31 = 0 THEN 'CICIDS2017' ELSE 'other-2018' END AS source, CASE WHEN o_orderkey % 83 > 0 THEN (o_orderkey // 3)::VARCHAR END AS identity, CASE WHEN o_orderkey % 89 > 0 THEN (o_custkey % 400)::VARCHAR ELSE '' END AS hash,

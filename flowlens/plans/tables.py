@@ -321,13 +321,36 @@ def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d, 5)[1].select("query_id", "ref_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_SAME = {"class": "label", "subtype": "kind", "day": "day", "window": "part", "pcap": "file", "endpoint_service": "service"}
+
+
+@query(_NEAR + """, a AS (SELECT d, ql::VARCHAR AS klass, (query_id % 3)::VARCHAR AS kind, ql = rl AS s1, query_id % 3 = ref_id % 3 AS s2, query_id % 5 = ref_id % 5 AS s3, query_id % 2 = ref_id % 2 AS s4, query_id % 7 = ref_id % 7 AS s5, query_id % 4 = ref_id % 4 AS s6 FROM k WHERE rank = 1)
+SELECT CASE WHEN grouping(klass) = 1 THEN 'all' WHEN grouping(kind) = 1 THEN 'class' ELSE 'subtype' END AS level, klass AS class_name, kind AS subtype, count(*) AS count,
+  round(avg(s1::INT), 6) AS same_class_rate, round(avg(s2::INT), 6) AS same_subtype_rate, round(avg(s3::INT), 6) AS same_day_rate, round(avg(s4::INT), 6) AS same_window_rate, round(avg(s5::INT), 6) AS same_pcap_rate, round(avg(s6::INT), 6) AS same_endpoint_service_rate,
+  count(*) FILTER (d <= 0.001) AS distance_le_0_001, count(*) FILTER (d <= 0.01) AS distance_le_0_01, count(*) FILTER (d <= 0.05) AS distance_le_0_05,
+  round(min(d), 6) AS distance_min, round(quantile_cont(d, 0.01), 6) AS distance_p01, round(quantile_cont(d, 0.05), 6) AS distance_p05, round(quantile_cont(d, 0.5), 6) AS distance_median, round(quantile_cont(d, 0.95), 6) AS distance_p95, round(max(d), 6) AS distance_max
+FROM a GROUP BY GROUPING SETS ((), (klass), (klass, kind))
+""")
+def neighbour_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours in all, by class and by subtype: percentiles, agreement of six attributes, counts within three distances."""
+    e, near = _near(spark, d, 1)
+    i = F.col("vec_id")
+    facts = {"label": F.col("label"), "kind": i % 3, "day": i % 5, "part": i % 2, "file": i % 7, "service": i % 4}
+    q = e.select(i.alias("query_id"), *[c.alias(n) for n, c in facts.items()])
+    r = e.select(i.alias("ref_id"), *[c.alias(f"ref_{n}") for n, c in facts.items()])
+    pairs = N.agreement(near.join(q, "query_id").join(r, "ref_id"), _SAME)
+    out = N.neighbour_summary(pairs, "distance", "label", "kind", [f"same_{n}" for n in _SAME])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate") or c in N.PERCENTILES})
+
+
 @query(_NEAR + "SELECT ql AS label, count(*) AS n, round(avg((ql = rl)::INT), 6) AS same_class, round(quantile_cont(d, 0.5), 6) AS median_distance FROM k WHERE rank <= 5 GROUP BY 1")
 def nn_agreement_rates(spark: SparkSession, d: str) -> DataFrame:
     e, near = _near(spark, d, 5)
     q = e.select(F.col("vec_id").alias("query_id"), "label")
     r = e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("rl"))
     rows = near.join(q, "query_id").join(r, "ref_id")
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("rl")).cast("int")), 6).alias("same_class"), F.round(F.percentile("distance", F.lit(0.5)), 6).alias("median_distance"))
+    medians = C.grouped_quantiles(rows, ["label"], "distance", {"m": 0.5}).select("label", F.round("m", 6).alias("m"))
+    return rows.join(medians, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("rl")).cast("int")), 6).alias("same_class"), F.first("m").alias("median_distance"))
 
 
 @query(_NEAR + "SELECT query_id, round(min(d) FILTER (ql = rl), 6) AS own, round(min(d) FILTER (ql <> rl), 6) AS other, round(min(d) FILTER (ql <> rl) - min(d) FILTER (ql = rl), 6) AS margin FROM k GROUP BY 1")
