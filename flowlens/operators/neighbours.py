@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.scaling import grouped_quantiles
+from flowlens.scratch import cut
+
+_FOUND = "query_id bigint, ref_id bigint, distance double"
 
 
 def _unit(rows: pd.DataFrame) -> np.ndarray:
@@ -16,6 +19,33 @@ def _unit(rows: pd.DataFrame) -> np.ndarray:
     return m / np.where(n == 0, 1, n)[:, None]
 
 
+def _search(k: int):
+    """The k nearest of a block of references for each of a block of queries, ties at the limit by id."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(left) and len(right):
+            right = right.sort_values("id")  # equal distances are then in order of id
+            ref_ids, matrix = right["id"].to_numpy(), _unit(right)
+            for at in range(0, len(left), 512):
+                part = left.iloc[at : at + 512]
+                ids = part["id"].to_numpy()
+                distance = 1 - _unit(part) @ matrix.T
+                rounded = np.where(ids[:, None] == ref_ids[None, :], np.inf, np.round(distance, 9))
+                n = min(k, len(ref_ids))
+                limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
+                # All that may be among the k nearest, ties at the limit too, sorted by distance; the sort keeps order of id.
+                row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
+                order = np.lexsort((column, rounded[row, column], row))
+                row, column = row[order], column[order]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < k
+                parts.append(pd.DataFrame({"query_id": ids[row[keep]], "ref_id": ref_ids[column[keep]], "distance": distance[row[keep], column[keep]]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
+
+    return run
+
+
 def _blocked(queries: DataFrame, refs: DataFrame, id_col: str, columns: list[Column], block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt into blocks of about block_rows rows, each with a copy for every block of the other side (ask, block)."""
     asked_blocks, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
@@ -39,32 +69,92 @@ def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, b
     """
     asked, dealt = _blocked(queries, refs, id_col, [F.col(id_col).alias("id"), F.col(vector).alias("v")], block_rows)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(left) and len(right):
-            right = right.sort_values("id")  # equal distances are then in order of id
-            ref_ids, matrix = right["id"].to_numpy(), _unit(right)
-            for at in range(0, len(left), 512):
-                part = left.iloc[at : at + 512]
-                ids = part["id"].to_numpy()
-                distance = 1 - _unit(part) @ matrix.T
-                rounded = np.where(ids[:, None] == ref_ids[None, :], np.inf, np.round(distance, 9))
-                n = min(k, len(ref_ids))
-                limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
-                # All that may be among the k nearest, ties at the limit too, sorted by distance; the sort keeps order of id.
-                row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
-                order = np.lexsort((column, rounded[row, column], row))
-                row, column = row[order], column[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < k
-                parts.append(pd.DataFrame({"query_id": ids[row[keep]], "ref_id": ref_ids[column[keep]], "distance": distance[row[keep], column[keep]]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
+    return _nearest(asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(_search(k), _FOUND), k)
 
-    found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(run, "query_id bigint, ref_id bigint, distance double")
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def fit_pivots(refs: DataFrame, id_col: str, vector: str, pivots: int, sample: int = 4096) -> np.ndarray:
+    """Unit vectors far from each other: of a sample in hash order, each the one that is farthest from those before it.
+
+    The sample has a fixed size (sample rows); pivots only say where cells lie, every row is assigned and searched.
+    """
+    rows = refs.orderBy(F.xxhash64(id_col), id_col).select(F.col(vector).alias("v")).limit(sample).toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    m = _unit(rows)
+    chosen, far = [0], np.linalg.norm(m - m[0], axis=1)
+    while len(chosen) < min(pivots, len(m)) and far.max() > 1e-9:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(m - m[chosen[-1]], axis=1))
+    return m[chosen]
+
+
+def _cells(pivots, most: bool):
+    """Rows (id, v) with their cell and their distance to its pivot; for queries also the distances to all pivots."""
+
+    def run(batches):
+        p = pivots.value
+        for rows in batches:
+            if not len(rows):
+                continue
+            m = _unit(rows)
+            d = np.sqrt(np.maximum(0, (m * m).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * m @ p.T))
+            cell = d.argmin(axis=1)
+            out = pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": cell.astype(np.int64), "far": d[np.arange(len(m)), cell], "zero": ~m.any(axis=1)})
+            yield out.assign(all=list(d)) if most else out
+
+    return run
+
+
+def knn_pruned(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, pivots: int = 64, block_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(neighbours, work): what knn() returns, by searching only cells that can hold one of the k nearest; all ties included.
+
+    References belong to the cell of their nearest pivot. A query first searches its own cell; the k-th distance found bounds
+    what it still needs: by the triangle inequality of unit vectors (the square of their distance is twice the cosine
+    distance) a cell whose pivot is farther than that bound and the cell's radius together holds nothing nearer. Cells are
+    dealt to blocks of about block_rows rows. References and queries of length 0 have distance 1 to all; such queries search
+    all cells, and such references are searched by all queries. Pivots, radii and sizes of cells are small tables of fixed
+    size, sent to all tasks. work(pairs, all_pairs) says how many distances were worked out.
+    """
+    spark = refs.sparkSession
+    found = fit_pivots(refs, id_col, vector, pivots)
+    if not len(found):
+        empty = spark.createDataFrame([], f"{_FOUND}, rank int")
+        return empty, spark.createDataFrame([(0, 0)], "pairs bigint, all_pairs bigint")
+    shared = spark.sparkContext.broadcast(found)
+    kind = refs.schema[vector].dataType.simpleString()
+    own = [F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")]
+    fields = f"id bigint, v {kind}, cell bigint, far double, zero boolean"
+    placed = cut(refs.select(*own).mapInPandas(_cells(shared, False), fields), "cells").withColumn("cell", F.when(F.col("zero"), F.lit(-1)).otherwise(F.col("cell")))
+    asked = cut(queries.select(*own).mapInPandas(_cells(shared, True), f"{fields}, all array<double>"), "asked")
+    cells = {r.cell: (r.radius, r.n) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # pivots + 1 rows
+    blocks = {c: -(-n // block_rows) for c, (_, n) in cells.items()}
+    per_cell = spark.createDataFrame([(int(c), float(r or 0.0), int(n), int(blocks[c])) for c, (r, n) in cells.items()], "cell bigint, radius double, n bigint, blocks bigint")
+    sides = placed.join(F.broadcast(per_cell.select("cell", "blocks")), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        left = rows.join(F.broadcast(per_cell.select("cell", "blocks")), "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        return left.groupBy("cell", "block").cogroup(sides.groupBy("cell", "block")).applyInPandas(_search(k), _FOUND)
+
+    first = asked.select("id", "v", "cell").unionByName(asked.select("id", "v", F.lit(-1).cast("bigint").alias("cell")))
+    near = cut(_nearest(searched(first), k).drop("rank"), "near")
+    bounds = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst"))
+    # A little more than the bound, as distances are rounded to nine places for ties and worked out in another way here.
+    bound = F.when(F.coalesce("n", F.lit(0)) < k, float("inf")).otherwise(F.sqrt(2 * F.greatest(F.col("worst"), F.lit(0.0)) + 4e-9) + 1e-6)
+    limited = asked.join(bounds, asked["id"] == bounds["query_id"], "left").withColumn("bound", F.when(F.col("zero"), float("inf")).otherwise(bound))
+    radii = F.array(*[F.lit(float(cells[c][0])) if c in cells else F.lit(None).cast("double") for c in range(len(found))])
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(len(found) - 1)), lambda c: radii[c].isNotNull() & (c != F.col("cell")) & (F.element_at("all", c + 1) - radii[c] <= F.col("bound")))
+    second = cut(limited.select("id", "v", F.explode(wanted).alias("cell")).withColumn("cell", F.col("cell").cast("bigint")), "second")
+    out = _nearest(near.unionByName(searched(second)), k)
+    visits = first.select("cell").unionByName(second.select("cell")).join(F.broadcast(per_cell), "cell")
+    every = asked.agg(F.count(F.lit(1)).alias("q")).select((F.col("q") * sum(n for _, n in cells.values())).alias("all_pairs"))
+    return out, visits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).crossJoin(every)  # one row each
+
+
 def class_margins(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, klass: str, block_rows: int = 20_000) -> DataFrame:
     """Per query: distance to the nearest reference of its class and of another, and their difference.
 

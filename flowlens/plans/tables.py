@@ -321,6 +321,13 @@ def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d, 5)[1].select("query_id", "ref_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(_NEAR + "SELECT query_id, ref_id, round(d, 6) AS distance, rank FROM k WHERE rank <= 5")
+def knn_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    near, _ = N.knn_pruned(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+    return near.select("query_id", "ref_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
 _SAME = {"class": "label", "subtype": "kind", "day": "day", "window": "part", "pcap": "file", "endpoint_service": "service"}
 
 
