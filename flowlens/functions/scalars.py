@@ -96,6 +96,16 @@ PRIVATE_RANGES = (
 )
 
 
+def is_ip(text: Column) -> Column:
+    """Whether a text is an IPv4 address or an IPv6 one, short forms and such that end with an IPv4 address included; null is none."""
+    t = F.lower(text)
+    tail = F.regexp_extract(t, r":([0-9]+(?:\.[0-9]+){3})$", 1)
+    six = F.when(tail == "", t).when(ip_number(tail).isNotNull(), F.regexp_replace(t, r"[0-9.]+$", "0:0")).otherwise("")
+    group = "[0-9a-f]{1,4}"
+    short = F.regexp_like(six, F.lit(f"^(({group}:)*{group})?::(({group}:)*{group})?$")) & (F.size(F.filter(F.split(six, ":"), lambda g: g != "")) <= 7)
+    return F.coalesce(ip_number(text).isNotNull() | F.regexp_like(six, F.lit(f"^({group}:){{7}}{group}$")) | short, F.lit(False))
+
+
 def is_private_ip(text: Column) -> Column:
     n = ip_number(text)
     inside = F.lit(False)

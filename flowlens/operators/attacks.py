@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import vocabulary as V
-from flowlens.functions.scalars import ip_number, parsed_time, squeezed
+from flowlens.functions.scalars import is_ip, parsed_time, squeezed
 from flowlens.operators.joins import first_window
 from flowlens.operators.labels import is_attempt, office_class
 
@@ -99,7 +99,7 @@ def preslice_pairs(candidates: DataFrame, captures: DataFrame) -> DataFrame:
 def pair_filters(pairs: DataFrame) -> DataFrame:
     """(capture, filter): the pairs of each capture as one capture-filter text, in order."""
     clause = F.concat(F.lit("(host "), "attacker", F.lit(" and host "), "victim", F.lit(")"))
-    ok = ip_number(F.col("attacker")).isNotNull() & ip_number(F.col("victim")).isNotNull()
+    ok = is_ip(F.col("attacker")) & is_ip(F.col("victim"))
     return pairs.filter(ok).groupBy("capture").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("attacker", "victim", clause.alias("text")))), lambda p: p["text"]), " or ").alias("filter"))
 
 
@@ -110,7 +110,23 @@ def tuple_filter(src: Column, dst: Column, src_port: Column, dst_port: Column, p
     a, b = src_port.try_cast("int"), dst_port.try_cast("int")
     ports = F.when(name.isin("tcp", "udp") & a.between(0, 65535) & b.between(0, 65535), F.concat(F.lit(" and src port "), a.cast("string"), F.lit(" and dst port "), b.cast("string")))
     text = F.concat(F.lit("("), name, F.lit(" and src host "), src, F.lit(" and dst host "), dst, F.coalesce(ports, F.lit("")), F.lit(")"))
-    return F.when(ip_number(src).isNotNull() & ip_number(dst).isNotNull(), text)
+    return F.when(is_ip(src) & is_ip(dst), text)
+
+
+def candidate_filters(candidates: DataFrame, capture: str, tuple_cols: Sequence[str]) -> DataFrame:
+    """(capture, filter, tuples): one capture-filter text for each capture's candidates, and how many tuples they have.
+
+    Candidates count in both directions and each tuple (source and destination address, their ports, protocol) once; tuples
+    without two addresses are counted but have no clause. Clauses stand in the order of their text. The text is the
+    result, so a capture's clauses meet in one row; repeats go before.
+    """
+    src, dst, src_port, dst_port, protocol = tuple_cols
+    swap = {src: dst, dst: src, src_port: dst_port, dst_port: src_port}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    forward = candidates.select(capture, *[text(c) for c in tuple_cols])
+    both = forward.unionByName(forward.select(capture, *[F.col(swap.get(c, c)).alias(c) for c in tuple_cols])).distinct()
+    clause = tuple_filter(*[F.col(c) for c in (src, dst, src_port, dst_port, protocol)])
+    return both.groupBy(capture).agg(F.array_join(F.array_sort(F.collect_list(clause)), " or ").alias("filter"), F.count(F.lit(1)).alias("tuples"))
 
 
 def infiltration_decision(in_window: Column, endpoints: Column, host: str, own_capture: Column, protocol: Column, payload: Column, ip_sizes: Column, transport_sizes: Column, payload_sizes: Column) -> Column:
@@ -119,6 +135,7 @@ def infiltration_decision(in_window: Column, endpoints: Column, host: str, own_c
     payload is binary; the three size arrays have one element a packet.
     """
     nonzero = F.length(F.regexp_replace(F.hex(payload), "(00)+$", "")) > 0  # bytes that are not padding
+    # Names of the decisions.
     silent = (F.size(payload_sizes) > 0) & F.forall(payload_sizes, lambda x: x == 0)
 
     def all_within(sizes, low, high):
@@ -131,6 +148,7 @@ def infiltration_decision(in_window: Column, endpoints: Column, host: str, own_c
 
 def probe_class(primary_hit: Column, other_hit: Column, primary_delta: Column, other_delta: Column, missing: Column, captures: Column) -> Column:
     """Six ways in which a probe was found among the packets of its captures, or was not."""
+    # Names of the ways.
     return (
         F.when(primary_hit, "primary_tuple_within_window")
         .when(other_hit, "alternate_tuple_within_window")

@@ -34,6 +34,7 @@ def verdict(failures: DataFrame) -> DataFrame:
 
 def registry_rules(kind: str) -> tuple[dict[str, Column], dict[str, Column]]:
     """(hard, soft) of the raw-data gate for files(required, exists, status, hashed, read_check) of a kind: csv or pcap."""
+    # Names of the reasons, here and in the rules below.
     hard = {"missing_required_file": F.col("required") & ~F.col("exists")}
     soft = {"sha256_skipped": ~F.col("hashed")}
     if kind == "csv":

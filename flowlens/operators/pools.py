@@ -222,6 +222,7 @@ def payload_diagnostic(records: DataFrame, klass: str | None, payloads: str, hea
 
 def window_consistency(records: DataFrame, packets: str, nodes: str, limit: int) -> DataFrame:
     """One row: how many records count more packets than the limit but hold no more than that."""
+    # The two conclusions.
     wrong = (F.col(packets) > limit) & (F.col(nodes) <= limit)
     return records.agg(
         F.count(F.lit(1)).alias("records"), F.count_if(wrong).alias("mismatches"), (F.count_if(wrong) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("share"),

@@ -112,6 +112,29 @@ def tuple_filter_clauses(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("o_orderkey", A.tuple_filter(F.col("src"), F.col("dst"), src_port, F.col("port"), protocol).alias("clause"))
 
 
+_TUPLES = """
+t AS (SELECT c_mktsegment AS capture, CASE WHEN c_custkey % 9 = 0 THEN 'none' WHEN c_custkey % 5 = 0 THEN 'fe80::' || (c_custkey % 8) ELSE '10.0.0.' || (c_custkey % 6) END AS src, '10.0.1.' || (c_custkey % 4) AS dst,
+  (c_custkey % 3 + 1000)::VARCHAR AS sp, CASE WHEN c_custkey % 7 = 0 THEN '70000' ELSE '80' END AS dp, ['6', 'UDP', '47'][c_custkey % 3 + 1] AS proto FROM customer),
+b AS (SELECT * FROM t UNION SELECT capture, dst, src, dp, sp, proto FROM t)
+"""
+
+
+@query(f"""
+WITH {_TUPLES}, c AS (SELECT capture, CASE WHEN src <> 'none' AND dst <> 'none' THEN '(' || CASE proto WHEN '6' THEN 'tcp' WHEN 'UDP' THEN 'udp' ELSE 'ip proto 47' END || ' and src host ' || src || ' and dst host ' || dst
+  || CASE WHEN proto <> '47' AND sp <> '70000' AND dp <> '70000' THEN ' and src port ' || sp || ' and dst port ' || dp ELSE '' END || ')' END AS clause FROM b)
+SELECT capture, count(*) AS tuples, sha256(string_agg(clause, ' or ' ORDER BY clause)) AS filter_hash FROM c GROUP BY 1
+""")
+def candidate_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Capture filters of customers as candidates, both directions, repeats dropped, IPv6 addresses among them."""
+    k = F.col("c_custkey")
+    src = F.when(k % 9 == 0, "none").when(k % 5 == 0, F.concat(F.lit("fe80::"), (k % 8).cast("string"))).otherwise(F.concat(F.lit("10.0.0."), (k % 6).cast("string")))
+    rows = read(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("capture"), src.alias("src"), F.concat(F.lit("10.0.1."), (k % 4).cast("string")).alias("dst"), (k % 3 + 1000).cast("string").alias("sp"),
+        F.when(k % 7 == 0, "70000").otherwise("80").alias("dp"), F.array(F.lit("6"), F.lit("UDP"), F.lit("47"))[(k % 3).cast("int")].alias("proto"),
+    )
+    return A.candidate_filters(rows, "capture", ["src", "dst", "sp", "dp", "proto"]).select("capture", "tuples", F.sha2("filter", 256).alias("filter_hash"))
+
+
 @query(f"WITH {_ROWS} SELECT DISTINCT day, 'CIC-IDS2018-' || split_part(day, '-', 1) AS source FROM r")
 def source_tags(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("day").distinct().select("day", A.source_tag(F.col("day")).alias("source"))

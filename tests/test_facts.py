@@ -173,3 +173,28 @@ def test_quantile(spark):
         for q in (0.0, 0.05, 0.5, 0.99, 1.0):
             assert scaling.quantile(t, F.col("x"), q, "v").first().v == pytest.approx(np.quantile(rows, q), abs=1e-12)
     assert scaling.quantile(t.filter("false"), F.col("x"), 0.5, "v").first().v is None
+
+
+def test_addresses(spark):
+    import ipaddress
+
+    texts = ["10.0.0.1", "256.1.1.1", "1.2.3", "::", "::1", "fe80::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "1:2:3:4:5:6:7::", "::1:2:3:4:5:6:7", "1:2:3:4::5:6:7:8", "12345::", "g::", "::ffff:1.2.3.4", "::ffff:1.2.3.400", "1:2:3:4:5:6:1.2.3.4", ":1", "1:", "", None, "FE80::AB", "a:::b"]
+    got = {r.x: r.ok for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", S.is_ip(F.col("x")).alias("ok")).collect()}
+
+    def valid(t):
+        try:
+            return bool(ipaddress.ip_address(t))
+        except ValueError:
+            return False
+
+    assert got == {t: valid(t) for t in texts}
+
+
+def test_candidate_filters(spark):
+    rows = [("c", "10.0.0.1", "10.0.0.2", 5, 80, 6), ("c", "10.0.0.2", "10.0.0.1", 80, 5, 6), ("c", "fe80::1", "10.0.0.2", None, 80, 17), ("c", "nobody", "10.0.0.2", 1, 2, 6), ("d", "nobody", None, 1, 2, 6)]
+    got = {r.cap: (r.filter, r.tuples) for r in A.candidate_filters(spark.createDataFrame(rows, "cap string, s string, d string, sp int, dp int, p int"), "cap", ["s", "d", "sp", "dp", "p"]).collect()}
+    assert got == {
+        "c": ("(tcp and src host 10.0.0.1 and dst host 10.0.0.2 and src port 5 and dst port 80) or (tcp and src host 10.0.0.2 and dst host 10.0.0.1 and src port 80 and dst port 5)"
+              " or (udp and src host 10.0.0.2 and dst host fe80::1) or (udp and src host fe80::1 and dst host 10.0.0.2)", 6),
+        "d": ("", 2),
+    }
