@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import cut_with
 
 #: A node with more neighbours than this, and than a ten-thousandth of all links, is a hub.
-_HUB = 1000
+_HUB = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
