@@ -499,10 +499,46 @@ def permuted_labels(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("n"), F.sum("shuffled_label").alias("ones"), F.round(F.avg((F.col("quality") == F.col("shuffled_label")).cast("int")), 6).alias("agreement"))
 
 
-@query()
+# Shares of 1,000 for counts(name, n), round by round.
+_CAPPED = """
+st AS (SELECT list(name ORDER BY n DESC, name DESC) AS names, list(n ORDER BY n DESC, name DESC) AS c, count(*) AS k FROM counts),
+lim AS (SELECT *, least(round_even(1000 * 0.10, 0)::BIGINT, 1000) AS low, greatest(round_even(1000 * 0.30, 0)::BIGINT, round_even(1000 * 0.10, 0)::BIGINT) AS high FROM st),
+r AS (
+  SELECT 0 AS round, names, c, k, high, [low FOR x IN c] AS g FROM lim WHERE low * k <= 1000
+  UNION ALL
+  SELECT round + 1, names, c, k, high, CASE WHEN list_sum(more) = 0 THEN [g[i] + rest // k + (i <= rest % k)::BIGINT FOR i IN range(1, k + 1)] ELSE [g[i] + more[i] FOR i IN range(1, k + 1)] END
+  FROM (SELECT *, [whole[i] + (up[i] AND len(list_filter(range(1, k + 1), lambda j: up[j] AND (part[j] > part[i] OR part[j] = part[i] AND j < i))) < rest - list_sum(whole))::BIGINT FOR i IN range(1, k + 1)] AS more
+    FROM (SELECT *, [able[i] AND g[i] + whole[i] < high FOR i IN range(1, k + 1)] AS up, [share[i] - floor(share[i]) FOR i IN range(1, k + 1)] AS part
+      FROM (SELECT *, [CASE WHEN able[i] THEN least(floor(share[i])::BIGINT, high - g[i]) ELSE 0 END FOR i IN range(1, k + 1)] AS whole
+        FROM (SELECT *, [CASE WHEN able[i] THEN rest * (c[i] / list_sum([CASE WHEN able[j] THEN c[j] ELSE 0 END FOR j IN range(1, k + 1)])) ELSE 0 END FOR i IN range(1, k + 1)] AS share
+          FROM (SELECT *, 1000 - list_sum(g)::BIGINT AS rest, [x < high FOR x IN g] AS able FROM r WHERE list_sum(g) < 1000)))))
+), dealt AS (SELECT unnest(names) AS name, unnest(g) AS quota FROM r QUALIFY round = max(round) OVER ()),
+even AS (SELECT name, 1000 // count(*) OVER () + (row_number() OVER (ORDER BY name) <= 1000 % count(*) OVER ())::BIGINT AS quota FROM counts, lim WHERE low * k > 1000)
+SELECT name AS {name}, quota::BIGINT AS quota FROM (FROM dealt UNION ALL FROM even)
+"""
+
+
+def _shares(counts: DataFrame, name: str) -> DataFrame:
+    """The shares of 1,000 for counts(name, n); they are worked out on the driver, from 10,000 names at most."""
+    rows = counts.limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("there are more than 10,000 names to share among")
+    shares = P.capped_floor({r[name]: r.n for r in rows}, 1000)
+    return counts.sparkSession.createDataFrame(sorted(shares.items()), f"{name} string, quota bigint")
+
+
+@query("WITH RECURSIVE counts AS (SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1), " + _CAPPED.format(name="p_type"))
 def capped_floor_allocation(spark: SparkSession, d: str) -> DataFrame:
-    counts = {r.p_type: r.n for r in read(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a type
-    return spark.createDataFrame(sorted(P.capped_floor(counts, 1000).items()), "p_type string, quota bigint")
+    return _shares(read(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), "p_type")
+
+
+_SKEW = "CASE WHEN o_orderkey % 100 < 60 THEN 'a' WHEN o_orderkey % 100 < 85 THEN 'b' WHEN o_orderkey % 100 < 95 THEN 'c' WHEN o_orderkey % 100 < 99 THEN 'd' ELSE 'e' END"
+
+
+@query(f"WITH RECURSIVE counts AS (SELECT {_SKEW} AS name, count(*) AS n FROM orders GROUP BY 1), " + _CAPPED.format(name="kind"))
+def capped_floor_skewed(spark: SparkSession, d: str) -> DataFrame:
+    """Classes from a hundredth to three fifths of the rows: floors, a ceiling, and what it leaves."""
+    return _shares(read(spark, d, "orders").groupBy(F.expr(_SKEW).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "kind")
 
 
 @query("SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1")
