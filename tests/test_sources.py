@@ -4,6 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalars import epoch_seconds
 from flowlens.sources import captures as C
 from flowlens.sources import tables as T
 
@@ -124,3 +125,15 @@ def test_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(r.id for r in back.collect()) == list(range(40))
     assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_small_exports(spark, tmp_path):
+    report = spark.createDataFrame([("b", 2), ("a, c", 1)], "x string, n int")
+    for _ in range(2):  # written over
+        T.write_report(report, str(tmp_path / "report"))
+    [part] = (tmp_path / "report").glob("part-*")
+    assert sorted(part.read_text().splitlines()) == ['"a, c",1', "b,2", "x,n"]
+    df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(10)], "id int, klass string")
+    assert sorted(r.id for r in T.sample_export(df, "klass", ["id"], 2).collect()) == [0, 1, 2, 3]
+    times = spark.createDataFrame([("2018-02-16 10:00:00.123456",), (None,)], "t string").select(epoch_seconds(F.col("t").cast("timestamp")).alias("s"))
+    assert [r.s for r in times.collect()] == [1518775200.123456, None]
