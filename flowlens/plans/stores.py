@@ -28,8 +28,8 @@ SELECT o_orderkey, subtype, CASE WHEN NOT big THEN 'use' WHEN chunks > 0 THEN 's
 """)
 def capture_discovery(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("/raw/flood"), F.expr("char(97 + o_custkey % 5)"), F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit(".pcap"))
-    files = read(spark, d, "orders").select("o_orderkey", name.alias("path"), F.col("o_totalprice").cast("bigint").alias("size"))
-    found = T.discovered(files.withColumn("size", F.when(F.col("size") >= 150000, F.col("size") + 1).otherwise(F.col("size"))), 150000)
+    files = read(spark, d, "orders").select("o_orderkey", name.alias("path"), F.ceil("o_totalprice").alias("size"))
+    found = T.discovered(files, 150000)
     return found.select("o_orderkey", "subtype", "status", F.col("place").cast("bigint").alias("place"))
 
 

@@ -59,11 +59,14 @@ def captures_by_ip(files: DataFrame) -> DataFrame:
 
 
 def chunk_order(name: Column) -> Column:
-    """Sort key of split captures: five digits at the end of the stem, then a number after the ending, then the name."""
-    digits, suffix = F.regexp_extract(name, r"([0-9]{5})(?:\.[^.]*)?$", 1), F.regexp_extract(name, r"\.pcap([0-9]+)$", 1)
+    """Sort key of split captures: five or more digits at the end of the stem, then a number after the ending, then the name.
+
+    Numbers are compared as wholes, by their length and then their digits, so none is too long.
+    """
+    digits, suffix = F.regexp_extract(name, r"([0-9]{5,})(?:\.[^.]*)?$", 1), F.regexp_extract(name, r"\.pcap([0-9]+)$", 1)
     kind = F.when(digits != "", 0).when(suffix != "", 1).otherwise(2)
-    number = F.coalesce(F.nullif(digits, F.lit("")), F.nullif(suffix, F.lit(""))).cast("bigint")
-    return F.struct(kind.alias("kind"), F.coalesce(number, F.lit(0)).alias("number"), name.alias("name"))
+    number = F.regexp_replace(F.when(digits != "", digits).otherwise(suffix), "^0+", "")
+    return F.struct(kind.alias("kind"), F.length(number).alias("length"), number.alias("number"), name.alias("name"))
 
 
 def mark_done(df: DataFrame, path: str, key: str = "identity") -> None:

@@ -5,8 +5,10 @@ import struct
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import epoch_seconds
+from flowlens.plans.stores import capture_discovery
 from flowlens.sources import captures as C
 from flowlens.sources import tables as T
+from flowlens.sources.stores import discovered
 
 
 def ipv4(proto, body, src=(10, 0, 0, 1), dst=(8, 8, 4, 4), offset=0, tags=0, trailer=b""):
@@ -119,6 +121,21 @@ def test_registries_and_reports(spark, tmp_path):
     assert [r.line for r in lines] == ["| a\\|b c | 1 |", "|  | 2 |"]
 
 
+def test_chunks_past_five_digits(spark):
+    """Chunk 100000 follows 99999; a file of exactly the largest size is used."""
+    names = ["a_00002.pcap", "a_99999.pcap", "a_100000.pcap", "a_000000300001.pcap", "a_" + "9" * 40 + ".pcap"]
+    files = spark.createDataFrame([(f"/r/{n}", 10 + k // 4) for k, n in enumerate(names)], "path string, size bigint").orderBy("size", F.desc("path"))
+    got = sorted((r.place, r.path[3:], r.status) for r in discovered(files, 10).collect())
+    assert got == [(k, n, "use" if k < 4 else "skipped_has_chunks") for k, n in enumerate(names)]
+
+
+def test_exact_price_is_no_large_file(spark, tmp_path):
+    rows = [(1, 0, 150000.0), (99_999, 0, 150000.01), (100_000, 0, 149999.5)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: (r.place, r.status) for r in capture_discovery(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, "use"), 99_999: (1, "skipped_has_chunks"), 100_000: (2, "use")}
+
+
 def test_shards(spark, tmp_path):
     df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(40)], "id long, klass string")
     T.write_shards(df, str(tmp_path / "s"), "klass", "id", 8, 1)
