@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import micros
-from flowlens.operators.joins import both_directions, match_flows
+from flowlens.operators.joins import match_flows
 from flowlens.operators.labels import payload_decision, payload_hits
 from flowlens.operators.pools import payload_facts
 from flowlens.operators.ranks import ranked
@@ -47,6 +47,10 @@ def capped_payloads(pairs: DataFrame, row: str, order: list[str], size: str, cap
     return first.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < cap).drop("_before")
 
 
+#: How much time one window of running totals covers, and times before and after all others (microseconds).
+BAND_US, BEGIN, END = 3_600_000_000, -(1 << 62), 1 << 62
+
+
 def attempted_packets(
     rows: DataFrame, packets: DataFrame, row: str, tuple_cols: list[str], swaps: list[tuple[str, str]], ts: str, duration: str, csv_bytes: str, label: str, at: str, packet: str, payload: str,
     tolerance: float, cap: int = 65_536,
@@ -55,24 +59,56 @@ def attempted_packets(
 
     A packet belongs to a row if it has its tuple in either direction and its time lies from ts - tolerance to ts + duration
     (seconds, null as 0) + tolerance, ends included; a row without a time takes packets of any time. Rows whose csv_bytes
-    are 0 are not looked for. Payloads are taken in the order of time and packet up to cap bytes (capped_payloads) and
-    joined by line feeds as latin-1 text. Ids of rows and packets must be unique. A packet in the windows of several rows
-    counts for each. Only ids, times and sizes of packets go through the join; payloads come after the cap.
+    are 0 are not looked for. Payloads are taken in the order of time and packet up to cap bytes (as capped_payloads does)
+    and joined by line feeds as latin-1 text. Ids of rows and packets must be unique. A packet in the windows of several
+    rows counts for each. Rows are not paired with the packets of their windows: running totals of packets and bytes at both
+    ends of a window say how many it has and at which byte of its tuple's stream its payloads begin and end. Payloads lie
+    in blocks of cap bytes of that stream with those of the next block, so a row meets one block, of bounded size.
     """
-    wanted = rows.filter(F.coalesce(F.col(csv_bytes).cast("double"), F.lit(0.0)) > 0)
-    us = micros(ts)
-    low, high = us - round(tolerance * 1e6), us + F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) * 1e6 + round(tolerance * 1e6)
-    windows = both_directions(wanted.select(F.col(row).alias("_row"), *tuple_cols, low.alias("_low"), high.alias("_high")), swaps).drop("reversed").distinct()
-    seen = packets.select(*tuple_cols, micros(at).alias("_at"), F.col(packet).alias("_packet"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint").alias("_size"))
-    pairs = windows.join(seen, tuple_cols).filter(F.col("_low").isNull() | F.col("_at").between(F.col("_low"), F.col("_high"))).select("_row", "_at", "_packet", "_size")
-    counts = pairs.groupBy("_row").agg(F.count(F.lit(1)).alias("n_packets"))
-    kept = capped_payloads(pairs, "_row", ["_at", "_packet"], "_size", cap)
-    held = kept.join(packets.select(F.col(packet).alias("_packet"), F.col(payload).alias("_payload")), "_packet")
-    texts = held.groupBy("_row").agg(F.sum("_size").alias("payload_bytes"), F.array_sort(F.collect_list(F.struct("_at", "_packet", F.decode("_payload", "ISO-8859-1").alias("text")))).alias("_items"))
-    texts = texts.select("_row", "payload_bytes", F.concat_ws("\n", "_items.text").alias("_text"))
-    out = rows.join(counts.join(texts, "_row", "left"), F.col(row) == F.col("_row"), "left").drop("_row")
-    zero = F.coalesce(F.col(csv_bytes).cast("double"), F.lit(0.0)) == 0
-    out = out.withColumns({"n_packets": F.coalesce("n_packets", F.lit(0).cast("bigint")), "payload_bytes": F.coalesce("payload_bytes", F.lit(0).cast("bigint"))})
+    swap = {a: b for a, b in swaps} | {b: a for a, b in swaps}
+
+    def keyed(df: DataFrame) -> DataFrame:  # one key for both directions; null ends match nothing
+        plain, turned = (F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)]) for cols in (tuple_cols, [swap.get(c, c) for c in tuple_cols]))
+        there = F.lit(True)
+        for c in tuple_cols:
+            there = there & F.col(c).isNotNull()
+        return df.withColumn("_key", F.when(there, F.least(plain, turned)))
+
+    empty = F.coalesce(F.col(csv_bytes).cast("double"), F.lit(0.0))
+    us, slack = micros(ts), round(tolerance * 1e6)
+    high = F.floor(F.greatest(F.least(us + F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) * 1e6 + slack, F.lit(4e18)), F.lit(-4e18)))
+    low = F.coalesce(us - slack, F.lit(BEGIN))
+    windows = keyed(rows.filter(empty > 0)).select("_key", F.col(row).alias("_row"), low.alias("_low"), F.when(us.isNull(), F.lit(END)).otherwise(high).alias("_high")).filter("_key is not null and _low <= _high")
+    # In order of time and turn a window's first end stands before the packets of its time, its last end after them.
+    ends = windows.select("_key", "_row", F.inline(F.array(F.struct(F.col("_low").alias("_t"), F.lit(0).alias("_turn")), F.struct(F.col("_high").alias("_t"), F.lit(2).alias("_turn")))))
+    size = F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint")
+    seen = keyed(packets).filter("_key is not null").select("_key", F.coalesce(micros(at), F.lit(BEGIN)).alias("_t"), F.lit(1).alias("_turn"), F.col(packet).alias("_packet"), size.alias("_size"), F.col(payload).alias("_payload"))
+    stream = seen.unionByName(ends, allowMissingColumns=True).withColumn("_band", F.floor(F.col("_t") / BAND_US))
+    bands = stream.groupBy("_key", "_band").agg(F.count("_size").alias("_n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("_sum"))
+    earlier = Window.partitionBy("_key").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("_key", "_band", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_sum")])
+    upto = Window.partitionBy("_key", "_band").orderBy("_t", "_turn", "_packet").rowsBetween(Window.unboundedPreceding, 0)
+    stream = stream.withColumns({"_n": F.count("_size").over(upto), "_sum": F.coalesce(F.sum("_size").over(upto), F.lit(0))}).join(bands, ["_key", "_band"])
+    stream = stream.withColumns({"_n": F.col("_n") + F.col("_n_before"), "_sum": F.col("_sum") + F.col("_sum_before")})
+
+    def end(turn: int, c: str) -> Column:
+        return F.max(F.when(F.col("_turn") == turn, F.col(c)))
+
+    facts = stream.filter("_row is not null").groupBy("_row").agg((end(2, "_n") - end(0, "_n")).alias("n_packets"), end(0, "_sum").alias("_from"), end(2, "_sum").alias("_to"))
+    held = stream.filter("_size > 0").withColumn("_at", F.col("_sum") - F.col("_size"))
+    own = F.floor(F.col("_at") / cap)
+    text = F.struct(F.col("_at").alias("at"), F.col("_size").alias("size"), F.decode("_payload", "ISO-8859-1").alias("text"))
+    blocks = held.select("_key", F.explode(F.array(own - 1, own)).alias("_block"), text.alias("_item")).groupBy("_key", "_block").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    out = keyed(rows).join(facts, F.col(row) == F.col("_row"), "left").drop("_row").withColumn("_block", F.when(F.col("_from") < F.col("_to"), F.floor(F.col("_from") / cap)))
+    out = out.join(blocks, ["_key", "_block"], "left")
+    to = F.least(F.col("_to"), F.col("_from") + cap)
+    out = out.withColumn("_items", F.filter("_items", lambda x: (x["at"] >= F.col("_from")) & (x["at"] < to)))
+    out = out.withColumns({
+        "n_packets": F.coalesce("n_packets", F.lit(0).cast("bigint")),
+        "payload_bytes": F.coalesce(F.aggregate("_items", F.lit(0).cast("bigint"), lambda s, x: s + x["size"]), F.lit(0).cast("bigint")),
+        "_text": F.concat_ws("\n", "_items.text"),
+    }).select(*rows.columns, "n_packets", "payload_bytes", "_text")
+    zero = empty == 0
     return _decided(out, csv_bytes, label, F.col("_text"), F.when(~zero, F.col("n_packets") > 0)).drop("_text")
 
 

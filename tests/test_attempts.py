@@ -156,3 +156,31 @@ def test_match_without_pairs(spark):
     out = joins.match_flows(c, f, ["x", "y"], [("x", "y")], "cid", "cts", "fts", "fid", 3600.0)
     assert shuffled_records(spark, out) < 100_000
     assert out.filter("n_matches = 2000 and fid = cid and delta_us = 0 and status = 'MATCHED'").count() == 2000
+
+
+@pytest.mark.parametrize("cap", [5, 40, 65_536])
+def test_attempted_packets_against_plain_python(spark, cap):
+    """Packets and bytes of windows over several bands, some without an end or a time, against all pairs."""
+    rnd = random.Random(cap)
+    rows = [(k, rnd.choice("pq"), rnd.choice("pqr"), None if k % 9 == 0 else rnd.randrange(20_000), rnd.choice((None, 0.0, 50.5, 9000.0, -20.0)), float(k % 5)) for k in range(60)]
+    packets = [(k, rnd.choice("pqr"), rnd.choice((None, "p", "q")), None if k % 30 == 0 else rnd.randrange(20_000), rnd.choice((None, b"", b"a" * rnd.randrange(1, 9)))) for k in range(400)]
+    want = {}
+    for k, x, y, s, length, size in rows:
+        held = [(-1 if t is None else t, i, p or b"") for i, a, b, t, p in packets if (a, b) in ((x, y), (y, x)) and size and (s is None or t is not None and s - 3 <= t <= s + (length or 0) + 3)]
+        total = 0
+        for _, _, p in sorted(held):
+            total += len(p) if total < cap else 0
+        want[k] = (len(held), total)
+    r = spark.createDataFrame([(k, x, y, None if s is None else at(s), n, z, "Web Attack - XSS") for k, x, y, s, n, z in rows], ROWS)
+    p = spark.createDataFrame([(k, x, y, None if t is None else at(t), b) for k, x, y, t, b in packets], PACKETS).repartition(3)
+    out = P.attempted_packets(r, p, duration="dur", at="at", packet="id", payload="payload", tolerance=3.0, cap=cap, **HOW)
+    assert {x.row: (x.n_packets, x.payload_bytes) for x in out.collect()} == want
+
+
+def test_attempted_packets_without_pairs(spark):
+    """2,000 rows whose windows hold 2,000 packets each are four million pairs; few rows are shuffled."""
+    r = spark.range(2000).select(F.col("id").cast("int").alias("row"), F.lit("a").alias("src"), F.lit("b").alias("dst"), F.timestamp_micros(F.col("id")).alias("ts"), F.lit(1.0).alias("dur"), F.lit(1.0).alias("bytes"), F.lit("x").alias("label"))
+    p = spark.range(2000).select(F.col("id").cast("int").alias("id"), F.lit("b").alias("src"), F.lit("a").alias("dst"), F.timestamp_micros(F.col("id")).alias("at"), F.encode(F.lit("ab"), "UTF-8").alias("payload"))
+    out = P.attempted_packets(r, p, duration="dur", at="at", packet="id", payload="payload", tolerance=3.0, cap=100, **HOW)
+    assert shuffled_records(spark, out) < 100_000
+    assert out.filter("n_packets = 2000 and payload_bytes = 100").count() == 2000
