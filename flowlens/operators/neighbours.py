@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,37 +15,69 @@ from flowlens.operators.scaling import grouped_quantiles
 from flowlens.scratch import cut
 
 _FOUND = "query_id bigint, ref_id bigint, distance double"
+_TILE = 256, 4096  # queries and references whose distances are worked out at a time
 
 
-def _unit(rows: pd.DataFrame) -> np.ndarray:
-    m = np.stack(rows["v"].to_numpy()).astype(np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     n = np.sqrt((m * m).sum(axis=1))
-    return m / np.where(n == 0, 1, n)[:, None]
+    m /= np.where(n == 0, 1, n)[:, None]
+    return m
+
+
+def _vectors(rows: pa.Table) -> np.ndarray:
+    """The column v as a matrix, straight from Arrow's values: no Python object a row."""
+    column = rows.column("v").combine_chunks()
+    sizes = pc.min_max(pc.list_value_length(column)).as_py()
+    if column.null_count or sizes["min"] != sizes["max"]:
+        raise ValueError("vectors must not be null and must have one length")
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _tiles(n_left: int, n_right: int) -> Iterator[tuple[slice, list[slice]]]:
+    """Batches of the left side, each with all batches of the right side: distances are worked out a tile at a time.
+
+    A task needs a few arrays of one tile beside the vectors of its two blocks, however large these are.
+    """
+    right = [slice(at, min(at + _TILE[1], n_right)) for at in range(0, n_right, _TILE[1])]
+    for at in range(0, n_left, _TILE[0]):
+        yield slice(at, min(at + _TILE[0], n_left)), right
+
+
+def _first(k: int, row: np.ndarray, column: np.ndarray, rounded: np.ndarray) -> np.ndarray:
+    """Which entries are the first k of their row by rounded distance, then column, in that order."""
+    order = np.lexsort((column, rounded, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
 
 
 def _search(k: int):
     """The k nearest of a block of references for each of a block of queries, ties at the limit by id."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if len(left) and len(right):
-            right = right.sort_values("id")  # equal distances are then in order of id
-            ref_ids, matrix = right["id"].to_numpy(), _unit(right)
-            for at in range(0, len(left), 512):
-                part = left.iloc[at : at + 512]
-                ids = part["id"].to_numpy()
-                distance = 1 - _unit(part) @ matrix.T
-                rounded = np.where(ids[:, None] == ref_ids[None, :], np.inf, np.round(distance, 9))
-                n = min(k, len(ref_ids))
-                limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
-                # All that may be among the k nearest, ties at the limit too, sorted by distance; the sort keeps order of id.
-                row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
-                order = np.lexsort((column, rounded[row, column], row))
-                row, column = row[order], column[order]
-                first = np.searchsorted(row, row)
-                keep = np.arange(len(row)) - first < k
-                parts.append(pd.DataFrame({"query_id": ids[row[keep]], "ref_id": ref_ids[column[keep]], "distance": distance[row[keep], column[keep]]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []}).astype({"query_id": "int64", "ref_id": "int64", "distance": "float64"})
+            right = right.sort_by("id")  # equal distances are then in order of id
+            ids, ref_ids = (side.column("id").to_numpy() for side in (left, right))
+            asked, matrix = _vectors(left), _unit(_vectors(right))
+            for part, tiles in _tiles(len(ids), len(ref_ids)):
+                vectors, found = _unit(asked[part]), []
+                for tile in tiles:
+                    distance = 1 - vectors @ matrix[tile].T
+                    rounded = np.round(distance, 9)
+                    rounded[ids[part, None] == ref_ids[None, tile]] = np.inf
+                    n = min(k, rounded.shape[1])
+                    limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
+                    # All that may be among the k nearest, ties at the limit too.
+                    row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
+                    keep = _first(k, row, column, rounded[row, column])
+                    row, column = row[keep], column[keep]
+                    found.append((row, column + tile.start, rounded[row, column], distance[row, column]))
+                row, column, rounded, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+                keep = _first(k, row, column, rounded)
+                parts.append((ids[part][row[keep]], ref_ids[column[keep]], distance[keep]))
+        query_id, ref_id, distance = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "ref_id": pa.array(ref_id, pa.int64()), "distance": pa.array(distance, pa.float64())})
 
     return run
 
@@ -64,12 +100,12 @@ def knn(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k: int, b
     """(query_id, ref_id, distance, rank) of the k nearest references other than the query itself; ties go to the smaller id.
 
     Queries and references are dealt into blocks of about block_rows rows; each pair of blocks is one task's group, which
-    multiplies its matrices in batches and returns k rows a query, which one window then ranks. No side is collected; the
+    multiplies its matrices in tiles and returns k rows a query, which one window then ranks. No side is collected; the
     work is queries times references, as an exact search needs, in blocks of bounded memory.
     """
     asked, dealt = _blocked(queries, refs, id_col, [F.col(id_col).alias("id"), F.col(vector).alias("v")], block_rows)
 
-    return _nearest(asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(_search(k), _FOUND), k)
+    return _nearest(asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInArrow(_search(k), _FOUND), k)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -85,7 +121,7 @@ def fit_pivots(refs: DataFrame, id_col: str, vector: str, pivots: int, sample: i
     rows = refs.orderBy(F.xxhash64(id_col), id_col).select(F.col(vector).alias("v")).limit(sample).toPandas()
     if not len(rows):
         return np.zeros((0, 0))
-    m = _unit(rows)
+    m = _unit(np.stack(rows["v"].to_numpy()))
     chosen, far = [0], np.linalg.norm(m - m[0], axis=1)
     while len(chosen) < min(pivots, len(m)) and far.max() > 1e-9:
         chosen.append(int(far.argmax()))
@@ -101,7 +137,7 @@ def _cells(pivots, most: bool):
         for rows in batches:
             if not len(rows):
                 continue
-            m = _unit(rows)
+            m = _unit(np.stack(rows["v"].to_numpy()))
             d = np.sqrt(np.maximum(0, (m * m).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * m @ p.T))
             cell = d.argmin(axis=1)
             out = pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": cell.astype(np.int64), "far": d[np.arange(len(m)), cell], "zero": ~m.any(axis=1)})
@@ -138,7 +174,7 @@ def knn_pruned(queries: DataFrame, refs: DataFrame, id_col: str, vector: str, k:
 
     def searched(rows: DataFrame) -> DataFrame:
         left = rows.join(F.broadcast(per_cell.select("cell", "blocks")), "cell").select("id", "v", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-        return left.groupBy("cell", "block").cogroup(sides.groupBy("cell", "block")).applyInPandas(_search(k), _FOUND)
+        return left.groupBy("cell", "block").cogroup(sides.groupBy("cell", "block")).applyInArrow(_search(k), _FOUND)
 
     first = asked.select("id", "v", "cell").unionByName(asked.select("id", "v", F.lit(-1).cast("bigint").alias("cell")))
     near = cut(_nearest(searched(first), k).drop("rank"), "near")
@@ -165,23 +201,30 @@ def class_margins(queries: DataFrame, refs: DataFrame, id_col: str, vector: str,
     row = [F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(klass).alias("klass")]
     asked, dealt = _blocked(queries, refs, id_col, row, block_rows)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own, other = [], [], []
         if len(left) and len(right):
-            codes = pd.factorize(pd.concat([left["klass"], right["klass"]], ignore_index=True))[0]  # null: -1
+            classes = pa.chunked_array([*left.column("klass").chunks, *right.column("klass").chunks]).combine_chunks()
+            codes = classes.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             q_class, r_class = codes[: len(left)], codes[len(left) :]
-            q_ids, r_ids, matrix = left["id"].to_numpy(), right["id"].to_numpy(), _unit(right)
-            for at in range(0, len(left), 512):
-                part = slice(at, at + 512)
-                distance = 1 - _unit(left.iloc[part]) @ matrix.T
-                others = q_ids[part, None] != r_ids[None, :]
-                known = others & (q_class[part, None] >= 0) & (r_class[None, :] >= 0)
-                same = q_class[part, None] == r_class[None, :]
-                least = {n: np.where(known & side, distance, np.inf).min(axis=1) for n, side in (("own", same), ("other", ~same))}
-                out.append(pd.DataFrame({"query_id": q_ids[part], **least})[others.any(axis=1)])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "own": [], "other": []}).astype({"query_id": "int64", "own": "float64", "other": "float64"})
-
-    found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInPandas(run, "query_id bigint, own double, other double")
+            q_ids, r_ids = (side.column("id").to_numpy() for side in (left, right))
+            asked, matrix = _vectors(left), _unit(_vectors(right))
+            for part, tiles in _tiles(len(q_ids), len(r_ids)):
+                vectors, found = _unit(asked[part]), []
+                for tile in tiles:
+                    distance = 1 - vectors @ matrix[tile].T
+                    others = q_ids[part, None] != r_ids[None, tile]
+                    known = others & (q_class[part, None] >= 0) & (r_class[None, tile] >= 0)
+                    same = q_class[part, None] == r_class[None, tile]
+                    found.append((*(np.where(known & side, distance, np.inf).min(axis=1) for side in (same, ~same)), others.any(axis=1)))
+                nearest, apart, there = zip(*found, strict=True)
+                there = np.any(there, axis=0)
+                for values, x in ((ids, q_ids[part]), (own, np.min(nearest, axis=0)), (other, np.min(apart, axis=0))):
+                    values.append(x[there])
+        query_id, own, other = (np.concatenate(x) if x else [] for x in (ids, own, other))
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "own": pa.array(own, pa.float64()), "other": pa.array(other, pa.float64())})
+
+    found = asked.groupBy("ask", "block").cogroup(dealt.groupBy("ask", "block")).applyInArrow(run, "query_id bigint, own double, other double")
     least = found.groupBy("query_id").agg(*[F.min(F.when(F.col(c) < float("inf"), F.col(c))).alias(c) for c in ("own", "other")])
     return least.withColumn("margin", F.col("other") - F.col("own"))
 
