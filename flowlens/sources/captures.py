@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "file string, seq bigint, ts_us bigint, frame binary"
 ETHERNET = 1
-_BATCH = 4096
+_BATCH, _BYTES = 4096, 8 << 20  # frames and bytes of a batch
 
 # Fixed magic numbers: byte order and ticks a second of classic captures, and the block types of pcapng.
 CLASSIC = {
@@ -91,6 +91,7 @@ def frames(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes]]:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames of files given by path and content, or by path alone; then the file passes as a stream."""
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
     names = ["file", "seq", "ts_us", "frame"]
 
@@ -98,24 +99,30 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        for file, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = []
-            for seq, (ts, frame) in enumerate(frames(io.BytesIO(content.as_buffer()))):
-                rows.append((file.as_py(), seq, ts, frame))
-                if len(rows) == _BATCH:
+        for at, file in enumerate(batch.column(0).to_pylist()):
+            content = io.BytesIO(batch.column(1)[at].as_buffer()) if batch.num_columns > 1 else open("/" + file.removeprefix("file:").lstrip("/"), "rb")
+            with content as f:
+                rows, size = [], 0
+                for seq, (ts, frame) in enumerate(frames(f)):
+                    rows.append((file, seq, ts, frame))
+                    size += len(frame)
+                    if len(rows) == _BATCH or size >= _BYTES:
+                        yield block(rows)
+                        rows, size = [], 0
+                if rows:
                     yield block(rows)
-                    rows = []
-            if rows:
-                yield block(rows)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, ts_us, frame) of the captures at path (a file, folder or glob in any store that Spark reads).
 
-    Files of another kind and empty files give no rows; truncated files give the records before the break.
+    Files of another kind and empty files give no rows; truncated files give the records before the break. Files of a
+    mounted file system (file:) are opened by their task and pass as streams, so their size doesn't matter; of other stores
+    a file is one row with its whole content.
     """
-    content = spark.read.format("binaryFile").load(path).select("path", "content")
-    return content.mapInArrow(_unpacked, SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    mounted = all(name.startswith("file:") for name in files.inputFiles()[:1])
+    return files.select("path", *([] if mounted else ["content"])).mapInArrow(_unpacked, SCHEMA)
 
 
 # --- frames to columns -------------------------------------------------------------------------------------------

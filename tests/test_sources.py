@@ -154,3 +154,15 @@ def test_small_exports(spark, tmp_path):
     assert sorted(r.id for r in T.sample_export(df, "klass", ["id"], 2).collect()) == [0, 1, 2, 3]
     times = spark.createDataFrame([("2018-02-16 10:00:00.123456",), (None,)], "t string").select(epoch_seconds(F.col("t").cast("timestamp")).alias("s"))
     assert [r.s for r in times.collect()] == [1518775200.123456, None]
+
+
+def test_mounted_captures_pass_as_streams(spark, tmp_path):
+    """Whole contents are no rows where files are mounted; names with blanks and signs are opened; contents give the same."""
+    packets = spark.range(10_000).select(F.lit("f").alias("file"), F.col("id").alias("seq"), F.col("id").alias("ts_us"), F.encode(F.lpad(F.col("id").cast("string"), 60, "x"), "UTF-8").alias("frame"))
+    C.write_slices(packets.coalesce(1), str(tmp_path / "a b%20+"))
+    read = C.read_captures(spark, str(tmp_path / "a b%20+"))
+    assert "ReadSchema: struct<path:string>" in read._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in read.orderBy("seq").collect()]
+    assert [(r[1], r[2]) for r in got] == [(k, k) for k in range(10_000)]
+    whole = spark.read.format("binaryFile").load(str(tmp_path / "a b%20+")).select("path", "content").mapInArrow(C._unpacked, C.SCHEMA)
+    assert [tuple(r) for r in whole.orderBy("seq").collect()] == got
