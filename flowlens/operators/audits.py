@@ -52,8 +52,9 @@ def safety_flags(finite: dict[str, Column], nonzero: Column, highest: Column) ->
 
 
 def in_windows(packets: DataFrame, windows: DataFrame, keys: list[str], ts: str, start: str, finish: str) -> DataFrame:
-    """Packets within any window of their key, ends included. Windows are merged first, so few are left to compare."""
-    merged = merged_intervals(windows, keys, start, finish).select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col(start).alias("w_start"), F.col(finish).alias("w_finish"))
+    """Packets within any window of their key, ends included; a window without one of its ends holds none. Windows are merged first, so few are left to compare."""
+    known = windows.filter(F.col(start).isNotNull() & F.col(finish).isNotNull())
+    merged = merged_intervals(known, keys, start, finish).select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col(start).alias("w_start"), F.col(finish).alias("w_finish"))
     on = F.col(ts).between(F.col("w_start"), F.col("w_finish"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"w_{k}"))

@@ -16,10 +16,13 @@ from flowlens.operators.runs import key_changes
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, finish: str) -> DataFrame:
-    """Intervals of each key with overlapping and touching ones as one."""
-    w = Window.partitionBy(*keys).orderBy(start, finish)
+    """Intervals of each key with overlapping and touching ones as one.
+
+    Rows without a start come last and count with the last interval; where a key has no others, they are one row.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(finish))
     before = F.max(finish).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("opens", (before.isNull() | (F.col(start) > before)).cast("int"))
+    marked = df.withColumn("opens", F.coalesce(F.col(start) > before, before.isNull() & F.col(start).isNotNull()).cast("int"))
     island = marked.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(finish).alias(finish), F.count(F.lit(1)).alias("merged")).drop("island")
 
