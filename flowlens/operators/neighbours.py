@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,12 +35,13 @@ def _vectors(rows: pa.Table) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _tiles(n_left: int, n_right: int) -> Iterator[tuple[slice, list[slice]]]:
+def _tiles(n_left: int, n_right: int, first: int = _TILE[1]) -> Iterator[tuple[slice, list[slice]]]:
     """Batches of the left side, each with all batches of the right side: distances are worked out a tile at a time.
 
-    A task needs a few arrays of one tile beside the vectors of its two blocks, however large these are.
+    A task needs a few arrays of one tile beside the vectors of its two blocks, however large these are. first is the
+    size of the right side's first batch.
     """
-    right = [slice(at, min(at + _TILE[1], n_right)) for at in range(0, n_right, _TILE[1])]
+    right = [slice(*ends) for ends in pairwise([0, *range(min(first, n_right), n_right, _TILE[1]), n_right])]
     for at in range(0, n_left, _TILE[0]):
         yield slice(at, min(at + _TILE[0], n_left)), right
 
@@ -51,31 +53,63 @@ def _first(k: int, row: np.ndarray, column: np.ndarray, rounded: np.ndarray) ->
     return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
 
 
+def _nearer(k: int, asked: tuple, given: tuple, likely: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, column, rounded, distance) of those pairs of a tile that are nearer than their row's limit, in full precision.
+
+    asked and given are (ids, vectors), asked's vectors of unit length; likely says which pairs can be nearer. Where these
+    are few they are worked out one by one, else all pairs are at once and each row's first k, with ties, are left.
+    """
+    (ids, vectors), (ref_ids, refs) = asked, given
+    if np.count_nonzero(likely) * 128 < likely.size:
+        row, column = np.divmod(np.flatnonzero(likely), likely.shape[1])
+        distance = 1 - np.einsum("ij,ij->i", vectors[row], _unit(refs[column]))
+        rounded = np.round(distance, 9)
+        keep = (rounded < limit[row]) & (ids[row] != ref_ids[column])
+        return row[keep], column[keep], rounded[keep], distance[keep]
+    distance = 1 - vectors @ _unit(refs).T
+    rounded = np.round(distance, 9)
+    rounded[ids[:, None] == ref_ids[None, :]] = np.inf
+    n = min(k, rounded.shape[1])
+    most = np.partition(rounded, n - 1, axis=1)[:, n - 1]
+    row, column = np.nonzero((rounded <= most[:, None]) & (rounded < limit[:, None]))
+    return row, column, rounded[row, column], distance[row, column]
+
+
 def _search(k: int):
-    """The k nearest of a block of references for each of a block of queries, ties at the limit by id."""
+    """The k nearest of a block of references for each of a block of queries, ties at the limit by id.
+
+    All distances are worked out in single precision. Those that may be below a query's k-th so far, by what that precision
+    can be off, are worked out again in double precision, which decides.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if len(left) and len(right):
-            right = right.sort_by("id")  # equal distances are then in order of id
+            right = right.sort_by("id")  # of equal distances the first has the smaller id
             ids, ref_ids = (side.column("id").to_numpy() for side in (left, right))
-            asked, matrix = _vectors(left), _unit(_vectors(right))
-            for part, tiles in _tiles(len(ids), len(ref_ids)):
-                vectors, found = _unit(asked[part]), []
+            asked, given = _vectors(left), _vectors(right)
+            coarse = np.empty(given.shape, np.float32)
+            for _, tiles in _tiles(1, len(ref_ids)):
                 for tile in tiles:
-                    distance = 1 - vectors @ matrix[tile].T
-                    rounded = np.round(distance, 9)
-                    rounded[ids[part, None] == ref_ids[None, tile]] = np.inf
-                    n = min(k, rounded.shape[1])
-                    limit = np.partition(rounded, n - 1, axis=1)[:, n - 1]
-                    # All that may be among the k nearest, ties at the limit too.
-                    row, column = np.nonzero((rounded <= limit[:, None]) & np.isfinite(rounded))
-                    keep = _first(k, row, column, rounded[row, column])
-                    row, column = row[keep], column[keep]
-                    found.append((row, column + tile.start, rounded[row, column], distance[row, column]))
-                row, column, rounded, distance = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = _first(k, row, column, rounded)
-                parts.append((ids[part][row[keep]], ref_ids[column[keep]], distance[keep]))
+                    coarse[tile] = _unit(given[tile])
+            # Half a step of rounding below the limit is no nearer. A sum of products is off by half of 2**-23 a term at most.
+            slack = 4e-10 - (given.shape[1] + 8) * 2.0**-23
+            for part, tiles in _tiles(len(ids), len(ref_ids), min(max(512, 256 * k), _TILE[1])):
+                vectors = _unit(asked[part])
+                rough, limit = vectors.astype(np.float32), np.full(len(vectors), np.inf)
+                best = np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0)
+                for tile in tiles:
+                    likely = rough @ coarse[tile].T > (1 - limit + slack).astype(np.float32)[:, None]
+                    row, column, rounded, distance = _nearer(k, (ids[part], vectors), (ref_ids[tile], given[tile]), likely, limit)
+                    if len(row):
+                        found = (row, column + tile.start, rounded, distance)
+                        row, column, rounded, distance = (np.concatenate(x) for x in zip(best, found, strict=True))
+                        keep = _first(k, row, column, rounded)
+                        best = row[keep], column[keep], rounded[keep], distance[keep]
+                        n = np.bincount(best[0], minlength=len(limit))
+                        limit[n == k] = best[2][np.cumsum(n)[n == k] - 1]
+                row, column, _, distance = best
+                parts.append((ids[part][row], ref_ids[column], distance))
         query_id, ref_id, distance = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
         return pa.table({"query_id": pa.array(query_id, pa.int64()), "ref_id": pa.array(ref_id, pa.int64()), "distance": pa.array(distance, pa.float64())})
 
@@ -83,7 +117,11 @@ def _search(k: int):
 
 
 def _blocked(queries: DataFrame, refs: DataFrame, id_col: str, columns: list[Column], block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt into blocks of about block_rows rows, each with a copy for every block of the other side (ask, block)."""
+    """Both sides dealt into blocks of about block_rows rows, each with a copy for every block of the other side (ask, block).
+
+    Rows without an id are left out, as a row is no neighbour of itself.
+    """
+    queries, refs = (df.filter(F.col(id_col).isNotNull()) for df in (queries, refs))
     asked_blocks, blocks = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
 
     def every(n):
