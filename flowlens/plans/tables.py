@@ -16,6 +16,7 @@ from flowlens.operators import sampling as P
 from flowlens.operators import scaling as C
 from flowlens.plans.catalog import query
 from flowlens.plans.flows import read
+from flowlens.scratch import cut
 
 
 @query("""
@@ -319,6 +320,12 @@ def _near(spark, d, k):
     return e, N.knn(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", k)
 
 
+def _nearest(spark, d, k):
+    """Neighbours of all rows, written once as they are read several times."""
+    e = read(spark, d, "embeddings")
+    return e, cut(N.knn(e, e, "vec_id", "embedding", k), "near")
+
+
 @query(_EVERY + "SELECT query_id, ref_id, round(d, 6) AS distance, rank FROM k WHERE rank <= 5")
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
@@ -335,7 +342,7 @@ def knn_pruned_topk(spark: SparkSession, d: str) -> DataFrame:
 _SAME = {"class": "label", "subtype": "kind", "day": "day", "window": "part", "pcap": "file", "endpoint_service": "service"}
 
 
-@query(_NEAR + """, a AS (SELECT d, ql::VARCHAR AS klass, (query_id % 3)::VARCHAR AS kind, ql = rl AS s1, query_id % 3 = ref_id % 3 AS s2, query_id % 5 = ref_id % 5 AS s3, query_id % 2 = ref_id % 2 AS s4, query_id % 7 = ref_id % 7 AS s5, query_id % 4 = ref_id % 4 AS s6 FROM k WHERE rank = 1)
+@query(_EVERY + """, a AS (SELECT d, ql::VARCHAR AS klass, (query_id % 3)::VARCHAR AS kind, ql = rl AS s1, query_id % 3 = ref_id % 3 AS s2, query_id % 5 = ref_id % 5 AS s3, query_id % 2 = ref_id % 2 AS s4, query_id % 7 = ref_id % 7 AS s5, query_id % 4 = ref_id % 4 AS s6 FROM k WHERE rank = 1)
 SELECT CASE WHEN grouping(klass) = 1 THEN 'all' WHEN grouping(kind) = 1 THEN 'class' ELSE 'subtype' END AS level, klass AS class_name, kind AS subtype, count(*) AS count,
   round(avg(s1::INT), 6) AS same_class_rate, round(avg(s2::INT), 6) AS same_subtype_rate, round(avg(s3::INT), 6) AS same_day_rate, round(avg(s4::INT), 6) AS same_window_rate, round(avg(s5::INT), 6) AS same_pcap_rate, round(avg(s6::INT), 6) AS same_endpoint_service_rate,
   count(*) FILTER (d <= 0.001) AS distance_le_0_001, count(*) FILTER (d <= 0.01) AS distance_le_0_01, count(*) FILTER (d <= 0.05) AS distance_le_0_05,
@@ -344,12 +351,13 @@ FROM a GROUP BY GROUPING SETS ((), (klass), (klass, kind))
 """)
 def neighbour_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Nearest neighbours in all, by class and by subtype: percentiles, agreement of six attributes, counts within three distances."""
-    e, near = _near(spark, d, 1)
+    e, near = _nearest(spark, d, 1)
     i = F.col("vec_id")
     facts = {"label": F.col("label"), "kind": i % 3, "day": i % 5, "part": i % 2, "file": i % 7, "service": i % 4}
     q = e.select(i.alias("query_id"), *[c.alias(n) for n, c in facts.items()])
     r = e.select(i.alias("ref_id"), *[c.alias(f"ref_{n}") for n, c in facts.items()])
     pairs = N.agreement(near.join(q, "query_id").join(r, "ref_id"), _SAME)
+    pairs = pairs.withColumn("same_class", F.col("label") == F.col("ref_label"))  # not known where a label is not
     out = N.neighbour_summary(pairs, "distance", "label", "kind", [f"same_{n}" for n in _SAME])
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate") or c in N.PERCENTILES})
 

@@ -39,6 +39,13 @@ def test_knn_cosine_topk(spark, tmp_path):
     assert got == want and len(got) == 5 * (len(IDS) - 1) and {r[1] for r in got} == {i for i in IDS if i is not None}
 
 
+def test_neighbour_summaries(spark, tmp_path):
+    """All rows count, those without a label too; how often classes agree is known of pairs with both labels only."""
+    got, want = both(spark, write(spark, tmp_path), "neighbour_summaries")
+    counted = catalog.queries()["neighbour_summaries"](spark, str(tmp_path)).groupBy("level").sum("count").collect()
+    assert got == want and {tuple(r) for r in counted} == {(level, len(IDS) - 1) for level in ("all", "class", "subtype")}
+
+
 @pytest.mark.parametrize("k", [1, 5, 700])
 def test_single_precision_decides_nothing(spark, k):
     """Neighbours that single precision cannot tell apart, copies across tiles, rows of no length: as by full distances."""
