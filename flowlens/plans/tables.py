@@ -315,11 +315,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), r
 _EVERY = _NEAR.replace(" WHERE q.vec_id % 20 = 0", "")  # all rows ask
 
 
-def _near(spark, d, k):
-    e = read(spark, d, "embeddings")
-    return e, N.knn(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", k)
-
-
 def _nearest(spark, d, k):
     """Neighbours of all rows, written once as they are read several times."""
     e = read(spark, d, "embeddings")
@@ -362,14 +357,15 @@ def neighbour_summaries(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate") or c in N.PERCENTILES})
 
 
-@query(_NEAR + "SELECT ql AS label, count(*) AS n, round(avg((ql = rl)::INT), 6) AS same_class, round(quantile_cont(d, 0.5), 6) AS median_distance FROM k WHERE rank <= 5 GROUP BY 1")
+@query(_EVERY + "SELECT ql AS label, count(*) AS n, round(avg((ql = rl)::INT), 6) AS same_class, round(quantile_cont(d, 0.5), 6) AS median_distance FROM k WHERE rank <= 5 GROUP BY 1")
 def nn_agreement_rates(spark: SparkSession, d: str) -> DataFrame:
-    e, near = _near(spark, d, 5)
+    e, near = _nearest(spark, d, 5)
     q = e.select(F.col("vec_id").alias("query_id"), "label")
     r = e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("rl"))
     rows = near.join(q, "query_id").join(r, "ref_id")
-    medians = C.grouped_quantiles(rows, ["label"], "distance", {"m": 0.5}).select("label", F.round("m", 6).alias("m"))
-    return rows.join(medians, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("rl")).cast("int")), 6).alias("same_class"), F.first("m").alias("median_distance"))
+    medians = C.grouped_quantiles(rows, ["label"], "distance", {"m": 0.5}).select(F.col("label").alias("of"), F.round("m", 6).alias("median_distance"))
+    rates = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("rl")).cast("int")), 6).alias("same_class"))
+    return rates.join(medians, F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query(_NEAR + "SELECT query_id, round(min(d) FILTER (ql = rl), 6) AS own, round(min(d) FILTER (ql <> rl), 6) AS other, round(min(d) FILTER (ql <> rl) - min(d) FILTER (ql = rl), 6) AS margin FROM k GROUP BY 1")

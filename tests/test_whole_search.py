@@ -46,6 +46,12 @@ def test_neighbour_summaries(spark, tmp_path):
     assert got == want and {tuple(r) for r in counted} == {(level, len(IDS) - 1) for level in ("all", "class", "subtype")}
 
 
+def test_nn_agreement_rates(spark, tmp_path):
+    """All rows count; those without a label are a group, too."""
+    got, want = both(spark, write(spark, tmp_path), "nn_agreement_rates")
+    assert got == want and len(got) == 5 and sum(r[2] for r in got) == 5 * (len(IDS) - 1)
+
+
 @pytest.mark.parametrize("k", [1, 5, 700])
 def test_single_precision_decides_nothing(spark, k):
     """Neighbours that single precision cannot tell apart, copies across tiles, rows of no length: as by full distances."""
